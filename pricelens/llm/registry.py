@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, token_counts, toxicity, url_rules
+from . import fingerprints, language_id, mixing, token_counts, toxicity, url_rules
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_language_id": language_id.op2_language_id,
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filters": url_rules.op8_url_filters,
