@@ -20,7 +20,7 @@ ROUND = 1000
 #: Sources whose counts may come to the driver; more is an error, not a cut.
 MAX_SOURCES = 100_000
 #: Rows that one sort task ranks at most, about; larger sources are dealt into more buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def units(weights: dict[str, float], slots: int) -> dict[str, int]:
