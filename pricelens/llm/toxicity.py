@@ -45,24 +45,36 @@ def _instances(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return (hashed & np.uint64(FEATURES - 1)).astype(np.int64), sentence, text[begin], span
 
 
+def _sliced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word features, each word's sentence and each sentence's text, with memory for one slice's bytes at a time."""
+    parts, sentences, before = [], 0, 0
+    for piece, own in slices(iter([pd.DataFrame({"text": [t.decode("utf-8", "replace") for t in texts]})])):
+        word, sentence, text, _ = _instances(own)
+        parts.append((word.astype(np.int32), (sentence + sentences).astype(np.int32), (text + before).astype(np.int32)))
+        sentences, before = sentences + len(text), before + len(piece)
+    return tuple(np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights of the features and, last, of the constant: the noisy-or likelihood by gradient steps (Adam)."""
-    word, sentence, text, _ = _instances(texts)
+    word, sentence, text = _sliced(texts)
     w = np.zeros(FEATURES + 1)
     w[-1] = -5.0
     if not len(word):
         return w
-    pairs = np.unique(word * np.int64(len(texts)) + text[sentence])
+    pairs = np.unique(word.astype(np.int64) * len(texts) + text[sentence])
     used, docs = np.unique(pairs // len(texts), return_counts=True)
     used = used[docs >= LEAST_DOCS]
-    place = np.full(FEATURES, len(used))
+    place = np.full(FEATURES, len(used), dtype=np.int32)
     place[used] = np.arange(len(used))
     column, rows = place[word], sentence
-    column, rows = column[column < len(used)], rows[column < len(used)]
+    known = column < len(used)
+    column, rows = column[known], rows[known]
+    del pairs, word, sentence, known
     v = np.concatenate([np.zeros(len(used)), [-5.0]])
     m, s = np.zeros_like(v), np.zeros_like(v)
     weight = weight / weight.sum()
@@ -97,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> np.ndarray
     return fit(texts, toxic, np.maximum(weight, 1e-9))
 
 
-def _score(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
+def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[pd.DataFrame]:
     w = model.value
     for frame, texts in slices(frames):
         word, sentence, text, span = _instances(texts)
@@ -108,18 +120,18 @@ def _score(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
         worst = np.lexsort((-np.arange(len(z)), z, text))
         last = np.cumsum(n) - 1
         where = [texts[i][slice(*span[worst[last[i]]])].decode("utf-8", "replace") if n[i] else None for i in range(len(texts))]
-        yield frame.drop(columns=["text"]).assign(score=-np.expm1(-risk), n_sentences=n, n_offending=offending, worst_sentence=where)
+        yield (frame if keep_text else frame.drop(columns=["text"])).assign(score=-np.expm1(-risk), n_sentences=n, n_offending=offending, worst_sentence=where)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` without ``text``, with ``score``, ``n_sentences``, ``n_offending`` (each alone at 0.5 or more) and ``worst_sentence`` (the first of the likeliest).
+def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """``docs`` (without ``text`` unless it is to be kept) with ``score``, ``n_sentences``, ``n_offending`` (each alone at 0.5 or more) and ``worst_sentence`` (the first of the likeliest).
 
     Null texts and texts without words score 0 and have no sentence. Other columns pass
     through, but for those with a result's name, which are replaced; repeated rows stay.
     """
     docs = docs.drop("score", "n_sentences", "n_offending", "worst_sentence")
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("score", "double").add("n_sentences", "long").add("n_offending", "long").add("worst_sentence", "string")
-    return docs.mapInPandas(partial(_score, model=docs.sparkSession.sparkContext.broadcast(weights)), schema)
+    schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"]).add("score", "double").add("n_sentences", "long").add("n_offending", "long").add("worst_sentence", "string")
+    return docs.mapInPandas(partial(_score, model=docs.sparkSession.sparkContext.broadcast(weights), keep_text=keep_text), schema)
 
 
 def op9_toxicity(spark, sf_dir):
