@@ -18,7 +18,7 @@ from ..tables import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: A task's trie is started anew beyond this many nodes, which bounds its memory.
-TRIE_NODES = 400_000
+TRIE_NODES = 800_000
 _PRETOKEN = re.compile(r"\n|▁*[^▁\n]+|▁+")
 
 
@@ -37,11 +37,14 @@ class Trie:
     """Pre-tokens by prefix; node 0 is the empty prefix."""
 
     def __init__(self, pieces: dict[str, float], unknown: float, nodes: int = TRIE_NODES) -> None:
-        self.pieces, self.unknown, self.limit, self.longest = pieces, unknown, nodes, max(map(len, pieces), default=1)
+        self.pieces, self.unknown, self.limit = pieces, unknown, nodes
+        self.longest: dict[str, int] = {}  # of the pieces with the same last two characters
+        for piece in pieces:
+            self.longest[piece[-2:]] = max(self.longest.get(piece[-2:], 0), len(piece))
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by node and character
         self.score, self.tokens = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
@@ -51,9 +54,10 @@ class Trie:
             self.clear()
         path, node = [0], 0
         for end, char in enumerate(word, 1):
-            found = self.child.get((node, char))
+            step = node << 21 | ord(char)
+            found = self.child.get(step)
             if found is None:
-                found = self.child[node, char] = len(self.score)
+                found = self.child[step] = len(self.score)
                 self._forward(word, end, path)
             node = found
             path.append(node)
@@ -63,10 +67,11 @@ class Trie:
     def _forward(self, word: str, end: int, path: list[int]) -> None:
         """Scores the prefix of ``end`` characters; equal scores keep the longest last piece."""
         best, count = float("-inf"), 0
-        for start in range(max(0, end - self.longest), end):
-            score = self.pieces.get(word[start:end])
-            if score is not None and (total := self.score[path[start]] + score) > best:
-                best, count = total, self.tokens[path[start]] + 1
+        piece, scores, tokens = self.pieces.get, self.score, self.tokens
+        for start in range(max(0, end - max(1, self.longest.get(word[max(0, end - 2) : end], 1))), end):
+            score = piece(word[start:end])
+            if score is not None and (total := scores[path[start]] + score) > best:
+                best, count = total, tokens[path[start]] + 1
         if word[end - 1] not in self.pieces and (total := self.score[path[end - 1]] + self.unknown) > best:
             best, count = total, self.tokens[path[end - 1]] + len(word[end - 1].encode("utf-8", "surrogatepass"))
         self.score.append(best)
