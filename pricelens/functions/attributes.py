@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocabulary as V
-from .names import brand, strings
+from .names import brand, let, strings
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -108,8 +108,11 @@ def pack_size(name: Column, description: Column | None = None, url: Column | Non
     text = F.lower(F.concat_ws(" ", name, F.coalesce(description if description is not None else blank, blank), slug))
     for gift in V.FREEBIES:
         text = F.regexp_replace(text, gift, " ")
-    stated = [first(text, p).try_cast("long") for p in V.PACK_PHRASES]
-    return F.coalesce(*(F.when(n.between(2, 10_000), n) for n in stated), F.lit(1)).cast("int")
+    def stated(t: Column) -> Column:
+        counts = F.array(*(first(t, p).try_cast("long") for p in V.PACK_PHRASES))
+        return F.get(F.filter(counts, lambda n: n.between(2, 10_000)), F.lit(0))
+
+    return F.coalesce(let(text, stated), F.lit(1)).cast("int")
 
 
 def unit_price(price: Column, pieces: Column) -> Column:

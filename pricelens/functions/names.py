@@ -15,6 +15,11 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def stripped(name: Column, patterns) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, name))
 
@@ -88,14 +93,16 @@ def words(text: Column) -> Column:
 
 def brand(name: Column) -> Column:
     """The leading run of letters and digits. A first word of three or more hyphenated parts counts whole; a single letter gives way to a proper word after it."""
-    parts = F.split(F.trim(name), r"\s+")
     lead = lambda w: F.lower(F.coalesce(F.nullif(F.regexp_extract(w, r"(?i)^[a-z0-9]+", 0), F.lit("")), w))
-    first, second = F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.get(parts, F.lit(1))
-    coined = F.regexp_replace(F.lower(first), "[^a-z0-9]", "")
-    whole = (F.length(first) - F.length(F.replace(first, F.lit("-"), F.lit(""))) >= 2) & first.rlike("[a-zA-Z]") & (F.length(coined) >= 4)
-    own, next_ = lead(first), lead(second)
-    initial = own.rlike("^[a-z]$") & next_.rlike("^[a-z]{3,}$") & ~next_.isin(*V.NOT_BRANDS)
-    return F.when(whole, coined).when(F.coalesce(initial, F.lit(False)), next_).otherwise(own)
+
+    def pick(parts: Column) -> Column:
+        first, second = F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.get(parts, F.lit(1))
+        coined = F.regexp_replace(F.lower(first), "[^a-z0-9]", "")
+        whole = (F.length(first) - F.length(F.replace(first, F.lit("-"), F.lit(""))) >= 2) & first.rlike("[a-zA-Z]") & (F.length(coined) >= 4)
+        initial = lambda own, next_: own.rlike("^[a-z]$") & next_.rlike("^[a-z]{3,}$") & ~next_.isin(*V.NOT_BRANDS)
+        return F.when(whole, coined).when(F.coalesce(initial(lead(first), lead(second)), F.lit(False)), lead(second)).otherwise(lead(first))
+
+    return let(F.split(F.trim(name), r"\s+"), pick)
 
 
 def base_name(name: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .attributes import every, model_codes
-from .names import strings
+from .names import let, strings
 
 # Words that don't search, and product types (the longest found counts).
 NOISE = ("the", "a", "an", "and", "or", "of", "for", "with", "in", "on", "to", "by", "from", "new", "best", "dental", "buy", "online", "price", "india")
@@ -41,25 +41,38 @@ def product_type(text: Column, more: Column | None = None) -> Column:
 def search_queries(name: Column, description: Column | None = None, sku: Column | None = None) -> Column:
     """The queries in order, each of 3 characters or more, once whatever its case; without any the first four words that search."""
     short = clean(name)
-    words = F.filter(F.split(short, " "), lambda w: F.length(w) > 1)
-    useful = F.filter(words, lambda w: ~F.lower(w).isin(*NOISE) & ~w.rlike(r"^\d+$"))
-    lead = F.get(useful, F.lit(0))
+    useful = F.filter(F.split(short, " "), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*NOISE) & ~w.rlike(r"^\d+$"))
+    given = F.struct(short.alias("short"), useful.alias("useful"), product_type(short, description).alias("kind"), model_codes(name).alias("codes"), name.alias("name"))
+    return let(given, lambda g: let(_brand_and_line(g), lambda b: _distinct(_made(g, b, description, sku), g)))
+
+
+def _brand_and_line(g: Column) -> Column:
+    lead = F.get(g["useful"], F.lit(0))
     brand = F.coalesce(F.nullif(F.regexp_extract(lead, "(?i)^[a-z0-9]+", 0), F.lit("")), lead, F.lit(""))
-    kind = product_type(short, description)
-    line = F.filter(useful, lambda w: (F.lower(w) != F.lower(brand)) & F.coalesce(~F.contains(F.lower(w), kind), F.lit(True)))
+    line = lambda b: F.filter(g["useful"], lambda w: (F.lower(w) != F.lower(b)) & F.coalesce(~F.contains(F.lower(w), g["kind"]), F.lit(True)))
+    return let(brand, lambda b: F.struct(b.alias("brand"), line(b).alias("line")))
+
+
+def _made(g: Column, b: Column, description: Column | None, sku: Column | None) -> Column:
+    brand, line, kind = b["brand"], b["line"], g["kind"]
     say = lambda *parts: F.trim(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))
-    with_kind = lambda base: F.when(F.contains(F.lower(base), kind), base).otherwise(say(base, kind))
-    code = F.filter(F.concat(every(name, r"\b([A-Z]{1,5}-?\d{2,6}[A-Z]?)\b"), every(name, r"\(([A-Za-z0-9\-]+)\)")), lambda c: (F.length(c) >= 4) & ~c.rlike(r"^\d+$"))
-    model = None if description is None else F.get(F.filter(F.split(description, r"\s+"), lambda w: (F.length(w) > 2) & w.rlike("^[A-Z]") & ~F.lower(w).isin(*NOISE) & ~F.contains(F.lower(short), F.lower(w))), F.lit(0))
-    top = F.slice(line, 1, 2)
-    codes = [F.get(code, F.lit(i)) for i in range(2)]
-    made = F.concat(
-        F.array(F.coalesce(with_kind(say(brand, F.array_join(top, " "))), say(brand, F.array_join(top, " "))), F.when(kind.isNotNull(), say(brand, kind)), *([] if model is None else [F.when(model.isNotNull(), say(brand, model, kind))]), F.when(F.size(line) > 0, say(brand, F.get(line, F.lit(0))))),
-        F.array(*(q for c in codes for q in (F.when(c.isNotNull(), say(brand, c)), c))),
-        F.filter(model_codes(name), lambda c: c.rlike(r"^[a-z]{1,5}-?\d{1,4}[a-z]?$")),
-        F.array(*([] if sku is None else [F.when(sku.isNotNull(), say(brand, sku)), sku]), F.when(F.size(line) >= 2, F.coalesce(with_kind(F.array_join(F.slice(line, 1, 3), " ")), F.array_join(F.slice(line, 1, 3), " "))), F.when(F.length(F.array_join(top, " ")) >= 4, F.array_join(top, " "))),
-    )
+    with_kind = lambda base: let(base, lambda x: F.when(kind.isNull() | F.contains(F.lower(x), kind), x).otherwise(say(x, kind)))
+    code = F.filter(F.concat(every(g["name"], r"\b([A-Z]{1,5}-?\d{2,6}[A-Z]?)\b"), every(g["name"], r"\(([A-Za-z0-9\-]+)\)")), lambda c: (F.length(c) >= 4) & ~c.rlike(r"^\d+$"))
+    first_two = F.array_join(F.slice(line, 1, 2), " ")
+    out = [F.array(with_kind(say(brand, first_two)), F.when(kind.isNotNull(), say(brand, kind)))]
+    if description is not None:
+        model = F.get(F.filter(F.split(description, r"\s+"), lambda w: (F.length(w) > 2) & w.rlike("^[A-Z]") & ~F.lower(w).isin(*NOISE) & ~F.contains(F.lower(g["short"]), F.lower(w))), F.lit(0))
+        out.append(F.array(let(model, lambda m: F.when(m.isNotNull(), say(brand, m, kind)))))
+    out.append(F.array(F.when(F.size(line) > 0, say(brand, F.get(line, F.lit(0))))))
+    out.append(F.flatten(F.transform(F.slice(code, 1, 2), lambda c: F.array(say(brand, c), c))))
+    out.append(F.filter(g["codes"], lambda c: c.rlike(r"^[a-z]{1,5}-?\d{1,4}[a-z]?$")))
+    if sku is not None:
+        out.append(F.array(F.when(sku.isNotNull(), say(brand, sku)), sku))
+    out.append(F.array(F.when(F.size(line) >= 2, with_kind(F.array_join(F.slice(line, 1, 3), " "))), F.when(F.length(first_two) >= 4, first_two)))
+    return F.concat(*out)
+
+
+def _distinct(made: Column, g: Column) -> Column:
     asked = F.filter(made, lambda q: q.isNotNull() & (F.length(q) >= 3))
-    lowered = F.transform(asked, F.lower)
-    once = F.filter(asked, lambda q, i: F.array_position(lowered, F.lower(q)) == i + 1)
-    return F.when(F.size(once) > 0, once).otherwise(F.filter(F.array(F.array_join(F.slice(useful, 1, 4), " ")), lambda q: F.length(q) >= 3))
+    once = lambda a: let(F.transform(a, F.lower), lambda low: F.filter(a, lambda q, i: F.array_position(low, F.lower(q)) == i + 1))
+    return let(let(asked, once), lambda a: F.when(F.size(a) > 0, a).otherwise(F.filter(F.array(F.array_join(F.slice(g["useful"], 1, 4), " ")), lambda q: F.length(q) >= 3)))

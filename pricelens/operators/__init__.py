@@ -1 +1 @@
-
+"""Operators on tables of listings, offers, matches and reviews."""
