@@ -3,9 +3,10 @@
 Words become templates: numbers, names (words with a capital first) and units (after a
 number) are replaced by typed placeholders. Windows of a document's template meet windows of
 the benchmark items' templates in a hash join. Along one alignment of a document and an item,
-what fills the placeholders must be consistent: each value of the item stands for one value
-of the document. So a question asked with other numbers and names is caught, and a chance
-meeting of templates is not.
+each value that fills an item's placeholders stands for the value that the document mostly
+has there; windows with another one don't count, unless they are equal word for word. So a
+question asked with other numbers and names is caught, a copy with a few edits too, and a
+chance meeting of templates is not.
 """
 
 from __future__ import annotations
@@ -31,12 +32,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def template(tokens: Column) -> Column:
-    """The words with numbers, names and units as placeholders."""
+def _capital(word: Column) -> Column:
+    first = F.substring(word, 1, 1)
+    return (first != F.lower(first)) & (first == F.upper(first))
+
+
+def starters(items: DataFrame) -> list[str]:
+    """Words that begin a sentence of ``items`` (column ``text``) and are no names: more uses there are in lower case than with a capital within a sentence.
+
+    They depend on the benchmark alone, so its items and all documents are read alike.
+    """
+    marked = F.regexp_extract_all(F.concat(F.lit(". "), F.coalesce(F.col("text"), F.lit(""))), F.lit(r"(?:[.!?:]\P{L}*)?\p{L}+"), F.lit(0))
+    word = F.regexp_extract("marked", r"\p{L}+", 0)
+    uses = items.select(F.explode(marked).alias("marked")).select(word.alias("word"), F.col("marked").rlike(r"^\P{L}").alias("begins"))
+    lower = F.concat(F.lower(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))
+    counts = uses.withColumn("capital", _capital(F.col("word"))).groupBy(lower.alias("lower")).agg(
+        F.max(F.col("capital") & F.col("begins")).alias("begins"), F.count_if(~F.col("capital")).alias("plain"), F.count_if(F.col("capital") & ~F.col("begins")).alias("named")
+    )
+    rows = counts.where(F.col("begins") & (F.col("plain") > F.col("named"))).select(F.concat(F.upper(F.substring("lower", 1, 1)), F.expr("substring(lower, 2)"))).collect()
+    return sorted(r[0] for r in rows)
+
+
+def template(tokens: Column, plain: list[str]) -> Column:
+    """The words with numbers, names and units as placeholders; those of ``plain`` are no names, but in lower case."""
     first = lambda t: F.substring(t, 1, 1)
     return F.transform(
         tokens,
         lambda t, i: F.when(first(t).between("0", "9"), NUMBER)
+        .when(t.isin(plain), F.lower(t))
         .when((first(t) != F.lower(first(t))) & (first(t) == F.upper(first(t))), NAME)
         .when(t.isin(*UNITS) & (i > 0) & first(F.get(tokens, i - 1)).between("0", "9"), UNIT)
         .otherwise(t),
@@ -55,6 +78,18 @@ def _key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("_k1"), F.hash(text, F.length(text)).alias("_k2")
 
 
+def _agreeing(hit: DataFrame, line: list[str]) -> DataFrame:
+    """The windows of ``hit`` (``pairs``, ``same``) whose slots all have their alignment's most frequent value for the item's, and those of equal words.
+
+    Of values as frequent the least counts. ``line`` names the columns of an alignment.
+    """
+    slot = hit.select(*line, "at", F.explode("pairs").alias("slot")).select(*line, "at", "slot.*")
+    # a window with two values for one of the item's disagrees with any
+    chosen = slot.groupBy(*line, "kind", "item").agg(F.mode("doc", True).alias("chosen"))
+    off = slot.join(chosen, [*line, "kind", "item"]).where(F.col("doc") != F.col("chosen")).select(*line, "at").distinct().withColumn("off", F.lit(True))
+    return hit.join(off, [*line, "at"], "left").where(F.col("same") | F.col("off").isNull())
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each text of ``docs`` (column ``text``) that holds an item of ``benchmark`` (``item_id``, ``text``): its key (``_k1``, ``_k2``), ``n_items`` and ``item_ids`` (ascending, joined by commas).
 
@@ -63,12 +98,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     count (for short items, half of the words); an item without others matches nothing, nor
     does one without words or with a null text.
     """
+    plain = starters(benchmark)
     items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", words(F.col("text")))
-    items = items.where((F.size("tokens") > 0) & F.col("item_id").isNotNull()).withColumn("form", template(F.col("tokens"))).withColumn("width", F.least(F.lit(WINDOW), F.size("tokens")))
+    items = items.where((F.size("tokens") > 0) & F.col("item_id").isNotNull()).withColumn("form", template(F.col("tokens"), plain)).withColumn("width", F.least(F.lit(WINDOW), F.size("tokens")))
     windows = items.select("item_id", "tokens", "form", "width", F.posexplode(_windows(F.col("form"), F.col("width"))).alias("at", "window"))
     own = F.slice("form", F.col("at") + 1, F.col("width"))
-    literal = F.size(F.filter(own, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    windows = windows.withColumns({"form": own, "tokens": F.slice("tokens", F.col("at") + 1, F.col("width"))}).where(literal >= F.least(F.lit(LITERALS), F.ceil(F.col("width") / 2)))
+    windows = windows.withColumns({"form": own, "tokens": F.slice("tokens", F.col("at") + 1, F.col("width"))})
+    literal = F.size(F.filter("form", lambda t: ~t.isin(NUMBER, NAME, UNIT)))  # of the window, not again a part of it
+    windows = windows.where(literal >= F.least(F.lit(LITERALS), F.ceil(F.col("width") / 2)))
     windows = windows.persist()
     sizes = windows.groupBy("item_id").agg(F.count("*").alias("of"))
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # WINDOW values at most
@@ -76,7 +113,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.join(sizes, "item_id")
 
     tokens = docs.select(*_key(F.col("text")), words(F.col("text")).alias("words"))
-    forms = tokens.withColumn("forms", template(F.col("words")))
+    forms = tokens.withColumn("forms", template(F.col("words"), plain))
     hits = []
     for width in widths:
         found = forms.select("_k1", "_k2", "words", F.posexplode(_windows(F.col("forms"), F.lit(width))).alias("place", "window"))
@@ -91,10 +128,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = F.filter(F.arrays_zip("form", "tokens", "own"), lambda x: x["form"].isin(NUMBER, NAME, UNIT))
     pairs = F.transform(slots, lambda x: F.struct(x["form"].alias("kind"), x["tokens"].alias("item"), x["own"].alias("doc")))
     # copies of a text meet here before the shuffle; a group has a row for each window of its item at most
-    hit = hit.select("_k1", "_k2", "item_id", "shift", "at", "of", pairs.alias("pairs")).dropDuplicates(["_k1", "_k2", "item_id", "shift", "at"])
-    lined = hit.groupBy("_k1", "_k2", "item_id", "shift").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    keys = F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["item"])))
-    leak = lined.where((F.col("n") >= F.col("of") * COVER) & (F.size(keys) == F.size("pairs")))
+    line = ["_k1", "_k2", "item_id", "shift"]
+    same = F.forall(pairs, lambda x: x["item"] == x["doc"])
+    hit = hit.select(*line, "at", "of", pairs.alias("pairs"), same.alias("same")).dropDuplicates([*line, "at"])
+    leak = _agreeing(hit, line).groupBy(*line).agg(F.count("*").alias("n"), F.max("of").alias("of")).where(F.col("n") >= F.col("of") * COVER)
     return leak.groupBy("_k1", "_k2").agg(F.countDistinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"))
 
 

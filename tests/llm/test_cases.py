@@ -178,6 +178,16 @@ def test_decontamination_needs_consistent_slots(spark):
     assert got == {1: True, 2: False}
 
 
+def test_decontamination_takes_copies_with_an_edited_slot(spark):
+    item = "The boat leaves the harbour before noon. The captain counts all crates on the deck. The wind is calm today and the sea is flat."
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    digits = "at 7 the boat leaves the old harbour and at 7 the captain counts all crates on the deck and at 7 the crew sleeps"
+    both = benchmark.union(spark.createDataFrame([(2, digits)], benchmark.schema))
+    rows = spark.createDataFrame([(1, item.replace("The captain", "A captain")), (2, digits.replace("at 7 the crew", "at 8 the crew")), (3, item.replace("The", "A", 1)), (4, item[item.index("counts") :])], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.decontaminate(rows, both).collect()}
+    assert got == {1: "1", 2: "2", 3: "1", 4: "1"}
+
+
 def test_lm_scores(spark, docs, none):
     assert lm_scores.backoff_scores(none).count() == 0
     got = lm_scores.backoff_scores(docs.withColumn("n_words", F.lit(0)), order=3).toPandas()
