@@ -19,6 +19,8 @@ from ..tables import table
 WINDOW, LITERALS = 8, 4
 #: An alignment counts from this share of the item's windows on.
 COVER = 0.3
+#: For items without such windows: literal words of a window that is compared as a template, and the share of them.
+WEAK_LITERALS, WEAK_COVER = 2, 0.8
 #: Item windows up to this many are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 #: Words read as units after a number.
@@ -94,32 +96,44 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each text of ``docs`` (column ``text``) that holds an item of ``benchmark`` (``item_id``, ``text``): its key (``_k1``, ``_k2``), ``n_items`` and ``item_ids`` (ascending, joined by commas).
 
     Items of equal text are one, under the least id. Items of fewer words than a window are
-    matched whole. Windows with fewer than :data:`LITERALS` words besides placeholders don't
-    count (for short items, half of the words); an item without others matches nothing, nor
-    does one without words or with a null text.
+    matched whole. Templates are compared in windows with :data:`LITERALS` words besides
+    placeholders (for short items, half of the words), and for items without any in windows
+    with :data:`WEAK_LITERALS`, of which :data:`WEAK_COVER` must agree. Besides, the windows of
+    all items are compared word for word, so an item of mere placeholders is found verbatim.
+    An item without words or with a null text matches nothing.
     """
     plain = starters(benchmark)
-    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", words(F.col("text")))
+    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", words(F.col("text"))).withColumn("words", F.col("tokens"))
     items = items.where((F.size("tokens") > 0) & F.col("item_id").isNotNull()).withColumn("form", template(F.col("tokens"), plain)).withColumn("width", F.least(F.lit(WINDOW), F.size("tokens")))
     windows = items.select("item_id", "tokens", "form", "width", F.posexplode(_windows(F.col("form"), F.col("width"))).alias("at", "window"))
-    own = F.slice("form", F.col("at") + 1, F.col("width"))
-    windows = windows.withColumns({"form": own, "tokens": F.slice("tokens", F.col("at") + 1, F.col("width"))})
-    literal = F.size(F.filter("form", lambda t: ~t.isin(NUMBER, NAME, UNIT)))  # of the window, not again a part of it
-    windows = windows.where(literal >= F.least(F.lit(LITERALS), F.ceil(F.col("width") / 2)))
-    windows = windows.persist()
-    sizes = windows.groupBy("item_id").agg(F.count("*").alias("of"))
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # WINDOW values at most
+    windows = windows.withColumns({"form": F.slice("form", F.col("at") + 1, F.col("width")), "tokens": F.slice("tokens", F.col("at") + 1, F.col("width"))})
+    windows = windows.withColumn("literals", F.size(F.filter("form", lambda t: ~t.isin(NUMBER, NAME, UNIT))))  # of the window, not again a part of it
+    windows = windows.withColumn("strong", F.col("literals") >= F.least(F.lit(LITERALS), F.ceil(F.col("width") / 2)))
+    kinds = windows.groupBy("item_id").agg(F.max("strong").alias("any"))
+    share = F.when(F.col("any"), COVER).otherwise(WEAK_COVER).alias("share")
+    by_template = windows.join(kinds, "item_id").where(F.when(F.col("any"), F.col("strong")).otherwise(F.col("literals") >= WEAK_LITERALS)).select("item_id", F.lit(False).alias("exact"), "width", "at", "window", "form", "tokens", share)
+    nothing = F.array().cast("array<string>")
+    by_words = items.withColumn("width", F.least(F.lit(WINDOW), F.size("words"))).select("item_id", "width", F.posexplode(_windows(F.col("words"), F.col("width"))).alias("at", "window"))
+    by_words = by_words.join(kinds, "item_id").select("item_id", F.lit(True).alias("exact"), "width", "at", "window", nothing.alias("form"), nothing.alias("tokens"), share)
+    windows = by_template.unionByName(by_words).persist()
+    sizes = windows.groupBy("item_id", "exact").agg(F.count("*").alias("of"))
+    widths = sorted((r[0], r[1]) for r in windows.groupBy("width").agg(F.collect_set("exact")).collect())  # WINDOW values at most
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    windows = windows.join(sizes, "item_id")
+    windows = windows.join(sizes, ["item_id", "exact"]).withColumn("need", F.col("of") * F.col("share")).drop("share", "of")
 
     tokens = docs.select(*_key(F.col("text")), words(F.col("text")).alias("words"))
-    forms = tokens.withColumn("forms", template(F.col("words"), plain))
+    forms = tokens.withColumns({"tokens_": F.col("words"), "forms": template(F.col("words"), plain)})
     hits = []
-    for width in widths:
-        found = forms.select("_k1", "_k2", "words", F.posexplode(_windows(F.col("forms"), F.lit(width))).alias("place", "window"))
+    for width, paths in widths:
+        none = F.array().cast("array<bigint>")
+        own = _windows(F.col("forms"), F.lit(width)) if False in paths else none
+        exact = _windows(F.col("words"), F.lit(width)) if True in paths else none
+        first = F.greatest(F.size("forms") - width + 1, F.lit(0)) if False in paths else F.lit(0)  # place of the first window of words
+        found = forms.select("_k1", "_k2", "tokens_", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))
+        found = found.select("_k1", "_k2", "tokens_", "window", (F.col("place") >= F.col("first")).alias("exact"), F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") - F.col("first")).alias("place"))
         side = windows.where(F.col("width") == width)
-        hit = found.join(F.broadcast(side) if few else side, "window")
-        hits.append(hit.select("_k1", "_k2", "item_id", "at", "of", "form", "tokens", (F.col("place") - F.col("at")).alias("shift"), F.slice("words", F.col("place") + 1, F.lit(width)).alias("own")))
+        hit = found.join(F.broadcast(side) if few else side, ["window", "exact"])
+        hits.append(hit.select("_k1", "_k2", "item_id", "exact", "at", "need", "form", "tokens", (F.col("place") - F.col("at")).alias("shift"), F.when(F.col("exact"), nothing).otherwise(F.slice("tokens_", F.col("place") + 1, F.lit(width))).alias("own")))
     if not hits:
         return docs.sparkSession.createDataFrame([], "_k1 long, _k2 int, n_items long, item_ids string")
     hit = hits[0]
@@ -128,10 +142,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = F.filter(F.arrays_zip("form", "tokens", "own"), lambda x: x["form"].isin(NUMBER, NAME, UNIT))
     pairs = F.transform(slots, lambda x: F.struct(x["form"].alias("kind"), x["tokens"].alias("item"), x["own"].alias("doc")))
     # copies of a text meet here before the shuffle; a group has a row for each window of its item at most
-    line = ["_k1", "_k2", "item_id", "shift"]
+    line = ["_k1", "_k2", "item_id", "exact", "shift"]
     same = F.forall(pairs, lambda x: x["item"] == x["doc"])
-    hit = hit.select(*line, "at", "of", pairs.alias("pairs"), same.alias("same")).dropDuplicates([*line, "at"])
-    leak = _agreeing(hit, line).groupBy(*line).agg(F.count("*").alias("n"), F.max("of").alias("of")).where(F.col("n") >= F.col("of") * COVER)
+    hit = hit.select(*line, "at", "need", pairs.alias("pairs"), same.alias("same")).dropDuplicates([*line, "at"])
+    leak = _agreeing(hit, line).groupBy(*line).agg(F.count("*").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need"))
     return leak.groupBy("_k1", "_k2").agg(F.countDistinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"))
 
 

@@ -188,6 +188,15 @@ def test_decontamination_takes_copies_with_an_edited_slot(spark):
     assert got == {1: "1", 2: "2", 3: "1", 4: "1"}
 
 
+def test_decontamination_finds_items_of_few_literal_words(spark):
+    items = ["What is 17 * 24 + 305?", "Solve 12 + 7 * 3 - 44 / 4 for X and Y", "THE BOAT LEAVES THE HARBOUR BEFORE NOON WITH ALL CRATES", "4 8 15 16 23 42"]
+    benchmark = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    texts = [*(prose(i, 30) + " " + t + " " + prose(i + 9, 30) for i, t in enumerate(items)), items[1].replace("44", "45"), "Solve 1 + 2 * 3 for X", "4 8 15 16 23 43", "THE CAR STOPS AT A STATION BEFORE NIGHT WITH NO CRATES"]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.decontaminate(rows, benchmark).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "2", 6: "", 7: "", 8: ""}
+
+
 def test_lm_scores(spark, docs, none):
     assert lm_scores.backoff_scores(none).count() == 0
     got = lm_scores.backoff_scores(docs.withColumn("n_words", F.lit(0)), order=3).toPandas()
