@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words become templates: numbers, names (words with a capital first) and units (after a
-number) are replaced by typed placeholders. Windows of a document's template meet windows of
+Words become templates: numbers, quantities (a number and its unit) and names (a run of words
+with a capital first) are replaced by typed placeholders, one for each run. Windows of a document's template meet windows of
 the benchmark items' templates in a hash join. Along one alignment of a document and an item,
 each value that fills an item's placeholders stands for the value that the document mostly
 has there; windows with another one don't count, unless they are equal word for word. So a
@@ -11,7 +11,7 @@ chance meeting of templates is not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..tables import table
 
@@ -26,7 +26,11 @@ BROADCAST_WINDOWS = 200_000
 #: Words read as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "hrs", "ms", "hz", "khz", "mhz", "w", "kw", "v", "a", "k", "c", "f", "meters", "metres", "kilometers", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent")
 WORD = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
+NUMBER, NAME, QUANTITY = "<num>", "<name>", "<quantity>"
+#: Runs in words that are joined by blanks; possessive, so that a long run needs no stack.
+RUN = rf"\p{{Lu}}\p{{L}}*+(?: \p{{Lu}}\p{{L}}*+)*+|[0-9][0-9.,]*+(?: (?:{'|'.join(UNITS)})(?!\p{{L}}))?+|\p{{L}}++"
+#: Windows of an item whose shifts in a text lie as near to each other are one alignment.
+NEAR = 4
 
 
 def words(text: Column) -> Column:
@@ -55,17 +59,15 @@ def starters(items: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def template(tokens: Column, plain: list[str]) -> Column:
-    """The words with numbers, names and units as placeholders; those of ``plain`` are no names, but in lower case."""
-    first = lambda t: F.substring(t, 1, 1)
-    return F.transform(
-        tokens,
-        lambda t, i: F.when(first(t).between("0", "9"), NUMBER)
-        .when(t.isin(plain), F.lower(t))
-        .when((first(t) != F.lower(first(t))) & (first(t) == F.upper(first(t))), NAME)
-        .when(t.isin(*UNITS) & (i > 0) & first(F.get(tokens, i - 1)).between("0", "9"), UNIT)
-        .otherwise(t),
-    )
+def runs(tokens: Column, plain: list[str]) -> Column:
+    """The words, with those of a name or a quantity in one; those of ``plain`` are no names, but in lower case."""
+    lowered = F.transform(tokens, lambda t: F.when(t.isin(plain), F.lower(t)).otherwise(t)) if plain else tokens
+    return F.regexp_extract_all(F.array_join(lowered, " "), F.lit(RUN), F.lit(0))
+
+
+def template(tokens: Column) -> Column:
+    """The runs with numbers, quantities and names as placeholders."""
+    return F.transform(tokens, lambda t: F.when(F.substring(t, 1, 1).between("0", "9"), F.when(F.contains(t, F.lit(" ")), QUANTITY).otherwise(NUMBER)).when(_capital(t), NAME).otherwise(t))
 
 
 def _windows(form: Column, width: Column) -> Column:
@@ -85,11 +87,11 @@ def _agreeing(hit: DataFrame, line: list[str]) -> DataFrame:
 
     Of values as frequent the least counts. ``line`` names the columns of an alignment.
     """
-    slot = hit.select(*line, "at", F.explode("pairs").alias("slot")).select(*line, "at", "slot.*")
+    slot = hit.select(*line, "shift", "at", F.explode("pairs").alias("slot")).select(*line, "shift", "at", "slot.*")
     # a window with two values for one of the item's disagrees with any
     chosen = slot.groupBy(*line, "kind", "item").agg(F.mode("doc", True).alias("chosen"))
-    off = slot.join(chosen, [*line, "kind", "item"]).where(F.col("doc") != F.col("chosen")).select(*line, "at").distinct().withColumn("off", F.lit(True))
-    return hit.join(off, [*line, "at"], "left").where(F.col("same") | F.col("off").isNull())
+    off = slot.join(chosen, [*line, "kind", "item"]).where(F.col("doc") != F.col("chosen")).select(*line, "shift", "at").distinct().withColumn("off", F.lit(True))
+    return hit.join(off, [*line, "shift", "at"], "left").where(F.col("same") | F.col("off").isNull())
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -103,11 +105,11 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item without words or with a null text matches nothing.
     """
     plain = starters(benchmark)
-    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", words(F.col("text"))).withColumn("words", F.col("tokens"))
-    items = items.where((F.size("tokens") > 0) & F.col("item_id").isNotNull()).withColumn("form", template(F.col("tokens"), plain)).withColumn("width", F.least(F.lit(WINDOW), F.size("tokens")))
+    items = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("words", words(F.col("text"))).withColumn("tokens", runs(F.col("words"), plain))
+    items = items.where((F.size("tokens") > 0) & F.col("item_id").isNotNull()).withColumn("form", template(F.col("tokens"))).withColumn("width", F.least(F.lit(WINDOW), F.size("tokens")))
     windows = items.select("item_id", "tokens", "form", "width", F.posexplode(_windows(F.col("form"), F.col("width"))).alias("at", "window"))
     windows = windows.withColumns({"form": F.slice("form", F.col("at") + 1, F.col("width")), "tokens": F.slice("tokens", F.col("at") + 1, F.col("width"))})
-    windows = windows.withColumn("literals", F.size(F.filter("form", lambda t: ~t.isin(NUMBER, NAME, UNIT))))  # of the window, not again a part of it
+    windows = windows.withColumn("literals", F.size(F.filter("form", lambda t: ~t.isin(NUMBER, NAME, QUANTITY))))  # of the window, not again a part of it
     windows = windows.withColumn("strong", F.col("literals") >= F.least(F.lit(LITERALS), F.ceil(F.col("width") / 2)))
     kinds = windows.groupBy("item_id").agg(F.max("strong").alias("any"))
     share = F.when(F.col("any"), COVER).otherwise(WEAK_COVER).alias("share")
@@ -122,30 +124,34 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.join(sizes, ["item_id", "exact"]).withColumn("need", F.col("of") * F.col("share")).drop("share", "of")
 
     tokens = docs.select(*_key(F.col("text")), words(F.col("text")).alias("words"))
-    forms = tokens.withColumns({"tokens_": F.col("words"), "forms": template(F.col("words"), plain)})
+    forms = tokens.withColumn("runs", runs(F.col("words"), plain)).withColumn("forms", template(F.col("runs")))
     hits = []
     for width, paths in widths:
         none = F.array().cast("array<bigint>")
         own = _windows(F.col("forms"), F.lit(width)) if False in paths else none
         exact = _windows(F.col("words"), F.lit(width)) if True in paths else none
         first = F.greatest(F.size("forms") - width + 1, F.lit(0)) if False in paths else F.lit(0)  # place of the first window of words
-        found = forms.select("_k1", "_k2", "tokens_", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))
-        found = found.select("_k1", "_k2", "tokens_", "window", (F.col("place") >= F.col("first")).alias("exact"), F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") - F.col("first")).alias("place"))
+        found = forms.select("_k1", "_k2", "runs", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))
+        found = found.select("_k1", "_k2", "runs", "window", (F.col("place") >= F.col("first")).alias("exact"), F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") - F.col("first")).alias("place"))
         side = windows.where(F.col("width") == width)
         hit = found.join(F.broadcast(side) if few else side, ["window", "exact"])
-        hits.append(hit.select("_k1", "_k2", "item_id", "exact", "at", "need", "form", "tokens", (F.col("place") - F.col("at")).alias("shift"), F.when(F.col("exact"), nothing).otherwise(F.slice("tokens_", F.col("place") + 1, F.lit(width))).alias("own")))
+        hits.append(hit.select("_k1", "_k2", "item_id", "exact", "at", "need", "form", "tokens", (F.col("place") - F.col("at")).alias("shift"), F.when(F.col("exact"), nothing).otherwise(F.slice("runs", F.col("place") + 1, F.lit(width))).alias("own")))
     if not hits:
         return docs.sparkSession.createDataFrame([], "_k1 long, _k2 int, n_items long, item_ids string")
     hit = hits[0]
     for more in hits[1:]:
         hit = hit.unionByName(more)
-    slots = F.filter(F.arrays_zip("form", "tokens", "own"), lambda x: x["form"].isin(NUMBER, NAME, UNIT))
+    slots = F.filter(F.arrays_zip("form", "tokens", "own"), lambda x: x["form"].isin(NUMBER, NAME, QUANTITY))
     pairs = F.transform(slots, lambda x: F.struct(x["form"].alias("kind"), x["tokens"].alias("item"), x["own"].alias("doc")))
-    # copies of a text meet here before the shuffle; a group has a row for each window of its item at most
-    line = ["_k1", "_k2", "item_id", "exact", "shift"]
+    # copies of a text meet here before the shuffle
     same = F.forall(pairs, lambda x: x["item"] == x["doc"])
-    hit = hit.select(*line, "at", "need", pairs.alias("pairs"), same.alias("same")).dropDuplicates([*line, "at"])
-    leak = _agreeing(hit, line).groupBy(*line).agg(F.count("*").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need"))
+    hit = hit.select("_k1", "_k2", "item_id", "exact", "shift", "at", "need", pairs.alias("pairs"), same.alias("same")).dropDuplicates(["_k1", "_k2", "item_id", "exact", "shift", "at"])
+    # shifts of an item in a text, in order; a wider step begins an alignment
+    by = Window.partitionBy("_k1", "_k2", "item_id", "exact").orderBy("shift")
+    step = hit.select("_k1", "_k2", "item_id", "exact", "shift").distinct().withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(by) > NEAR, F.lit(True)).cast("int"))
+    line = ["_k1", "_k2", "item_id", "exact", "line"]
+    hit = hit.join(step.select("_k1", "_k2", "item_id", "exact", "shift", F.sum("new").over(by).alias("line")), ["_k1", "_k2", "item_id", "exact", "shift"])
+    leak = _agreeing(hit, line).groupBy(*line).agg(F.countDistinct("at").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need"))
     return leak.groupBy("_k1", "_k2").agg(F.countDistinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"))
 
 

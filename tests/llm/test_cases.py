@@ -197,6 +197,17 @@ def test_decontamination_finds_items_of_few_literal_words(spark):
     assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "2", 6: "", 7: "", 8: ""}
 
 
+def test_decontamination_takes_names_of_another_length(spark):
+    item = "Maria Lopez sold 12 boxes of red apples to Peter and then paid John Smith 5 dollars for a ride back to the market"
+    other = "Anna sold 30 boxes of red apples to Mary Ann Jones and then paid Bob 7 dollars for a ride back to the market"
+    parts = "we took the old road from the mill to the lake", "and saw a bird on each stone before the rain", "came down on us all at once"
+    long, split = " ".join(parts), " then ".join(parts)  # 4, 3 and 0 of 21 windows, at three shifts
+    benchmark = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, other), (2, prose(5, 30) + " " + other + " " + prose(6, 30)), (3, split), (4, prose(7, 90)), (5, "CAPITALS " * 30_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.decontaminate(rows, benchmark).collect()}
+    assert got == {1: "1", 2: "1", 3: "2", 4: "", 5: ""}
+
+
 def test_lm_scores(spark, docs, none):
     assert lm_scores.backoff_scores(none).count() == 0
     got = lm_scores.backoff_scores(docs.withColumn("n_words", F.lit(0)), order=3).toPandas()
