@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..tables import table
+from ..tables import checkpointed, table
 
 #: Words of a window, and how many of them must not be placeholders.
 WINDOW, LITERALS = 8, 4
@@ -146,6 +146,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # copies of a text meet here before the shuffle
     same = F.forall(pairs, lambda x: x["item"] == x["doc"])
     hit = hit.select("_k1", "_k2", "item_id", "exact", "shift", "at", "need", pairs.alias("pairs"), same.alias("same")).dropDuplicates(["_k1", "_k2", "item_id", "exact", "shift", "at"])
+    hit = checkpointed(hit)  # read several times below; the documents once
     # shifts of an item in a text, in order; a wider step begins an alignment
     by = Window.partitionBy("_k1", "_k2", "item_id", "exact").orderBy("shift")
     step = hit.select("_k1", "_k2", "item_id", "exact", "shift").distinct().withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(by) > NEAR, F.lit(True)).cast("int"))
