@@ -3,117 +3,213 @@
 A document is toxic if any sentence is: ``P(doc) = 1 - prod(1 - P(sentence))``. Sentence
 weights are learned from document labels through that formula, and then also say which
 sentences gave a document its score.
+
+A sentence's features are its words and their beginnings (so that inflected words share
+one), in lower case. Spark counts in how many sampled documents of each class each feature
+occurs; the most telling ones make the model, and only their places in the sampled sentences
+come to the driver, where the weights are fitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..tables import table
-from .arrays import slices, word_hashes
-
-#: Cells of the hashed word weights.
-FEATURES = 1 << 18
-#: The model is fitted on this many labelled documents of each class at most (the least hashes of their keys).
-SAMPLE = 3000
-#: Words in fewer documents of the sample have no weight.
-LEAST_DOCS = 3
-STEPS, RATE, PENALTY = 120, 0.15, 2e-4
+from .arrays import joined, mix, running, slices, spans
+
+#: The model is fitted on this many labelled documents of each class at most (the least hashes of their keys), none of more characters than this.
+SAMPLE, SAMPLE_CHARS = 4000, 100_000
+#: Bytes of the beginnings of words that are features, besides whole words.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: The model has this many features at most, those with the greatest likelihood ratio between the classes, each in this many documents at least and with this ratio at least.
+FEATURES, LEAST_DOCS, LEAST_RATIO = 4096, 4, 12.0
+#: A sampled document brings this many feature places to the fit at most.
+PLACES = 2000
+#: Penalties tried; the one with the best likelihood of the sample's fourth that a first fit leaves out is taken.
+PENALTIES, STEPS, RATE = (3e-5, 3e-4, 3e-3), 150, 0.1
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 13, 33, 46, 63]] = True  # line ends, !, ., ?
 
 
-def _instances(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word features, each word's sentence, each sentence's text, and each sentence's span in its text (sentences without words have none)."""
-    hashed, text, first, last, data = word_hashes(texts, _BREAK)
-    stops = np.cumsum(_STOP[data])
-    if not len(hashed):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    new = np.concatenate([[True], (stops[first[1:]] != stops[first[:-1]]) | (text[1:] != text[:-1])])
-    sentence = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    offset = np.concatenate([[0], np.cumsum(size + 1)[:-1]])[text[begin]]
-    span = np.stack([first[begin] - offset, last[np.concatenate([begin[1:], [len(first)]]) - 1] - offset], axis=1)
-    return (hashed & np.uint64(FEATURES - 1)).astype(np.int64), sentence, text[begin], span
+class Model(NamedTuple):
+    """Sorted feature hashes, their weights, and the constant of a sentence."""
+
+    features: np.ndarray
+    weights: np.ndarray
+    constant: float
 
 
-def _sliced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word features, each word's sentence and each sentence's text, with memory for one slice's bytes at a time."""
-    parts, sentences, before = [], 0, 0
-    for piece, own in slices(iter([pd.DataFrame({"text": [t.decode("utf-8", "replace") for t in texts]})])):
-        word, sentence, text, _ = _instances(own)
-        parts.append((word.astype(np.int32), (sentence + sentences).astype(np.int32), (text + before).astype(np.int32)))
-        sentences, before = sentences + len(text), before + len(piece)
-    return tuple(np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+def _lowered(text: bytes) -> bytes:
+    """In lower case, character by character where that would move the bytes behind."""
+    if text.isascii():
+        return text.lower()
+    own = text.decode("utf-8", "surrogatepass")
+    low = own.lower().encode("utf-8", "surrogatepass")
+    if len(low) == len(text):
+        return low
+    pairs = ((c.encode("utf-8", "surrogatepass"), c.lower().encode("utf-8", "surrogatepass")) for c in own)
+    return b"".join(small if len(small) == len(c) else c for c, small in pairs)
+
+
+def _instances(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Feature hashes, each one's sentence, each sentence's text, and each sentence's span in its text (sentences without words have none)."""
+    data, start, _ = joined([_lowered(t) for t in texts])
+    inside = np.concatenate([[False], ~_BREAK[data], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2], edge[1::2]
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    text = np.searchsorted(start, first, side="right") - 1
+    stops = np.cumsum(_STOP[data])
+    new = np.concatenate([[True], (stops[first[1:]] != stops[first[:-1]]) | (text[1:] != text[:-1])])
+    sentence, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    span = np.stack([first[begin], last[np.concatenate([begin[1:], [len(first)]]) - 1]], axis=1) - start[text[begin]][:, None]
+    sums = running(data)
+    hashes, owner = [spans(sums, first, last)], [sentence]
+    for k in BEGINNINGS:
+        longer = last - first > k
+        hashes.append(mix(spans(sums, first[longer], first[longer] + k), k))
+        owner.append(sentence[longer])
+    return np.concatenate(hashes), np.concatenate(owner), text[begin], span
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of the features and, last, of the constant: the noisy-or likelihood by gradient steps (Adam)."""
-    word, sentence, text = _sliced(texts)
-    w = np.zeros(FEATURES + 1)
-    w[-1] = -5.0
-    if not len(word):
-        return w
-    pairs = np.unique(word.astype(np.int64) * len(texts) + text[sentence])
-    used, docs = np.unique(pairs // len(texts), return_counts=True)
-    used = used[docs >= LEAST_DOCS]
-    place = np.full(FEATURES, len(used), dtype=np.int32)
-    place[used] = np.arange(len(used))
-    column, rows = place[word], sentence
-    known = column < len(used)
-    column, rows = column[known], rows[known]
-    del pairs, word, sentence, known
-    v = np.concatenate([np.zeros(len(used)), [-5.0]])
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
+
+
+def _risk(v: np.ndarray, rows: np.ndarray, column: np.ndarray, own: np.ndarray, docs: int, idle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the sentences that have features, and ``-log P(clean)`` of each document, whose other sentences are only counted."""
+    z = np.bincount(rows, weights=v[column], minlength=len(own)) + v[-1]
+    return z, np.bincount(own, weights=_softplus(z), minlength=docs) + idle * _softplus(v[-1])
+
+
+def _descend(rows: np.ndarray, column: np.ndarray, own: np.ndarray, idle: np.ndarray, toxic: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> np.ndarray:
+    """Weights and constant of the penalised noisy-or likelihood, by gradient steps (Adam)."""
+    v = np.concatenate([np.zeros(n), [-5.0]])
     m, s = np.zeros_like(v), np.zeros_like(v)
-    weight = weight / weight.sum()
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, weights=v[column], minlength=len(text)) + v[-1]
-        risk = np.bincount(text, weights=_softplus(z), minlength=len(texts))
-        slope = np.where(toxic, -1 / np.expm1(np.clip(risk, 1e-9, 500)), 1.0) * weight
-        dz = slope[text] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(column, weights=dz[rows], minlength=len(used)) + PENALTY * v[:-1] / len(used) * 10, [dz.sum()]])
+        z, risk = _risk(v, rows, column, own, len(toxic), idle)
+        slope = np.where(toxic, -1 / np.expm1(np.clip(risk, 1e-6, 50)), 1.0) * weight
+        dz = slope[own] * _sigmoid(z)
+        grad = np.concatenate([np.bincount(column, weights=dz[rows], minlength=n) + penalty * v[:-1], [dz.sum() + (slope * idle).sum() * _sigmoid(v[-1])]])
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    w[used], w[-1] = v[:-1], v[-1]
-    return w
+    return v
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> np.ndarray:
-    """Weights learned from the texts of ``docs`` (``key``, ``text``) whose key ``labels`` (``key``, ``toxic``) marks 0 or 1.
+def fit(places: pd.DataFrame, docs: pd.DataFrame, features: np.ndarray) -> Model:
+    """The model of sampled documents (``doc``, ``toxic``, ``sentences``) with features at ``places`` (``doc``, ``sentence``, ``feature`` as a place in ``features``).
 
-    Null keys and labels are left out; a key with both labels counts as toxic. Up to
-    :data:`SAMPLE` documents of each class are read, weighted to the classes' true sizes.
-    Without labels of either class nothing is learned and every score stays near 0.
+    Both classes weigh the same, so 0.5 is where a document is as likely under the one as under the other.
+    """
+    toxic, number = docs["toxic"].to_numpy(dtype=bool), {d: i for i, d in enumerate(docs["doc"])}
+    if toxic.all() or not toxic.any() or not len(features):
+        return Model(features[:0], np.zeros(0), -20.0)
+    doc = places["doc"].map(number).to_numpy(dtype=np.int64)
+    sentence = np.stack([doc, places["sentence"].to_numpy(dtype=np.int64)], axis=1)
+    known, rows = np.unique(sentence, axis=0, return_inverse=True) if len(sentence) else (sentence, np.zeros(0, np.int64))
+    rows, own, column = rows.reshape(-1), known[:, 0], places["feature"].to_numpy(dtype=np.int64)
+    idle = docs["sentences"].to_numpy(dtype=np.float64) - np.bincount(own, minlength=len(docs))
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    apart = (docs["doc"].to_numpy().astype(np.uint64) >> np.uint64(3)) % np.uint64(4) == 0
+    if len(PENALTIES) > 1 and (toxic & apart).any() and (toxic & ~apart).any() and (~toxic & apart).any():
+        tried = []
+        for penalty in PENALTIES:
+            v = _descend(rows, column, own, idle, toxic, np.where(apart, 0, weight), len(features), penalty)
+            _, risk = _risk(v, rows, column, own, len(toxic), idle)
+            loss = np.where(toxic, -np.log(-np.expm1(-np.clip(risk, 1e-6, 50))), risk)
+            tried.append(((loss * weight)[apart].sum(), penalty))
+        penalty = min(tried)[1]
+    else:
+        penalty = PENALTIES[-1]
+    v = _descend(rows, column, own, idle, toxic, weight, len(features), penalty)
+    return Model(features, v[:-1], float(v[-1]))
+
+
+def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many of a slice's documents of each class each feature occurs."""
+    for frame, texts in slices(frames):
+        feature, sentence, text, _ = _instances(texts)
+        found = np.unique(np.stack([feature, text[sentence].astype(np.uint64)], axis=1), axis=0)
+        toxic = frame["toxic"].to_numpy(dtype=np.int64)[found[:, 1].astype(np.int64)]
+        value, first = np.unique(found[:, 0], return_index=True)
+        counts = np.add.reduceat(np.stack([1 - toxic, toxic], axis=1), first, axis=0) if len(value) else np.zeros((0, 2), np.int64)
+        yield pd.DataFrame({"feature": value.view(np.int64), "clean": counts[:, 0], "toxic": counts[:, 1]})
+
+
+def _matched(features: np.ndarray, feature: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``features`` and sentences, each pair once."""
+    if not len(features):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(features, feature), len(features) - 1)
+    hit = features[place] == feature
+    both = np.unique(sentence[hit] * len(features) + place[hit])
+    return both % len(features), both // len(features)
+
+
+def _places(frames: Iterator[pd.DataFrame], features: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The model's features in each sentence of sampled documents; a row with a null sentence gives a document's number of sentences."""
+    names = ["doc", "toxic", "sentence", "feature"]
+    for frame, texts in slices(frames):
+        feature, sentence, text, _ = _instances(texts)
+        column, row = _matched(features, feature, sentence)
+        own = text[row]
+        keep = np.arange(len(own)) - np.searchsorted(own, own) < PLACES
+        column, row, own = column[keep], row[keep], own[keep]
+        doc, toxic = frame["doc"].to_numpy(), frame["toxic"].to_numpy()
+        yield pd.DataFrame({"doc": doc, "toxic": toxic, "sentence": pd.array([None] * len(doc), dtype="Int64"), "feature": np.bincount(text, minlength=len(texts))})[names]
+        yield pd.DataFrame({"doc": doc[own], "toxic": toxic[own], "sentence": pd.array(row, dtype="Int64"), "feature": column})[names]
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
+    """The model learned from the texts of ``docs`` (``key``, ``text``) whose key ``labels`` (``key``, ``toxic``) marks 0 or 1.
+
+    Null keys and labels are left out; a key with both labels counts as toxic, equal texts of
+    a key and class count once, empty ones not. Up to :data:`SAMPLE` documents of each class
+    are read. Without labels of either class nothing is learned and every score stays near 0.
     """
+    spark = docs.sparkSession
     marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    sizes = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
     order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
     picked = marks.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(marks.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    sample = docs.select(key, "text").join(F.broadcast(picked), key).select("text", "toxic").toPandas()  # 2 * SAMPLE keys at most
-    toxic = sample["toxic"].to_numpy(dtype=bool)
-    own = {c: max(1, int((toxic == c).sum())) for c in (False, True)}
-    weight = np.where(toxic, sizes.get(1, 0) / own[True], sizes.get(0, 0) / own[False]).astype(float)
-    texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in sample["text"]]
-    return fit(texts, toxic, np.maximum(weight, 1e-9))
+    texts = docs.select(key, "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked), key)  # 2 * SAMPLE keys
+    named = texts.select(F.xxhash64(F.col(key).cast("string"), "text").alias("doc"), "toxic", "text").dropDuplicates(["doc"])
+    sample = named.where("toxic = 1").orderBy("doc").limit(SAMPLE).union(named.where("toxic = 0").orderBy("doc").limit(SAMPLE))  # a key may have many rows
+    sample = sample.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
+    sizes = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return fit(pd.DataFrame(), pd.DataFrame({"doc": [], "toxic": []}), np.zeros(0, np.uint64))
+    counts = sample.mapInPandas(_occurrences, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    p, q = F.col("toxic") / sizes[1], F.col("clean") / sizes[0]
+    both = (F.col("toxic") + F.col("clean")) / (sizes[0] + sizes[1])
+    part = lambda k, r, base: F.when(k > 0, k * F.log(r / base)).otherwise(0.0)
+    rest = lambda n, r: (n * (1 - r)) * F.when(r < 1, F.log((1 - r) / F.greatest(1 - both, F.lit(1e-9)))).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), p, both) + part(F.col("clean"), q, both) + rest(F.lit(sizes[1]), p) + rest(F.lit(sizes[0]), q))
+    telling = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    features = np.sort(telling.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))
+    found = sample.mapInPandas(partial(_places, features=features), "doc long, toxic int, sentence long, feature long").toPandas()  # PLACES + 1 rows for each of 2 * SAMPLE documents at most
+    own = found["sentence"].isna()
+    return fit(found[~own], found[own].rename(columns={"feature": "sentences"}).sort_values("doc").reset_index(drop=True), features)
 
 
 def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[pd.DataFrame]:
-    w = model.value
+    features, weights, constant = model.value
     for frame, texts in slices(frames):
-        word, sentence, text, span = _instances(texts)
-        z = np.bincount(sentence, weights=w[word], minlength=len(text)) + w[-1]
+        feature, sentence, text, span = _instances(texts)
+        column, row = _matched(features, feature, sentence)
+        z = np.bincount(row, weights=weights[column], minlength=len(text)) + constant
         risk = np.bincount(text, weights=_softplus(z), minlength=len(texts))
         n = np.bincount(text, minlength=len(texts))
         offending = np.bincount(text[z >= 0], minlength=len(texts))
@@ -123,7 +219,7 @@ def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[p
         yield (frame if keep_text else frame.drop(columns=["text"])).assign(score=-np.expm1(-risk), n_sentences=n, n_offending=offending, worst_sentence=where)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless it is to be kept) with ``score``, ``n_sentences``, ``n_offending`` (each alone at 0.5 or more) and ``worst_sentence`` (the first of the likeliest).
 
     Null texts and texts without words score 0 and have no sentence. Other columns pass
@@ -131,12 +227,12 @@ def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> Data
     """
     docs = docs.drop("score", "n_sentences", "n_offending", "worst_sentence")
     schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"]).add("score", "double").add("n_sentences", "long").add("n_offending", "long").add("worst_sentence", "string")
-    return docs.mapInPandas(partial(_score, model=docs.sparkSession.sparkContext.broadcast(weights), keep_text=keep_text), schema)
+    return docs.mapInPandas(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), keep_text=keep_text), schema)
 
 
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    weights = train(docs, labels.where(~held_out))
-    scored = score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), weights)
+    model = train(docs, labels.where(~held_out))
+    scored = score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending", "worst_sentence")
