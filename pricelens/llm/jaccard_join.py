@@ -1,15 +1,20 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
-Two sets with Jaccard similarity t or more share a token among the first
-``n - ceil(t * n) + 1`` of each, under any order of all tokens. The first order puts tokens
-that are frequent in a sample last, the others are plain hash orders. Sharing a prefix token
-under the first order makes a candidate; it must also share one under every other order
-before the sets are compared.
+Two sets with Jaccard similarity t or more share l tokens among the first
+``n - ceil(t * n) + l`` of each, under any order of all tokens. Three orders are used:
+
+1. A hash order says which sets can have a partner at all: those that share enough of their
+   prefix tokens with other sets. Only their tokens go on.
+2. Among these sets tokens are ordered by their exact number of sets, rare ones first. Tokens
+   of one set need not be compared, and what is left of a prefix makes the candidates.
+3. A candidate pair must also share a prefix token under the first order and under a further
+   hash order, before the sets meet.
 
 Tokens of few sets give all their pairs. For a token of many sets one of them, the hub, is
-compared with all; with the distances to the hub, the triangle inequality of the Jaccard
-distance leaves out pairs that cannot link, and pairs that are already connected need no
-test. The result is the components, which lose no link by that.
+paired with all; what doesn't link to the hub is then compared with its group in packed
+blocks, passing over pairs that bounds exclude or that are already connected. The result is
+the components, which lose no link by that. Texts are read twice and never compared; sets
+meet as arrays of those tokens that several sets have.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..tables import checkpointed, table
 from .arrays import mix, slices, word_hashes
@@ -27,14 +32,17 @@ from .components import components
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 75
-#: Hash orders besides the first order.
-MORE_ORDERS = (2, 3)
-#: Documents sampled for the first order, about, and in how many of them a token is frequent. The order changes the work only, not the result.
-SAMPLE, FREQUENT = 16_000, 8
+#: Seeds of the hash orders.
+FIRST_ORDER, THIRD_ORDER = 1, 2
+#: The first order's prefixes are longer by one in this many tokens, and as many must be shared.
+LONGER = 12
 #: Tokens with more sets in their prefix group get a hub.
 GROUP = 16
-#: Bits of the filter that keeps sets without candidates from being moved; a fixed size.
-FILTER_BITS = 1 << 24
+#: Sets sampled for tokens that need no counting, about, and in how many of them such a token is: these come last in the second order. This spreads hot tokens and changes the work only, not the result.
+SAMPLE, FREQUENT = 16_000, 64
+#: Tokens of the sets of a packed block, about.
+BLOCK_TOKENS = 100_000
+_LAST = (1 << 31) - 1
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,8 +72,19 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens, 7).sum(dtype=np.uint64) ^ (mix(tokens, 8).sum(dtype=np.uint64) << np.uint64(1)) ^ np.uint64(len(tokens))]), 9).view(np.int64)[0])
 
 
-def _prefix_size(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def _least_shared(n: int) -> int:
+    """What a set of ``n`` tokens shares at least with any that it links to."""
+    return -(-PERCENT * n // 100)
+
+
+def _prefix(tokens: np.ndarray, order: int, longer: int = 0) -> np.ndarray:
+    """Which tokens are among the first under a hash order."""
+    size = len(tokens) - _least_shared(len(tokens)) + 1 + longer
+    first = np.ones(len(tokens), dtype=bool)
+    if size < len(tokens):
+        first[:] = False
+        first[np.argpartition(mix(tokens, order), size - 1)[:size]] = True
+    return first
 
 
 def _ids(frames: Iterator[pd.DataFrame], keep_text: bool = False) -> Iterator[pd.DataFrame]:
@@ -74,266 +93,213 @@ def _ids(frames: Iterator[pd.DataFrame], keep_text: bool = False) -> Iterator[pd
         yield (frame if keep_text else frame.drop(columns=["text"])).assign(sig=[_signature(s) for s in sets], n_shingles=[len(s) for s in sets])
 
 
-def _fresh(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """Signature, set and text of each document whose set is not one just seen in this task."""
+def _fresh(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarray, bytes]]]:
+    """By slices: signature, set and text of each document whose set is not one just seen in this task."""
     seen: set[int] = set()
     for _, texts in slices(frames):
+        found = []
         for s, text in zip(shingle_sets(texts), texts, strict=True):
             if len(s) and (sig := _signature(s)) not in seen:
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sig)
-                yield sig, s, text
-
-
-def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, texts in slices(frames):
-        tokens, docs = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts)]), return_counts=True)
-        yield pd.DataFrame({"token": tokens.view(np.int64), "docs": docs})
-
-
-def _prefixes(frames: Iterator[pd.DataFrame], last) -> Iterator[pd.DataFrame]:
-    """The prefix tokens of each set under the first order."""
-    held, size = [], 0
-
-    def rows() -> pd.DataFrame:
-        return pd.DataFrame({"token": np.concatenate([x[0] for x in held]).view(np.int64), "sig": np.repeat([x[1] for x in held], [len(x[0]) for x in held]), "n": np.repeat(np.array([x[2] for x in held], dtype=np.int32), [len(x[0]) for x in held])})
-
-    for sig, tokens, _ in _fresh(frames):
-        rank = mix(tokens, 1) >> np.uint64(1)
-        if len(last.value):
-            place = np.minimum(np.searchsorted(last.value, tokens), len(last.value) - 1)
-            rank[last.value[place] == tokens] |= np.uint64(1 << 63)
-        keep = _prefix_size(len(tokens))
-        own = tokens[np.argpartition(rank, keep - 1)[:keep]] if keep < len(tokens) else tokens
-        held.append((own, sig, len(tokens)))
-        size += len(own)
-        if size > 200_000:
-            yield rows()
-            held, size = [], 0
-    if held:
-        yield rows()
-
-
-def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From prefix tokens sorted by token: all pairs of small groups (with ``token`` null), and the rows of large ones (``b`` null)."""
-    names = ["token", "a", "b", "n"]
-
-    def closed(token: np.ndarray, sig: np.ndarray, n: np.ndarray, large: int | None) -> pd.DataFrame:
-        order = np.lexsort((sig, token))
-        token, sig, n = token[order], sig[order], n[order]
-        keep = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])[: len(token)]
-        token, sig, n = token[keep], sig[keep], n[keep]
-        _, group, size = np.unique(token, return_inverse=True, return_counts=True)
-        many = (size > GROUP)[group]
-        if large is not None:
-            many |= token == large
-        a, b = [], []
-        for step in range(1, GROUP):
-            i = np.flatnonzero((token[:-step] == token[step:]) & ~many[:-step]) if len(token) > step else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            small, big = np.minimum(n[i], n[i + step]).astype(np.int64), np.maximum(n[i], n[i + step]).astype(np.int64)
-            i = i[100 * small >= PERCENT * big]
-            a.append(sig[i])
-            b.append(sig[i + step])
-        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])], axis=1), axis=0)
-        out = pd.DataFrame({"token": pd.array([None] * len(pairs), dtype="Int64"), "a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64"), "n": 0})
-        hot = pd.DataFrame({"token": pd.array(token[many], dtype="Int64"), "a": sig[many], "b": pd.array([None] * int(many.sum()), dtype="Int64"), "n": n[many]})
-        return pd.concat([out, hot])[names]
-
-    held, large, left = None, None, 0
-    for frame in frames:
-        data = [frame[c].to_numpy() for c in ("token", "sig", "n")]
-        if held is not None:
-            data = [np.concatenate(x) for x in zip(held, data, strict=True)]
-        open_ = data[0] == data[0][-1]
-        if open_.sum() > 50_000:  # a large group goes on its way before its end has come
-            value = int(data[0][-1])
-            yield closed(*data, value)
-            large, held = value, [x[:0] for x in data]
-            continue
-        if open_.all():
-            held = data
-            continue
-        yield closed(*[x[~open_] for x in data], large)
-        held = [x[open_] for x in data]
-    if held is not None and len(held[0]):
-        yield closed(*held, large)
-
-
-def _wanted(sig: int, bits: np.ndarray) -> bool:
-    h = int(mix(np.array([sig], dtype=np.int64).view(np.uint64), 5)[0]) % FILTER_BITS
-    return bool(int(bits[h >> 5]) >> (h & 31) & 1)
-
-
-def _sketch(tokens: np.ndarray, text: bytes) -> bytes:
-    """How many tokens fall into each of some cells, at least four for a token, compressed; empty if a count is above 255."""
-    import zstandard
-
-    cells = 4 << max(4, (len(tokens) - 1).bit_length())
-    counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return zstandard.ZstdCompressor(level=3).compress(counts.astype(np.uint8).tobytes()) if counts.max() <= 255 else b""
-
-
-def _most_shared(x: np.ndarray, y: np.ndarray) -> int:
-    """No fewer tokens than the sets of the two sketches share."""
-    small, big = sorted((x, y), key=len)
-    return int(np.minimum(small, big.reshape(-1, len(small)).sum(axis=0)).sum())
-
+                found.append((sig, s, text))
+        yield found
 
-def _picked(frames: Iterator[pd.DataFrame], wanted, form) -> Iterator[pd.DataFrame]:
-    """Sets whose signature the filter has, each as ``form`` makes of it or its text."""
-    rows: list[tuple[int, int, bytes]] = []
-    for sig, tokens, text in _fresh(frames):
-        if _wanted(sig, wanted.value):
-            rows.append((sig, len(tokens), form(tokens, text)))
-        if len(rows) >= 500:
-            yield pd.DataFrame(rows, columns=["sig", "n", "data"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["sig", "n", "data"])
 
+def _first_prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Prefix tokens under the first order; ``hits`` counts for the set if another one has the token too.
 
-def _packed(tokens: np.ndarray, text: bytes) -> bytes:
-    """The text, compressed: a third of its shingles' hashes, which a task makes anew from it."""
+    A token that several sets of a slice have is known to be shared: the sets get their hits
+    in a row without a token, and two rows let sets elsewhere know. So a hot token is two rows
+    a slice at most.
+    """
+    for found in _fresh(frames):
+        own = [s[_prefix(s, FIRST_ORDER, len(s) // LONGER)] for _, s, _ in found]
+        if not own:
+            continue
+        tokens, which = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        sig, least = np.array([f[0] for f in found], dtype=np.int64), np.array([max(1, _least_shared(len(f[1])) // LONGER) for f in found], dtype=np.int32)
+        _, first, same, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+        alone = times[same] == 1
+        last = np.zeros(len(first), dtype=np.int64)
+        last[same] = np.arange(len(tokens))
+        shared = times > 1
+        hits = np.bincount(which[~alone], minlength=len(own))
+        known = np.flatnonzero(hits)
+        parts = [(tokens[alone], which[alone], 1), (tokens[first[shared]], which[first[shared]], 0), (tokens[last[shared]], which[last[shared]], 0)]
+        for token, at, value in parts:
+            yield pd.DataFrame({"token": pd.array(token.view(np.int64), dtype="Int64"), "sig": sig[at], "least": least[at], "hits": np.full(len(at), value, dtype=np.int32)})
+        yield pd.DataFrame({"token": pd.array([None] * len(known), dtype="Int64"), "sig": sig[known], "least": least[known], "hits": hits[known].astype(np.int32)})
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each set's text once a task, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(text)
+    press = zstandard.ZstdCompressor(level=3).compress
+    for found in _fresh(frames):
+        yield pd.DataFrame({"sig": np.array([f[0] for f in found], dtype=np.int64), "data": [press(f[2]) for f in found]})
 
 
-def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with the most tokens that their sketches let them share, and whether they can link with that."""
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
     import zstandard
 
+    open_ = zstandard.ZstdDecompressor().decompress
     for frame in frames:
-        open_, most, before, own = zstandard.ZstdDecompressor().decompress, [], None, None
-        for a, x, y, na, nb in zip(frame["a"], frame["x"], frame["y"], frame["na"], frame["nb"], strict=True):
-            if a != before:
-                before, own = a, np.frombuffer(open_(x), dtype=np.uint8).astype(np.int32) if x else None
-            most.append(_most_shared(own, np.frombuffer(open_(y), dtype=np.uint8).astype(np.int32)) if own is not None and y else min(na, nb))
-        out = frame[["a", "b", "measure", "na", "nb"]].assign(most=np.array(most, dtype=np.int64))
-        yield out.assign(possible=100 * out["most"] >= PERCENT * (out["na"] + out["nb"] - out["most"]))
-
-
-def _bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        h = mix(frame["sig"].to_numpy().view(np.uint64), 5) % np.uint64(FILTER_BITS)
-        yield pd.DataFrame({"cell": (h >> np.uint64(5)).astype(np.int32), "mask": np.int64(1) << (h & np.uint64(31)).astype(np.int64)})
+        for begin in range(0, len(frame), 200):
+            piece = frame.iloc[begin : begin + 200]
+            yield from zip(piece["sig"].tolist(), shingle_sets([open_(x) for x in piece["data"]]), strict=True)
 
 
-def _prefix(tokens: np.ndarray, order: int) -> np.ndarray:
-    size = _prefix_size(len(tokens))
-    return tokens[np.argpartition(mix(tokens, order), size - 1)[:size]] if size < len(tokens) else tokens
-
-
-def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shared tokens and sizes of each pair; -1 shared where a further order's prefixes have nothing in common (unless ``measure``)."""
-    import zstandard
-
+def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, tokens in _sets(frames):
+        yield pd.DataFrame({"token": tokens.view(np.int64)})
+
+
+def _tokens(frames: Iterator[pd.DataFrame], last) -> Iterator[pd.DataFrame]:
+    """All tokens of each set: whether they come last, and whether they are prefix tokens under the hash orders."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for sig, tokens in _sets(frames):
+        place = np.minimum(np.searchsorted(last.value, tokens), len(last.value) - 1)
+        often = last.value[place] == tokens if len(last.value) else np.zeros(len(tokens), dtype=bool)
+        marks = _prefix(tokens, FIRST_ORDER) * 1 + _prefix(tokens, THIRD_ORDER) * 2 + often * 4
+        held.append(pd.DataFrame({"token": tokens.view(np.int64), "sig": sig, "n": np.int32(len(tokens)), "marks": marks.astype(np.int8)}))
+        size += len(tokens)
+        if size > 100_000:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def _linked(shared: Column, n: Column, m: Column) -> Column:
+    return shared * 100 >= PERCENT * (n + m - shared)
+
+
+def _live(texts: DataFrame) -> DataFrame:
+    """Signatures of sets that share enough prefix tokens under the first order to have a partner."""
+    rows = texts.mapInPandas(_first_prefixes, "token long, sig long, least int, hits int")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("key", F.coalesce("token", "sig")).repartition(parts, "key")  # once for both uses
+    several = dealt.where("token is not null").groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
+    shared = dealt.where("token is not null and hits > 0").join(several, "key", "left_semi").select("sig", "least", "hits")
+    every = shared.unionByName(dealt.where("token is null").select("sig", "least", "hits"))
+    return every.groupBy("sig").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("sig")
+
+
+def _cores(texts: DataFrame) -> DataFrame:
+    """For each set that can have a partner: ``sig``, its size ``n``, its tokens that other such sets have (``core``, in the second order), how many of these are prefix tokens (``k``), and those in the prefixes of the hash orders (``first``, ``third``)."""
+    spark = texts.sparkSession
+    live = checkpointed(_live(texts))
+    compressed = checkpointed(texts.mapInPandas(_texts, "sig long, data binary").join(live, "sig", "left_semi").dropDuplicates(["sig"]))
+    share = min(1.0, SAMPLE / max(1, compressed.count()))
+    sampled = compressed.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    often = sampled.mapInPandas(_frequent, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token")
+    last = np.sort(often.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))  # of a bounded sample
+    rows = compressed.mapInPandas(partial(_tokens, last=spark.sparkContext.broadcast(last)), "token long, sig long, n int, marks tinyint")
+    often = F.col("marks").bitwiseAND(4) > 0
+    # a token of very many sets is not counted, so its rows may be anywhere
+    counted = rows.withColumn("key", F.when(often, F.xxhash64("token", "sig")).otherwise(F.col("token")))
+    counted = counted.withColumn("sets", F.when(often, F.lit(_LAST)).otherwise(F.count("*").over(Window.partitionBy("key")).cast("int"))).where("sets > 1")
+    own = counted.groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token", "marks"))).alias("own"))  # one set's own tokens
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    own = own.where(F.size("own") >= least).withColumn("k", (F.size("own") - least + 1).cast("int"))  # the tokens of one set come before
+    marked = lambda bit: F.transform(F.filter("own", lambda x: x["marks"].bitwiseAND(bit) > 0), lambda x: x["token"])
+    return checkpointed(own.select("sig", "n", F.col("own.token").alias("core"), "k", marked(1).alias("first"), marked(2).alias("third")))
+
+
+def _with(pairs: DataFrame, cores: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of both sides' sets next to the pairs ``a``, ``b``, with ``_a`` and ``_b`` in their names."""
+    for side in ("a", "b"):
+        pairs = pairs.join(cores.select(F.col("sig").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def _compared(pairs: DataFrame, cores: DataFrame) -> DataFrame:
+    """What the sets of the pairs share, for those that share prefix tokens under the other orders too."""
+    both = _with(pairs, cores, ["first", "third"]).where(F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    met = _with(both, cores, ["n", "core"])
+    return met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("core_a", "core_b")).alias("shared"))
+
+
+def _between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between the sets of two packed blocks that are not connected yet."""
     for frame in frames:
-        for begin in range(0, len(frame), 300):
-            piece = frame.iloc[begin : begin + 300]
-            open_ = zstandard.ZstdDecompressor().decompress
-            left = piece.drop_duplicates("a")
-            lefts = dict(zip(left["a"], shingle_sets([open_(x) for x in left["x"]]), strict=True))
-            prefixes: dict[int, list[np.ndarray]] = {}
-            rows = []
-            for a, b, measure, y in zip(piece["a"], piece["b"], piece["measure"], shingle_sets([open_(y) for y in piece["y"]]), strict=True):
-                x = lefts[a]
-                if a not in prefixes:
-                    prefixes[a] = [_prefix(x, k) for k in MORE_ORDERS]
-                if measure or all(np.isin(_prefix(y, k), p, assume_unique=True).any() for k, p in zip(MORE_ORDERS, prefixes[a], strict=True)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                else:
-                    shared = -1
-                rows.append((a, b, shared, len(x), len(y)))
-            yield pd.DataFrame(rows, columns=["a", "b", "shared", "na", "nb"]).astype("int64")
-
-
-def _with_data(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """Both sides' data (``x``, ``y``) and sizes next to each pair."""
-    right = pairs.join(data.select(F.col("sig").alias("b"), F.col("data").alias("y"), F.col("n").alias("nb")), "b")
-    return right.join(data.select(F.col("sig").alias("a"), F.col("data").alias("x"), F.col("n").alias("na")), "a").select("a", "b", "measure", "x", "y", "na", "nb")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (``a``, ``b``, ``measure``) with what their sets share, and whether they link."""
-    out = _with_data(pairs, sets).mapInPandas(_compare, "a long, b long, shared long, na long, nb long")
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return out.withColumns({"linked": F.col("shared") * 100 >= PERCENT * union, "far": F.when(F.col("shared") >= 0, 1 - F.col("shared") / union)})
-
-
-def _filter_of(sigs: DataFrame):
-    """A bit filter of the signatures, of a fixed size, for all tasks."""
-    cells = sigs.mapInPandas(_bits, "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_BITS / 32 rows at most
-    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
-    bits[cells["cell"].to_numpy()] = cells["mask"].to_numpy().astype(np.uint32)
-    return sigs.sparkSession.sparkContext.broadcast(bits)
+        for row in frame.itertuples(index=False):
+            left, right = row.left, row.right
+            tokens, place = np.unique(np.concatenate([np.asarray(x["core"], dtype=np.int64) for x in (*left, *right)]), return_inverse=True)
+            size = np.array([len(x["core"]) for x in (*left, *right)])
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            sig, n, c, hub, more = (np.array([x[f] for x in (*left, *right)], dtype=np.int64) for f in ("sig", "n", "c", "on_hub", "off_hub"))
+            a, b, mark, of = [], [], np.zeros(len(tokens), dtype=np.int64), slice(len(left), None)
+            for i in range(len(left)):
+                most = np.minimum(hub[i], hub[of]) + np.minimum(more[i], more[of])
+                near = np.flatnonzero((c[of] != c[i]) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[of]))) + len(left)
+                if not len(near):
+                    continue
+                mark[place[start[i] : start[i] + size[i]]] = 1
+                for j in near:
+                    shared = int(mark[place[start[j] : start[j] + size[j]]].sum())
+                    if 100 * shared >= PERCENT * (n[i] + n[j] - shared):
+                        a.append(sig[i])
+                        b.append(sig[j])
+                mark[place[start[i] : start[i] + size[i]]] = 0
+            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _rest(spokes: DataFrame, compared: DataFrame, links: DataFrame, cores: DataFrame) -> DataFrame:
+    """Links within a hub's group that are not with the hub itself: between sets outside the hub's component and the others.
+
+    The sets are packed into blocks, and a block of outsiders meets each block of its group
+    once: a row holds two blocks, no pair is a row. Tokens that both share with the hub, and
+    those that are not the hub's, bound what two sets can share.
+    """
+    connected = components(links)
+    label = lambda of, name: connected.select(F.col("v").alias(of), F.col("c").alias(name))
+    member = spokes.join(compared.select("a", "b", "shared"), ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("sig"), "shared")
+    member = member.join(label("sig", "c"), "sig", "left").join(label("hub", "home"), "hub", "left").withColumns({"c": F.coalesce("c", "sig"), "home": F.coalesce("home", "hub")})
+    member = member.join(cores.select("sig", "n", "core"), "sig").withColumns({"on_hub": F.coalesce("shared", F.size("core")), "off_hub": F.size("core") - F.coalesce("shared", F.lit(0)), "out": F.col("c") != F.col("home")})
+    member = checkpointed(member)
+    sizes = member.groupBy("hub").agg((F.sum(F.size("core")) / BLOCK_TOKENS).cast("int").alias("of"), (F.sum(F.when(F.col("out"), F.size("core"))) / BLOCK_TOKENS).cast("int").alias("of_out")).where("of_out is not null")
+    sized = member.join(sizes, "hub").withColumn("part", F.xxhash64("sig"))
+    packed = F.collect_list(F.struct("sig", "n", "c", "on_hub", "off_hub", "core"))
+    right = sized.groupBy("hub", F.pmod("part", F.col("of") + 1).alias("to")).agg(packed.alias("right"))  # BLOCK_TOKENS, about
+    left = sized.where("out").groupBy("hub", F.pmod("part", F.col("of_out") + 1).alias("_"), "of").agg(packed.alias("left"))
+    met = left.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of").cast("long")))).join(right, ["hub", "to"]).select("left", "right")
+    return met.mapInPandas(_between, "a long, b long")
+
+
+def _connected(texts: DataFrame) -> DataFrame:
+    """``(v, c)``: the label of the component of each set that links to another."""
+    cores = _cores(texts)
+    before = F.col("n") - F.size("core")
+    prefix = cores.select("sig", "n", before.alias("before"), F.posexplode(F.slice("core", F.lit(1), F.col("k"))).alias("at", "token")).select("token", "sig", "n", (F.col("n") - F.col("before") - F.col("at")).alias("left"))
+    size = prefix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    sized = prefix.join(size, "token")
+    cold = sized.where(F.col("size") <= GROUP).groupBy("token").agg(F.collect_list(F.struct("sig", "n", "left")).alias("x"))  # GROUP at most
+    cold = cold.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).where("p.sig < q.sig")
+    n, m = F.col("p.n"), F.col("q.n")
+    fit = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * F.least("p.left", "q.left") >= PERCENT * (n + m))  # what is left from the token on, it included
+    cold = cold.where(fit).select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct()
+    hot = checkpointed(sized.where(F.col("size") > GROUP).select("token", "sig", "n"))
+    # the hub of a token: the set with the largest share of its tokens in large groups
+    weight = hot.groupBy("sig").agg((F.count("*") / F.max("n")).alias("weight"))
+    hubs = hot.join(weight, "sig").groupBy("token").agg(F.max(F.struct("weight", F.xxhash64("sig").alias("h"), "sig")).alias("hub"))
+    spokes = checkpointed(hot.join(hubs, "token").select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).where("a <> b").distinct())
+    compared = checkpointed(_compared(checkpointed(cold.unionByName(spokes).distinct()), cores))
+    links = compared.where(_linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    if spokes.limit(1).count():
+        links = links.unionByName(_rest(spokes, compared, links, cores))
+    return components(links)
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``sig``, ``n_shingles`` and ``c``, a label of the component (null without words)."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
     schema = docs.drop("text").withColumns({"sig": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long")}).schema
-    ids = docs.mapInPandas(_ids, schema)
-
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    often = sampled.mapInPandas(_frequent, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT)
-    last = np.sort(often.select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))  # of a bounded sample
-    prefixes = texts.mapInPandas(partial(_prefixes, last=spark.sparkContext.broadcast(last)), "token long, sig long, n int")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = prefixes.repartition(parts, "token").sortWithinPartitions("token").mapInPandas(_pairs, "token long, a long, b long, n int")
-    grouped = checkpointed(grouped)
-    cold = grouped.where("token is null").select("a", "b").distinct()
-    hot = grouped.where("token is not null").select("token", F.col("a").alias("sig"), "n")
-
-    # the hub of a token: the set with the largest share of its tokens in large groups
-    weight = hot.groupBy("sig").agg((F.count("*") / F.max("n")).alias("weight"))
-    ranked = hot.join(weight, "sig")
-    hubs = ranked.groupBy("token").agg(F.max(F.struct("weight", F.xxhash64("sig").alias("h"), "sig", "n")).alias("hub"))
-    spokes = checkpointed(hot.join(hubs, "token").select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).where("a <> b").distinct())
-    first = checkpointed(cold.join(spokes, ["a", "b"], "left_anti").withColumn("measure", F.lit(False)).union(spokes.withColumn("measure", F.lit(True))))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    picked = lambda sigs, form: texts.mapInPandas(partial(_picked, wanted=_filter_of(sigs), form=form), "sig long, n long, data binary").dropDuplicates(["sig"])
-    # before whole texts are moved, sketches of half a byte a token say which pairs can link at all
-    sketches = checkpointed(picked(ends(first), _sketch))
-    bounded = lambda pairs: _with_data(pairs, sketches).mapInPandas(_bounded, "a long, b long, measure boolean, na long, nb long, most long, possible boolean")
-    first = checkpointed(bounded(first))
-    likely = first.where("possible").select("a", "b", "measure")
-    sets = checkpointed(picked(ends(likely), _packed))
-    compared = checkpointed(_compared(likely, sets))
-    links = compared.where("linked").select("a", "b")
-    joined_ = components(links)
-
-    # what is left: pairs of one hub's group in different components whose distances to the hub allow a link;
-    # where only the sketches are known, the distance is a lower bound (``sure`` is false)
-    spread = spokes.join(first.select("a", "b", "na", "nb", "most"), ["a", "b"]).join(compared.select("a", "b", F.col("far").alias("exact")), ["a", "b"], "left")
-    spread = spread.select("a", "b", F.coalesce("exact", 1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))).alias("far"), F.col("exact").isNotNull().alias("sure"), F.col("nb").alias("n"))
-    spread = spread.join(joined_.select(F.col("v").alias("b"), "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
-    home = spread.select("a").distinct().join(joined_.select(F.col("v").alias("a"), F.col("c").alias("home")), "a", "left").withColumn("home", F.coalesce("home", "a"))
-    spread = checkpointed(spread.join(home, "a"))
-    step = 1 - PERCENT / 100
-    at, last_band = F.floor(F.col("far") / step).cast("int"), int(1 / step)
-    # an unsure one may be further off than its band says, so it meets all bands that are no nearer than a link allows
-    reach = F.sequence(F.greatest(at - 1, F.lit(0)), F.when(F.col("sure"), F.least(at + 1, F.lit(last_band))).otherwise(F.lit(last_band)))
-    p = spread.where("c <> home").select("a", F.explode(reach).alias("band"), F.col("b").alias("p"), F.col("far").alias("farp"), F.col("sure").alias("surep"), F.col("n").alias("np"), F.col("c").alias("cp"))
-    bands = F.when(F.col("sure"), F.array(at)).otherwise(F.sequence(at, F.lit(last_band)))
-    q = spread.select("a", F.explode(bands).alias("band"), F.col("b").alias("q"), F.col("far").alias("farq"), F.col("sure").alias("sureq"), F.col("n").alias("nq"), F.col("c").alias("cq"), (F.col("c") == F.col("home")).alias("inner"))
-    near = (~F.col("sureq") | (F.col("farp") - F.col("farq") <= step + 1e-9)) & (~F.col("surep") | (F.col("farq") - F.col("farp") <= step + 1e-9))
-    fit = near & (F.col("cp") != F.col("cq")) & (100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq")) & (F.col("inner") | (F.col("p") < F.col("q")))
-    rest = p.join(q, ["a", "band"]).where(fit).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("measure", F.lit(False))
-    again = checkpointed(bounded(rest).where("possible").select("a", "b", "measure"))
-    if again.limit(1).count():
-        more = checkpointed(picked(ends(again).join(sets.select("sig"), "sig", "left_anti"), _packed)) if again.join(sets.select(F.col("sig").alias("a")), "a", "left_anti").unionByName(again.join(sets.select(F.col("sig").alias("b")), "b", "left_anti")).limit(1).count() else None
-        later = checkpointed(_compared(again, sets if more is None else sets.unionByName(more)).where("linked").select("a", "b"))
-        if later.limit(1).count():
-            joined_ = components(links.union(later))
-
-    return ids.join(joined_.select(F.col("v").alias("sig"), "c"), "sig", "left").withColumn("c", F.when(F.col("n_shingles") > 0, F.coalesce("c", "sig")))
+    ids, connected = docs.mapInPandas(_ids, schema), _connected(docs.select("text"))
+    return ids.join(connected.select(F.col("v").alias("sig"), "c"), "sig", "left").withColumn("c", F.when(F.col("n_shingles") > 0, F.coalesce("c", "sig")))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
