@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentences scored, documents by noisy-or.
 
-A document is toxic if any sentence is: ``P(doc) = 1 - prod(1 - P(sentence))``. Sentence
-weights are learned from document labels through that formula, and then also say which
-sentences gave a document its score.
+A document is toxic if any sentence is, or for no visible reason (the leak, which takes the
+labels that no sentence explains): ``P(doc) = 1 - (1 - leak) * prod(1 - P(sentence))``.
+Sentence weights are learned from document labels through that formula, and then also say
+which sentences gave a document its score.
 
 A sentence's features are its words and their beginnings (so that inflected words share
 one), in lower case. Spark counts in how many sampled documents of each class each feature
@@ -28,7 +29,7 @@ SAMPLE, SAMPLE_CHARS = 4000, 100_000
 #: Bytes of the beginnings of words that are features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: The model has this many features at most, those with the greatest likelihood ratio between the classes, each in this many documents at least and with this ratio at least.
-FEATURES, LEAST_DOCS, LEAST_RATIO = 4096, 4, 12.0
+FEATURES, LEAST_DOCS, LEAST_RATIO = 4096, 4, 20.0
 #: A sampled document brings this many feature places to the fit at most.
 PLACES = 2000
 #: Penalties tried; the one with the best likelihood of the sample's fourth that a first fit leaves out is taken.
@@ -40,11 +41,12 @@ _STOP[[10, 13, 33, 46, 63]] = True  # line ends, !, ., ?
 
 
 class Model(NamedTuple):
-    """Sorted feature hashes, their weights, and the constant of a sentence."""
+    """Sorted feature hashes, their weights, the constant of a sentence and that of the leak (as log odds)."""
 
     features: np.ndarray
     weights: np.ndarray
     constant: float
+    leak: float
 
 
 def _lowered(text: bytes) -> bytes:
@@ -91,19 +93,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _risk(v: np.ndarray, rows: np.ndarray, column: np.ndarray, own: np.ndarray, docs: int, idle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores of the sentences that have features, and ``-log P(clean)`` of each document, whose other sentences are only counted."""
-    z = np.bincount(rows, weights=v[column], minlength=len(own)) + v[-1]
-    return z, np.bincount(own, weights=_softplus(z), minlength=docs) + idle * _softplus(v[-1])
+    z = np.bincount(rows, weights=v[column], minlength=len(own)) + v[-2]
+    return z, np.bincount(own, weights=_softplus(z), minlength=docs) + idle * _softplus(v[-2]) + _softplus(v[-1])
 
 
 def _descend(rows: np.ndarray, column: np.ndarray, own: np.ndarray, idle: np.ndarray, toxic: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> np.ndarray:
-    """Weights and constant of the penalised noisy-or likelihood, by gradient steps (Adam)."""
-    v = np.concatenate([np.zeros(n), [-5.0]])
+    """Weights and both constants of the penalised noisy-or likelihood, by gradient steps (Adam)."""
+    v = np.concatenate([np.zeros(n), [-6.0, -2.0]])
     m, s = np.zeros_like(v), np.zeros_like(v)
     for step in range(1, STEPS + 1):
         z, risk = _risk(v, rows, column, own, len(toxic), idle)
         slope = np.where(toxic, -1 / np.expm1(np.clip(risk, 1e-6, 50)), 1.0) * weight
         dz = slope[own] * _sigmoid(z)
-        grad = np.concatenate([np.bincount(column, weights=dz[rows], minlength=n) + penalty * v[:-1], [dz.sum() + (slope * idle).sum() * _sigmoid(v[-1])]])
+        grad = np.concatenate([np.bincount(column, weights=dz[rows], minlength=n) + penalty * v[:-2], [dz.sum() + (slope * idle).sum() * _sigmoid(v[-2]), slope.sum() * _sigmoid(v[-1])]])
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     return v
@@ -116,7 +118,7 @@ def fit(places: pd.DataFrame, docs: pd.DataFrame, features: np.ndarray) -> Model
     """
     toxic, number = docs["toxic"].to_numpy(dtype=bool), {d: i for i, d in enumerate(docs["doc"])}
     if toxic.all() or not toxic.any() or not len(features):
-        return Model(features[:0], np.zeros(0), -20.0)
+        return Model(features[:0], np.zeros(0), -20.0, -20.0)
     doc = places["doc"].map(number).to_numpy(dtype=np.int64)
     sentence = np.stack([doc, places["sentence"].to_numpy(dtype=np.int64)], axis=1)
     known, rows = np.unique(sentence, axis=0, return_inverse=True) if len(sentence) else (sentence, np.zeros(0, np.int64))
@@ -135,7 +137,7 @@ def fit(places: pd.DataFrame, docs: pd.DataFrame, features: np.ndarray) -> Model
     else:
         penalty = PENALTIES[-1]
     v = _descend(rows, column, own, idle, toxic, weight, len(features), penalty)
-    return Model(features, v[:-1], float(v[-1]))
+    return Model(features, v[:-2], float(v[-2]), float(v[-1]))
 
 
 def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,13 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
 
 
 def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[pd.DataFrame]:
-    features, weights, constant = model.value
+    features, weights, constant, leak = model.value
     for frame, texts in slices(frames):
         feature, sentence, text, span = _instances(texts)
         column, row = _matched(features, feature, sentence)
         z = np.bincount(row, weights=weights[column], minlength=len(text)) + constant
-        risk = np.bincount(text, weights=_softplus(z), minlength=len(texts))
         n = np.bincount(text, minlength=len(texts))
+        risk = np.bincount(text, weights=_softplus(z), minlength=len(texts)) + np.where(n > 0, _softplus(leak), 0.0)
         offending = np.bincount(text[z >= 0], minlength=len(texts))
         worst = np.lexsort((-np.arange(len(z)), z, text))
         last = np.cumsum(n) - 1
