@@ -32,14 +32,16 @@ from .components import components
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 75
-#: Seeds of the hash orders.
-FIRST_ORDER, THIRD_ORDER = 1, 2
+#: The hash orders: tokens are hashes, so their own order and that after an exclusive or with the second number.
+FIRST_ORDER, THIRD_ORDER = 0, 0x2545F4914F6CDD1D
 #: The first order's prefixes are longer by one in this many tokens, and as many must be shared.
-LONGER = 12
+LONGER = 16
 #: Tokens with more sets in their prefix group get a hub.
 GROUP = 16
 #: Sets sampled for tokens that need no counting, about, and in how many of them such a token is: these come last in the second order. This spreads hot tokens and changes the work only, not the result.
-SAMPLE, FREQUENT = 16_000, 64
+SAMPLE, FREQUENT, SALTS = 2_000, 20, 4096
+#: Up to this many signatures (8 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_SETS = 1_000_000
 #: Tokens of the sets of a packed block, about.
 BLOCK_TOKENS = 100_000
 _LAST = (1 << 31) - 1
@@ -77,14 +79,10 @@ def _least_shared(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def _prefix(tokens: np.ndarray, order: int, longer: int = 0) -> np.ndarray:
-    """Which tokens are among the first under a hash order."""
-    size = len(tokens) - _least_shared(len(tokens)) + 1 + longer
-    first = np.ones(len(tokens), dtype=bool)
-    if size < len(tokens):
-        first[:] = False
-        first[np.argpartition(mix(tokens, order), size - 1)[:size]] = True
-    return first
+def _cut(tokens: np.ndarray, order: int, longer: int = 0) -> int:
+    """The greatest value of the first tokens under a hash order, as a signed number."""
+    value, size = tokens.view(np.int64) ^ np.int64(order), len(tokens) - _least_shared(len(tokens)) + 1 + longer
+    return int(np.partition(value, size - 1)[size - 1] if size < len(value) else value.max())
 
 
 def _ids(frames: Iterator[pd.DataFrame], keep_text: bool = False) -> Iterator[pd.DataFrame]:
@@ -108,38 +106,40 @@ def _fresh(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarra
 
 
 def _first_prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Prefix tokens under the first order; ``hits`` counts for the set if another one has the token too.
+    """Prefix tokens under the first order, in 48 bits (a chance meeting lets a set pass here, no more); ``hits`` counts for the set if another one has the token too.
 
     A token that several sets of a slice have is known to be shared: the sets get their hits
-    in a row without a token, and two rows let sets elsewhere know. So a hot token is two rows
-    a slice at most.
+    in the row with their own signature as the token and a least number of hits, and two rows
+    let sets elsewhere know. So a hot token is two rows a slice at most.
     """
     for found in _fresh(frames):
-        own = [s[_prefix(s, FIRST_ORDER, len(s) // LONGER)] for _, s, _ in found]
+        own = [(s[s.view(np.int64) <= _cut(s, FIRST_ORDER, len(s) // LONGER)]) >> np.uint64(16) for _, s, _ in found]
         if not own:
             continue
         tokens, which = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-        sig, least = np.array([f[0] for f in found], dtype=np.int64), np.array([max(1, _least_shared(len(f[1])) // LONGER) for f in found], dtype=np.int32)
+        sig = np.array([f[0] for f in found], dtype=np.int64)
         _, first, same, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
         alone = times[same] == 1
         last = np.zeros(len(first), dtype=np.int64)
         last[same] = np.arange(len(tokens))
         shared = times > 1
-        hits = np.bincount(which[~alone], minlength=len(own))
-        known = np.flatnonzero(hits)
         parts = [(tokens[alone], which[alone], 1), (tokens[first[shared]], which[first[shared]], 0), (tokens[last[shared]], which[last[shared]], 0)]
-        for token, at, value in parts:
-            yield pd.DataFrame({"token": pd.array(token.view(np.int64), dtype="Int64"), "sig": sig[at], "least": least[at], "hits": np.full(len(at), value, dtype=np.int32)})
-        yield pd.DataFrame({"token": pd.array([None] * len(known), dtype="Int64"), "sig": sig[known], "least": least[known], "hits": hits[known].astype(np.int32)})
+        token, at = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        order = np.argsort(at, kind="stable")
+        hits = np.repeat([p[2] for p in parts], [len(x[0]) for x in parts])
+        yield pd.DataFrame({"token": token[order].astype(np.int64), "sig": sig[at[order]], "hits": hits[order].astype(np.int32), "least": np.int32(0)})
+        least = [max(1, _least_shared(len(f[1])) // LONGER) for f in found]
+        yield pd.DataFrame({"token": sig, "sig": sig, "hits": np.bincount(which[~alone], minlength=len(own)).astype(np.int32), "least": np.array(least, dtype=np.int32)})
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each set's text once a task, compressed."""
+    """Each set's size, the ends of its prefixes under the hash orders, and its text once a task, compressed."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3).compress
     for found in _fresh(frames):
-        yield pd.DataFrame({"sig": np.array([f[0] for f in found], dtype=np.int64), "data": [press(f[2]) for f in found]})
+        rows = [(sig, len(s), _cut(s, FIRST_ORDER), _cut(s, THIRD_ORDER), press(text)) for sig, s, text in found]
+        yield pd.DataFrame(rows, columns=["sig", "n", "first", "third", "data"])
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,14 +158,13 @@ def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tokens(frames: Iterator[pd.DataFrame], last) -> Iterator[pd.DataFrame]:
-    """All tokens of each set: whether they come last, and whether they are prefix tokens under the hash orders."""
+    """All tokens of each set; those that come last, whatever their number, with a salt."""
     held: list[pd.DataFrame] = []
     size = 0
     for sig, tokens in _sets(frames):
         place = np.minimum(np.searchsorted(last.value, tokens), len(last.value) - 1)
         often = last.value[place] == tokens if len(last.value) else np.zeros(len(tokens), dtype=bool)
-        marks = _prefix(tokens, FIRST_ORDER) * 1 + _prefix(tokens, THIRD_ORDER) * 2 + often * 4
-        held.append(pd.DataFrame({"token": tokens.view(np.int64), "sig": sig, "n": np.int32(len(tokens)), "marks": marks.astype(np.int8)}))
+        held.append(pd.DataFrame({"token": tokens.view(np.int64), "sig": sig, "salt": (often * (1 + sig % SALTS)).astype(np.int32)}))
         size += len(tokens)
         if size > 100_000:
             yield pd.concat(held)
@@ -180,34 +179,33 @@ def _linked(shared: Column, n: Column, m: Column) -> Column:
 
 def _live(texts: DataFrame) -> DataFrame:
     """Signatures of sets that share enough prefix tokens under the first order to have a partner."""
-    rows = texts.mapInPandas(_first_prefixes, "token long, sig long, least int, hits int")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("key", F.coalesce("token", "sig")).repartition(parts, "key")  # once for both uses
-    several = dealt.where("token is not null").groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    shared = dealt.where("token is not null and hits > 0").join(several, "key", "left_semi").select("sig", "least", "hits")
-    every = shared.unionByName(dealt.where("token is null").select("sig", "least", "hits"))
-    return every.groupBy("sig").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("sig")
+    rows = texts.mapInPandas(_first_prefixes, "token long, sig long, hits int, least int")
+    same = Window.partitionBy("token")  # one shuffle: each row learns whether its token has another set
+    shared = rows.withColumn("several", F.min("sig").over(same) < F.max("sig").over(same)).where("least > 0 or (several and hits > 0)")
+    return shared.groupBy("sig").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("sig")
 
 
 def _cores(texts: DataFrame) -> DataFrame:
     """For each set that can have a partner: ``sig``, its size ``n``, its tokens that other such sets have (``core``, in the second order), how many of these are prefix tokens (``k``), and those in the prefixes of the hash orders (``first``, ``third``)."""
     spark = texts.sparkSession
     live = checkpointed(_live(texts))
-    compressed = checkpointed(texts.mapInPandas(_texts, "sig long, data binary").join(live, "sig", "left_semi").dropDuplicates(["sig"]))
-    share = min(1.0, SAMPLE / max(1, compressed.count()))
-    sampled = compressed.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if live.count() <= BROADCAST_SETS:
+        live = F.broadcast(live)
+    sets = checkpointed(texts.mapInPandas(_texts, "sig long, n int, first long, third long, data binary").join(live, "sig", "left_semi").dropDuplicates(["sig"]))
+    share = min(1.0, SAMPLE / max(1, sets.count()))
+    sampled = sets.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 20)) < int(share * (1 << 20))).select("sig", "data")
     often = sampled.mapInPandas(_frequent, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token")
     last = np.sort(often.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))  # of a bounded sample
-    rows = compressed.mapInPandas(partial(_tokens, last=spark.sparkContext.broadcast(last)), "token long, sig long, n int, marks tinyint")
-    often = F.col("marks").bitwiseAND(4) > 0
+    rows = sets.select("sig", "data").mapInPandas(partial(_tokens, last=spark.sparkContext.broadcast(last)), "token long, sig long, salt int")
     # a token of very many sets is not counted, so its rows may be anywhere
-    counted = rows.withColumn("key", F.when(often, F.xxhash64("token", "sig")).otherwise(F.col("token")))
-    counted = counted.withColumn("sets", F.when(often, F.lit(_LAST)).otherwise(F.count("*").over(Window.partitionBy("key")).cast("int"))).where("sets > 1")
-    own = counted.groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token", "marks"))).alias("own"))  # one set's own tokens
+    count = F.when(F.col("salt") > 0, F.lit(_LAST)).otherwise(F.count("*").over(Window.partitionBy("token", "salt")).cast("int"))
+    counted = rows.withColumn("sets", count).where("sets > 1").select("sig", "sets", "token")
+    own = counted.repartition("sig").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("own"))  # one set's own tokens
+    own = own.join(sets.drop("data"), "sig")
     least = F.ceil(F.col("n") * PERCENT / 100)
-    own = own.where(F.size("own") >= least).withColumn("k", (F.size("own") - least + 1).cast("int"))  # the tokens of one set come before
-    marked = lambda bit: F.transform(F.filter("own", lambda x: x["marks"].bitwiseAND(bit) > 0), lambda x: x["token"])
-    return checkpointed(own.select("sig", "n", F.col("own.token").alias("core"), "k", marked(1).alias("first"), marked(2).alias("third")))
+    own = own.where(F.size("own") >= least).withColumn("k", (F.size("own") - least + 1).cast("int")).withColumn("core", F.col("own.token"))  # the tokens of one set come before
+    below = lambda order, end: F.filter("core", lambda x: x.bitwiseXOR(F.lit(order)) <= F.col(end)).alias(end)
+    return checkpointed(own.select("sig", "n", "core", "k", below(FIRST_ORDER, "first"), below(THIRD_ORDER, "third")))
 
 
 def _with(pairs: DataFrame, cores: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,13 +1,13 @@
 """Repeated substrings, found by sorting suffixes blockwise with a difference cover.
 
 Every window of ``LENGTH`` bytes belongs to one suffix bucket: its anchor, the 100-byte
-string with the least hash that starts in its first half, and how far in that is. Equal
-windows share both. Only anchors that occur twice are followed: the bytes around them are
-dealt by anchor, and a task sorts the suffixes of a few buckets at a time by head and tail.
-Longer ties are resolved by the ranks of a difference-cover sample (positions whose residues
-mod 31 lie in a set with every difference), computed once for the block, so that memory is
-bounded by the block. Buckets that are too large for a block are resolved by counting
-window hashes in Spark instead.
+string with the least hash that starts in its first half. Equal windows have equal anchors.
+Only anchors that occur twice are followed: the bytes around them, each distinct string of
+them once with its number of places, are dealt by anchor, and a task sorts the suffixes of a
+few buckets at a time. Suffixes with equal heads are told apart by the ranks of a
+difference-cover sample (positions whose residues mod 31 lie in a set with every
+difference), sorted once for the block, so that memory is bounded by the block. An anchor
+with very many places is dealt by longer strings, a window each, to the same sort.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ LENGTH = 200
 ANCHOR = 100
 #: Modulus and residues of the difference cover: every difference mod 31 occurs.
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Anchors with more places than this are resolved by hash counts, not in a block.
-HOT = 20_000
+#: Bytes at either end of a window that are compared as they are; ranks are of what is between them.
+END = 45
+#: Anchors with more places than this are dealt by whole windows.
+HOT = 50_000
 BLOCK_BYTES = 4 << 20
 #: Longer texts are cut into overlapping pieces for the search of anchors.
 PIECE = 4 << 20
@@ -106,11 +108,11 @@ def _distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     press, seen = zstandard.ZstdCompressor(level=3).compress, set()
     for frame in frames:
-        frame = frame.drop_duplicates("t")
-        frame = frame[~frame["t"].isin(seen)]
+        frame = frame.drop_duplicates(["t", "u"])
+        frame = frame[[x not in seen for x in zip(frame["t"].tolist(), frame["u"].tolist(), strict=True)]]
         seen = seen if len(seen) < 200_000 else set()
-        seen.update(frame["t"].tolist())
-        yield pd.DataFrame({"t": frame["t"], "data": [press(x) for x in _utf8(frame)]})
+        seen.update(zip(frame["t"].tolist(), frame["u"].tolist(), strict=True))
+        yield pd.DataFrame({"t": frame["t"], "u": frame["u"], "data": [press(x) for x in _utf8(frame)]})
 
 
 def _opened(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
@@ -129,152 +131,199 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count), run
 
 
-def _merged(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans covered by windows of LENGTH at the given sorted places."""
-    if not len(place):
-        return place, place
-    new = np.concatenate([[True], place[1:] > place[:-1] + LENGTH])
-    begin = place[new]
-    last = place[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(place) - 1]])]
-    return begin, last + LENGTH
-
-
-def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes under the runs of each text, by key. Windows that repeat within the text are settled here: a run with nothing new stays here."""
+def _contexts(frames: Iterator[pd.DataFrame], with_data: bool) -> Iterator[pd.DataFrame]:
+    """The bytes under the runs of each text (its contexts), by key and two hashes; equal ones of a text in one row, with all their places."""
+    names = ["key", "h1", "h2", "hot", "n", *(["data", "places"] if with_data else ["t", "u", "firsts"])]
     for frame, texts in _opened(frames):
         rows = []
-        for t, data, runs in zip(frame["t"].tolist(), texts, frame["runs"], strict=True):
-            key = np.array([r["key"] for r in runs], dtype=np.int64)
-            first = np.array([r["first"] for r in runs], dtype=np.int64)
-            count = np.array([r["n"] for r in runs], dtype=np.int64)
-            order = np.argsort(first)
-            key, first, count = key[order], first[order], count[order]
-            window, run = _spread(first, count)
-            sums = running(np.frombuffer(data, dtype=np.uint8))
-            _, at, back, times = np.unique(spans(sums, window, window + LENGTH), return_index=True, return_inverse=True, return_counts=True)
-            for a, b in zip(*_merged(window[times[back] > 1]), strict=True):
-                rows.append((t, t, int(a), int(b - a), None))
-            fresh = np.zeros(len(window), dtype=bool)
-            fresh[at] = True
-            for i in np.unique(run[fresh]):
-                rows.append((int(key[i]), t, int(first[i]), int(count[i]), data[first[i] : first[i] + count[i] + LENGTH - 1]))
-        yield pd.DataFrame(rows, columns=["key", "t", "first", "n", "data"])
-
-
-def _resolve(keys: np.ndarray, counts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of a block repeat: number of the context, and place in it. Keys with one context have been left out."""
-    data, start, _ = joined(contexts, b"")
-    sums = running(data)
+        for t, u, data, runs in zip(frame["t"].tolist(), frame["u"].tolist(), texts, frame["runs"], strict=True):
+            key, first, count, hot = (np.array([r[f] for r in runs], dtype=np.int64) for f in ("key", "first", "n", "hot"))
+            own = np.flatnonzero(first + count + LENGTH - 1 <= len(data))  # runs of another text of the same hash may reach beyond
+            key, first, count, hot = key[own], first[own], count[own], hot[own]
+            raw, end = np.frombuffer(data, dtype=np.uint8), first + count + LENGTH - 1
+            h1, h2 = (spans(running(raw ^ np.uint8(k)), first, end).view(np.int64) for k in (0, 0x5A))
+            order = np.lexsort((first, h2, h1, key))
+            new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])[: len(order)])
+            for x, y in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
+                k = order[x]
+                mine = (data[first[k] : end[k]], y - x) if with_data else (t, u, first[order[x:y]].tolist())
+                rows.append((int(key[k]), int(h1[k]), int(h2[k]), bool(hot[k]), int(count[k]), *mine))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts with the bucket they belong to: their anchor, or for very frequent anchors a row and a bucket for each window."""
+    for frame in frames:
+        hot = frame["hot"].to_numpy(dtype=bool)
+        yield frame[~hot].assign(bucket=frame["key"][~hot], at=0).drop(columns="hot")
+        for row in frame[hot].to_dict("records"):
+            at = np.arange(row["n"])
+            bucket = spans(running(np.frombuffer(row["data"], dtype=np.uint8)), at, at + LENGTH).view(np.int64)
+            yield pd.DataFrame({"key": row["key"], "h1": row["h1"], "h2": row["h2"], "n": 1, "data": [row["data"][i : i + LENGTH] for i in at.tolist()], "places": row["places"], "bucket": bucket, "at": at})
+
+
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes at each place as a number that sorts like them."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _ranks(keys: list[np.ndarray]) -> np.ndarray:
+    """The rank of each row of ``keys``, first key first; equal rows have equal ranks."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=np.int64)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _ties(group: np.ndarray, places: np.ndarray, data: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted within their group by the bytes at the offsets; only those that tie with another stay, in finer groups."""
+    for k in offsets:
+        word = _word(data, places + k)
+        order = np.lexsort((word, group))
+        group, places, word = group[order], places[order], word[order]
+        if not len(group):
+            break
+        fine = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (word[1:] != word[:-1])]))
+        tied = np.bincount(fine)[fine] > 1
+        group, places = fine[tied], places[tied]
+    return group, places
+
+
+def _cover_ranks(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Alphabetical ranks of the LENGTH - END bytes at the cover's positions where ``wanted``, by doubling from those of MODULUS bytes."""
+    middle = LENGTH - END
+    sample = np.flatnonzero(_IN_COVER[np.arange(len(data)) % MODULUS] & wanted)
+    sample = sample[sample + MODULUS <= len(data)]
+    place = np.full(len(data) + middle, len(sample), dtype=np.int64)
+    place[sample] = np.arange(len(sample))
+    short = _ranks([_word(data, sample + k) for k in (0, 8, 16, MODULUS - 8)])
+    far = lambda rank, k: np.append(rank, -1)[place[sample + k]]  # noqa: E731  the sample holds every MODULUS-th position after its own
+    rank, size = short, MODULUS
+    while size * 2 <= middle:
+        rank, size = _ranks([rank, far(rank, size)]), size * 2
+    if size < middle:
+        rank = _ranks([rank, far(short, size)])
+    out = np.full(len(data) + MODULUS, -1, dtype=np.int64)
+    out[sample] = rank
+    return out
+
+
+def _resolve(buckets: np.ndarray, counts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a block repeat among its contexts: number of the context, and place in it."""
+    data, start, end = joined(contexts, b"")
     suffix, which = _spread(start, counts)
-    # precomputed cover-sample ranks: of the LENGTH - MODULUS bytes at every sampled position
-    middle = LENGTH - MODULUS
-    sample = np.flatnonzero(np.isin(np.arange(max(0, len(data) - middle + 1)) % MODULUS, COVER))
-    rank = np.zeros(len(data) + MODULUS, dtype=np.int64)
-    rank[sample] = np.unique(spans(sums, sample, sample + middle), return_inverse=True)[1]
-    head, tail = spans(sums, suffix, suffix + MODULUS), spans(sums, suffix + LENGTH - MODULUS, suffix + LENGTH)
-    order = np.lexsort((tail, head, keys[which]))
-    key, head, tail, suffix, which = keys[which][order], head[order], tail[order], suffix[order], which[order]
-    group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])) - 1
-    repeated = np.zeros(len(suffix), dtype=bool)
-    left = np.flatnonzero(np.bincount(group)[group] > 1)
+    group, places = _ties(np.unique(buckets, return_inverse=True)[1][which], suffix, data, [0, 8, 16, 24, 32, END - 8])
+    if not len(places):
+        return places, places
+    owner = np.searchsorted(start, places, side="right") - 1
+    wanted = np.zeros(len(contexts) + 1, dtype=bool)
+    wanted[owner] = True
+    rank = _cover_ranks(data, np.repeat(wanted[:-1], end - start))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    left, classes = np.arange(len(places)), 0
     while len(left):
         own = group[left]
         lead = left[np.searchsorted(own, own)]  # the first that is left of each tie
-        shift = _SHIFT[suffix[left] % MODULUS, suffix[lead] % MODULUS]
-        same = rank[suffix[left] + shift] == rank[suffix[lead] + shift]
-        several = np.bincount(own[same], minlength=int(own[-1]) + 1) > 1
-        repeated[left[same & several[own]]] = True
+        shift = _SHIFT[places[left] % MODULUS, places[lead] % MODULUS]
+        same = rank[places[left] + shift] == rank[places[lead] + shift]
+        held.append((own[same] + classes, places[left[same]]))
+        classes += int(group[-1]) + 1
         left = left[~same]
-    return which[repeated], suffix[repeated] - start[which[repeated]]
+    tied, places = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, places = _ties(tied, places, data, [LENGTH - END, *range(LENGTH - END + 8, LENGTH - 8, 8), LENGTH - 8])
+    owner = np.searchsorted(start, places, side="right") - 1
+    return owner, places - start[owner]
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repeated spans of texts, from contexts sorted by key; spans that came settled pass through."""
+    """Repeated spans of contexts sorted by bucket, as places in the context; of a context with several places all is repeated."""
+    none = pd.DataFrame({"key": [], "h1": [], "h2": [], "first": [], "n": []}).astype("int64")
 
     def settled(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["key"].duplicated(keep=False)]
+        twice = rows["places"] > 1
+        whole = rows.loc[twice, ["key", "h1", "h2"]].assign(first=rows.loc[twice, "at"], n=rows.loc[twice, "n"] + LENGTH - 1)
+        rows = rows[rows["bucket"].duplicated(keep=False)]
+        rows = rows[(rows["places"] == 1).groupby(rows["bucket"]).transform("any")] if len(rows) else rows
         if not len(rows):
-            return pd.DataFrame({"t": [], "first": [], "n": []}).astype("int64")
-        which, place = _resolve(rows["key"].to_numpy(), rows["n"].to_numpy(dtype=np.int64), list(rows["data"]))
+            return whole.astype("int64")
+        which, place = _resolve(rows["bucket"].to_numpy(), rows["n"].to_numpy(dtype=np.int64), list(rows["data"]))
+        alone = rows["places"].to_numpy()[which] == 1
+        which, place = which[alone], place[alone]
         order = np.lexsort((place, which))
         which, place = which[order], place[order]
-        place = place + rows["first"].to_numpy(dtype=np.int64)[which]
         if not len(place):
-            return pd.DataFrame({"t": [], "first": [], "n": []}).astype("int64")
+            return whole.astype("int64")
         new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] > place[:-1] + LENGTH)]))
         last = np.concatenate([new[1:], [len(place)]]) - 1
-        return pd.DataFrame({"t": rows["t"].to_numpy()[which[new]], "first": place[new], "n": place[last] + LENGTH - place[new]})
+        found = rows[["key", "h1", "h2"]].iloc[which[new]].assign(first=rows["at"].to_numpy()[which[new]] + place[new], n=place[last] + LENGTH - place[new])
+        return pd.concat([whole, found]).astype("int64")
 
     held: list[pd.DataFrame] = []
     size = 0
     for frame in frames:
-        done = frame["data"].isna()
-        yield frame.loc[done, ["t", "first", "n"]].astype("int64")
-        held.append(frame[~done])
-        size += int(held[-1]["data"].map(len).sum())
+        held.append(frame)
+        size += int(frame["data"].map(len).sum())
         if size > BLOCK_BYTES:
             rows = pd.concat(held)
-            open_ = rows["key"] == rows["key"].iloc[-1]  # its other rows may be still to come
+            open_ = rows["bucket"] == rows["bucket"].iloc[-1]  # its other rows may be still to come
             held, ready = [rows[open_]], rows[~open_]
             size = int(held[0]["data"].map(len).sum())
-            step = np.cumsum(ready["data"].map(len).to_numpy())
-            group = ready["key"].ne(ready["key"].shift()).cumsum().to_numpy()
             if len(ready):
-                block = (step[np.searchsorted(group, group, side="left")] // BLOCK_BYTES)  # a key's rows stay together
+                step = np.cumsum(ready["data"].map(len).to_numpy())
+                group = ready["bucket"].ne(ready["bucket"].shift()).cumsum().to_numpy()
+                block = step[np.searchsorted(group, group, side="left")] // BLOCK_BYTES  # a bucket's rows stay together
                 for b in np.unique(block):
                     yield settled(ready[block == b])
-    rows = pd.concat(held) if held else None
-    if rows is not None and len(rows):
+    rows = pd.concat(held) if held else none
+    if len(rows):
         yield settled(rows)
 
 
-def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each window of the runs: its hash and place."""
-    for frame, texts in _opened(frames):
-        for t, data, runs in zip(frame["t"].tolist(), texts, frame["runs"], strict=True):
-            window, _ = _spread(np.array([r["first"] for r in runs], dtype=np.int64), np.array([r["n"] for r in runs], dtype=np.int64))
-            yield pd.DataFrame({"key": spans(running(np.frombuffer(data, dtype=np.uint8)), window, window + LENGTH).view(np.int64), "t": t, "first": window})
-
-
 def _cut(frames: Iterator[pd.DataFrame], want_text: bool) -> Iterator[pd.DataFrame]:
     for frame, texts in _opened(frames):
         rows = []
-        for t, data, found in zip(frame["t"].tolist(), texts, frame["spans"], strict=True):
-            kept, at, removed, n = [], 0, 0, 0
-            reach = 0
-            for a, b in sorted((s["first"], s["first"] + s["n"]) for s in found):
-                if n == 0 or a > reach:
-                    kept.append(data[at:a])
-                    n += 1
-                    removed += b - a
-                else:
-                    removed += max(0, b - reach)
-                reach = at = max(reach, b)
-            kept = b"".join([*kept, data[at:]])
-            rows.append((t, removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if want_text else None))
-        yield pd.DataFrame(rows, columns=["t", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for t, u, data, found in zip(frame["t"].tolist(), frame["u"].tolist(), texts, frame["found"], strict=True):
+            begin, size = [], []
+            for x in found:
+                places, first = np.asarray(x["firsts"], dtype=np.int64), np.array([s["first"] for s in x["spans"]], dtype=np.int64)
+                begin.append((places[:, None] + first).reshape(-1))
+                size.append(np.tile(np.array([s["n"] for s in x["spans"]], dtype=np.int64), len(places)))
+            begin, size = np.concatenate(begin), np.concatenate(size)
+            order = np.argsort(begin, kind="stable")
+            begin, reach = begin[order], np.maximum.accumulate((begin + size)[order])
+            new = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+            begin, end = begin[new], reach[np.concatenate([new[1:], [len(reach)]]) - 1]
+            kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
+            rows.append((t, u, int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if want_text else None))
+        yield pd.DataFrame(rows, columns=["t", "u", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans ``(t, first, n)`` of the texts of ``docs`` (``text``, and ``t``, a hash of it) under a repeated window of LENGTH bytes, and the texts by ``t``.
+    """What repeats in the texts of ``docs`` (``text``, and ``t`` and ``u``, two hashes of it), and the texts by both.
 
-    A text counts once here, whatever its copies. Spans of a text may overlap.
+    A row (``t``, ``u``, ``firsts``, ``spans``) says that at each of some places of a text the
+    spans (``first``, ``n``) are under a repeated window of LENGTH bytes. A text counts once
+    here, whatever its copies. Spans of a text may overlap.
     """
     anchors = docs.mapInPandas(_anchors, "key long, t long, first long, n int")
     place = F.xxhash64("t", "first")
     keys = anchors.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("places")).where("lo <> hi")
     keys = checkpointed(keys.select("key", (F.col("places") > HOT).alias("hot")))
     # copies of a text meet here; the set holds one text's own runs
-    by_text = checkpointed(anchors.join(keys, "key").groupBy("t", "hot").agg(F.collect_set(F.struct("key", "first", "n")).alias("runs")))
-    texts = docs.mapInPandas(_distinct, "t long, data binary").dropDuplicates(["t"])
+    by_text = checkpointed(anchors.join(keys, "key").groupBy("t").agg(F.collect_set(F.struct("key", "first", "n", "hot")).alias("runs")))
+    texts = docs.mapInPandas(_distinct, "t long, u long, data binary").dropDuplicates(["t", "u"])
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    contexts = texts.join(by_text.where("not hot"), "t").mapInPandas(_contexts, "key long, t long, first long, n int, data binary")
-    found = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_blocks, "t long, first long, n long")
-    if keys.where("hot").limit(1).count():
-        windows = texts.join(by_text.where("hot"), "t").mapInPandas(_windows, "key long, t long, first long")
-        twice = windows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
-        found = found.unionByName(windows.join(twice, "key").select("t", "first", F.lit(LENGTH).cast("long").alias("n")))
-    return found, texts
+    own, id_ = texts.join(by_text, "t"), ["key", "h1", "h2"]
+    contexts = own.mapInPandas(partial(_contexts, with_data=True), "key long, h1 long, h2 long, hot boolean, n long, data binary, places long")
+    contexts = contexts.groupBy(*id_).agg(F.first("hot").alias("hot"), F.first("n").alias("n"), F.first("data").alias("data"), F.sum("places").alias("places"))
+    dealt = contexts.mapInPandas(_dealt, "key long, h1 long, h2 long, n long, data binary, places long, bucket long, at long")
+    found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_blocks, "key long, h1 long, h2 long, first long, n long")
+    found = found.groupBy(*id_).agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # one context's own
+    places = own.mapInPandas(partial(_contexts, with_data=False), "key long, h1 long, h2 long, hot boolean, n long, t long, u long, firsts array<long>")
+    return places.select(*id_, "t", "u", "firsts").join(found, id_).select("t", "u", "firsts", "spans"), texts
 
 
 def remove_repeats(docs: DataFrame, want_text: bool = True) -> DataFrame:
@@ -287,25 +336,27 @@ def remove_repeats(docs: DataFrame, want_text: bool = True) -> DataFrame:
     other columns and repeated rows stay; an empty table gives an empty result.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    columns = [c for c in docs.columns if c != "text" or want_text]
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.withColumns({"t": F.xxhash64(text)}).select("t", text.alias("text"))
-    copies = hashed.groupBy("t").count().withColumnRenamed("count", "copies")
+    t, u = F.xxhash64(text), F.xxhash64(F.lit(LENGTH), text, F.length(text))  # a text's two hashes
+    hashed = docs.select(t.alias("t"), u.alias("u"), text.alias("text"))
+    copies = hashed.groupBy("t", "u").count().withColumnRenamed("count", "copies")
     found, texts = repeated_spans(hashed)
-    found = found.groupBy("t").agg(F.collect_set(F.struct("first", "n")).alias("spans"))  # a text's own spans
-    cut = texts.join(found, "t").mapInPandas(partial(_cut, want_text=want_text), "t long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    cut = copies.join(cut, "t", "left").where("copies > 1 or n_removed is not null")
-    size = F.octet_length(text).cast("long")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    own = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if want_text else [])]
-    rows = docs.select(*docs.columns, F.xxhash64(text).alias("t"), size.alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_sha")) if want_text else docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias("t"), size.alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_sha"))
-    out = rows.join(cut.select("t", "copies", *own), "t", "left")
+    found = found.groupBy("t", "u").agg(F.collect_list(F.struct("firsts", "spans")).alias("found"))  # a text's own
+    cut = texts.join(found, ["t", "u"]).mapInPandas(partial(_cut, want_text=want_text), "t long, u long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = copies.join(cut, ["t", "u"], "left").where("copies > 1 or n_removed is not null")
+    names = [f"_{i}" for i in range(len(columns))]
+    rows = docs.select(*(F.col(c).alias(x) for c, x in zip(columns, names, strict=True)), t.alias("t"), u.alias("u"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_sha"))
+    whole = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= LENGTH)
+    out = rows.join(cut.select("t", "u", "copies", "n_removed", "n_spans", "kept_sha256", *(["kept"] if want_text else [])), ["t", "u"], "left")
+    given = F.col(names[columns.index("text")]) if want_text else None
     return out.select(
-        *(c for c in rows.columns if c not in ("t", "n_bytes", "_sha")),
+        *(F.col(x).alias(c) for c, x in zip(columns, names, strict=True)),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        *([F.when(F.col("text").isNotNull(), F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text"))).alias("kept")] if want_text else []),
+        *([F.when(given.isNotNull(), F.when(whole, F.lit("")).otherwise(F.coalesce("kept", given))).alias("kept")] if want_text else []),
     )
 
 
