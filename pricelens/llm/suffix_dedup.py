@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..tables import checkpointed, table
-from .arrays import SLICE_BYTES, joined, mix, running, spans
+from .arrays import SLICE_BYTES, joined, running, spans
 
 LENGTH = 200
 #: Bytes of an anchor; windows of LENGTH bytes have LENGTH - ANCHOR + 1 of them.
@@ -36,6 +36,9 @@ BLOCK_BYTES = 4 << 20
 #: Longer texts are cut into overlapping pieces for the search of anchors.
 PIECE = 4 << 20
 
+#: Words of eight bytes that cover a window's ends.
+_HEAD = (*range(0, END - 8, 8), END - 8)
+_TAIL = (*range(LENGTH - END, LENGTH - 8, 8), LENGTH - 8)
 _IN_COVER = np.isin(np.arange(2 * MODULUS) % MODULUS, COVER)
 #: For two residues the first shift that moves both into the cover.
 _SHIFT = np.array([[next(d for d in range(MODULUS) if _IN_COVER[i + d] and _IN_COVER[j + d]) for j in range(MODULUS)] for i in range(MODULUS)])
@@ -178,7 +181,7 @@ def _ranks(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _ties(group: np.ndarray, places: np.ndarray, data: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _ties(group: np.ndarray, places: np.ndarray, data: np.ndarray, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted within their group by the bytes at the offsets; only those that tie with another stay, in finer groups."""
     for k in offsets:
         word = _word(data, places + k)
@@ -215,25 +218,23 @@ def _resolve(buckets: np.ndarray, counts: np.ndarray, contexts: list[bytes]) ->
     """Which windows of a block repeat among its contexts: number of the context, and place in it."""
     data, start, end = joined(contexts, b"")
     suffix, which = _spread(start, counts)
-    group, places = _ties(np.unique(buckets, return_inverse=True)[1][which], suffix, data, [0, 8, 16, 24, 32, END - 8])
+    group, places = _ties(np.unique(buckets, return_inverse=True)[1][which], suffix, data, _HEAD + _TAIL)
     if not len(places):
         return places, places
     owner = np.searchsorted(start, places, side="right") - 1
     wanted = np.zeros(len(contexts) + 1, dtype=bool)
     wanted[owner] = True
     rank = _cover_ranks(data, np.repeat(wanted[:-1], end - start))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    left, classes = np.arange(len(places)), 0
+    held, left = [], np.arange(len(places))
     while len(left):
         own = group[left]
         lead = left[np.searchsorted(own, own)]  # the first that is left of each tie
         shift = _SHIFT[places[left] % MODULUS, places[lead] % MODULUS]
         same = rank[places[left] + shift] == rank[places[lead] + shift]
-        held.append((own[same] + classes, places[left[same]]))
-        classes += int(group[-1]) + 1
+        several = np.bincount(own[same], minlength=int(own[-1]) + 1) > 1
+        held.append(places[left[same & several[own]]])
         left = left[~same]
-    tied, places = (np.concatenate(x) for x in zip(*held, strict=True))
-    _, places = _ties(tied, places, data, [LENGTH - END, *range(LENGTH - END + 8, LENGTH - 8, 8), LENGTH - 8])
+    places = np.concatenate(held)
     owner = np.searchsorted(start, places, side="right") - 1
     return owner, places - start[owner]
 
