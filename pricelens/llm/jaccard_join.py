@@ -296,7 +296,7 @@ def _connected(texts: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``sig``, ``n_shingles`` and ``c``, a label of the component (null without words)."""
     schema = docs.drop("text").withColumns({"sig": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long")}).schema
-    ids, connected = docs.mapInPandas(_ids, schema), _connected(docs.select("text"))
+    ids, connected = checkpointed(docs.mapInPandas(_ids, schema)), _connected(docs.select("text"))  # read twice
     return ids.join(connected.select(F.col("v").alias("sig"), "c"), "sig", "left").withColumn("c", F.when(F.col("n_shingles") > 0, F.coalesce("c", "sig")))
 
 
