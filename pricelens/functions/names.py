@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from . import vocabulary as V
 
@@ -38,26 +37,18 @@ def strip_noise(name: Column, shops=()) -> Column:
     return stripped(name, [*V.NOISE_TAILS, *(rf"(?i)\s*[-—–|]\s*{s}(\.[a-z]+)?\s*$" for s in shops)])
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(text: pd.Series) -> pd.Series:
-    def repair(t):
-        try:
-            return t.encode("cp1252").decode("utf-8")
-        except (UnicodeError, AttributeError):
-            return t
-
-    return text.map(repair)
-
-
 def fix_mojibake(text: Column) -> Column:
-    """UTF-8 text that was read as Windows-1252, restored; other text as it is. Rows without a sign of it never leave the JVM's fast path."""
+    """UTF-8 text that was read as Windows-1252, restored; other text, and what isn't UTF-8 after that, as it is. No Python."""
     marked = reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in V.MOJIBAKE))
-    return F.when(marked, _repaired(F.when(marked, text))).otherwise(text)
+    latin = F.translate(text, V.CP1252, "".join(map(chr, V.CP1252_BYTES)))
+    whole = ~text.rlike("[\u0080-\u009f]") & ~latin.rlike("[^\u0000-\u00ff]")
+    restored = F.encode(latin, "ISO-8859-1").cast("string")
+    return F.when(marked & whole, F.when(F.is_valid_utf8(restored), restored).otherwise(text)).otherwise(text)
 
 
-def normalize(name: Column, shops=(), repair: bool = False) -> Column:
-    """The form in which names are compared: tails off, single-letter prefixes joined, spaces single; case kept."""
-    clean = strip_noise(strip_pack(strip_sku(fix_mojibake(name) if repair else name)), shops)
+def normalize(name: Column, shops=()) -> Column:
+    """The form in which names are compared: mojibake repaired, tails off, single-letter prefixes joined, spaces of any kind single; case kept."""
+    clean = strip_noise(strip_pack(strip_sku(F.regexp_replace(fix_mojibake(name), r"(?U)\s+", " "))), shops)
     clean = F.regexp_replace(clean, r"\b([a-zA-Z])-([a-zA-Z])", "$1$2")
     return F.trim(F.regexp_replace(clean, r"\s+", " "))
 
@@ -107,12 +98,7 @@ def brand(name: Column) -> Column:
 
 def base_name(name: Column) -> Column:
     """The name of the group of variants: without set sizes, measures, size and configuration words and short codes."""
-    steps = (
-        (r"(?i)\bset\s+of\s+\d+\b", " "), (r"(?i)\bdlc\s+coated\s+drills?\b", " "), (r"(?i)\b\d+(?:\.\d+)?\s?(?:mm|cm|ml|mg|kg|gm?|microns?|µ|inch|inches|oz|sheets?)\b", " "),
-        (r"(?i)\b(?:small|large|medium|mini|maxi|x-?small|x-?large|xs|xl)\b", " "), (r"(?i)\b(?=[a-z0-9]*\d)(?=[a-z0-9]*[a-z])[a-z0-9]{2,7}\b", " "),
-        (r"(?i)\b(premium|basic\s*\+?\s*plus|basic|standard|deluxe|extra|only|non[\s-]?torque|torque|ratchet)\b", " "), (r"(?i)\bwith\b", " "), (r"(?<=[A-Za-z])-(?=[A-Za-z])", ""), (r"\s{2,}", " "), (r"^[ -]+|[ -]+$", ""), (r"\s+", " "),
-    )
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, name)
+    return reduce(lambda c, s: F.regexp_replace(c, *s), V.BASE_STEPS, name)
 
 
 def paren_code(name: Column) -> Column:
@@ -123,4 +109,4 @@ def paren_code(name: Column) -> Column:
 def merchant_key(text: Column) -> Column:
     """A merchant's name or host without protocol, path, top-level domain and punctuation."""
     host = F.split(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "^https?://", ""), "/")[0]
-    return F.regexp_replace(F.regexp_replace(host, r"\.(com|in|co|net|org|shop|store|biz|io)(\.[a-z]{2})?$", ""), "[^a-z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(host, V.TOP_DOMAIN, ""), "[^a-z0-9]", "")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocabulary as V
-from ..functions.attributes import rich_attributes, strong_codes
-from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash, prepared
-from ..functions.names import distinguishing, normalize, specific
-from ..functions.similarity import attribute_score, brand_score, embed, fuzz, pack_score, score, sparse_dot, verdict, weighted_overlap
+from ..functions.attributes import attributes, rich_attributes, strong_codes
+from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash
+from ..functions.names import distinguishing, normalize, specific, tokens, words
+from ..functions.similarity import attribute_score, brand_score, embed, fuzz, pack_score, score, sparse_dot, token_overlap, verdict
 from ..functions.specs import compare_specs, describe, sized
 from ..tables import checkpointed
 
@@ -16,39 +16,70 @@ from ..tables import checkpointed
 def block(searches: DataFrame, candidates: DataFrame, on: list[str] = [], name: str = "name", key: str = "search_id", other: str = "candidate_id") -> DataFrame:  # noqa: B006
     """Pairs that share a distinguishing token and the columns ``on``, once each: an equi-join on exploded tokens, never all with all.
 
-    Both tables have a ``name``; columns other than ``on`` come back as ``s_`` and ``c_``.
+    Both tables have a ``name``; columns other than ``on`` come back as ``s_`` and ``c_``. A
+    search without tokens meets all candidates with its ``on`` columns; where there are none
+    to join by, it meets nothing. Only keys and tokens are shuffled to find the pairs.
     """
-    left = searches.select(*on, *(F.col(c).alias(f"s_{c}") for c in searches.columns if c not in on)).withColumn("_token", F.explode(distinguishing(F.col(f"s_{name}"))))
-    right = candidates.select(*on, *(F.col(c).alias(f"c_{c}") for c in candidates.columns if c not in on)).withColumn("_token", F.explode(distinguishing(F.col(f"c_{name}"))))
-    return left.join(right, [*on, "_token"]).drop("_token").dropDuplicates([f"s_{key}", f"c_{other}"])
+    left = searches.select(*on, *(F.col(c).alias(f"s_{c}") for c in searches.columns if c not in on))
+    right = candidates.select(*on, *(F.col(c).alias(f"c_{c}") for c in candidates.columns if c not in on))
+    s_key, c_key = f"s_{key}", f"c_{other}"
+    wanted = left.select(*on, s_key, distinguishing(F.col(f"s_{name}")).alias("_tokens"))
+    offered = right.select(*on, c_key, F.explode(distinguishing(F.col(f"c_{name}"))).alias("_token"))
+    met = wanted.select(*on, s_key, F.explode("_tokens").alias("_token")).join(offered, [*on, "_token"]).select(s_key, c_key)
+    if on:
+        met = met.unionByName(wanted.where(F.coalesce(F.size("_tokens"), F.lit(0)) <= 0).join(right.select(*on, c_key), on).select(s_key, c_key))
+    return met.distinct().join(left.dropDuplicates([s_key]), s_key).join(right.drop(*on).dropDuplicates([c_key]), c_key)
 
 
 def prefilter(candidates: DataFrame, searches: DataFrame, on: list[str]) -> DataFrame:
-    """Candidates that share a distinguishing token with any search; with no tokens in the searches all stay."""
+    """Candidates that share a distinguishing token with any search of their group ``on``; where a group's searches have no tokens, all of its candidates stay. Repeated rows come once."""
     wanted = searches.select(*on, F.explode(distinguishing(F.col("name"))).alias("_token")).distinct()
-    return candidates.withColumn("_token", F.explode(distinguishing(F.col("name")))).join(wanted, [*on, "_token"], "left_semi").drop("_token").distinct()
+    shared = candidates.withColumn("_token", F.explode(distinguishing(F.col("name")))).join(wanted, [*on, "_token"], "left_semi").drop("_token")
+    blank = searches.select(*on).distinct().join(wanted.select(*on).distinct(), on, "left_anti") if on else None
+    if on:
+        every = candidates.join(blank, on, "left_semi")
+    else:
+        every = candidates if searches.limit(1).count() and not wanted.limit(1).count() else candidates.limit(0)
+    return shared.unionByName(every).distinct()
+
+
+#: Columns of :func:`profiled` besides the normal forms.
+PROFILE = ("_a", "_b", "_aw", "_bw", "_at", "_bt", "_av", "_bv")
+
+
+def profiled(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``s_name``, ``c_name``) with both names' normal form, attributes, words, tokens and vector, worked out once for each distinct name; null names have nulls."""
+    names = pairs.select(F.explode(F.array("s_name", "c_name")).alias("name")).where("name is not null").distinct()
+    norm = F.col("norm")
+    known = checkpointed(names.withColumn("norm", normalize(F.col("name"))).select("name", "norm", attributes(norm).alias("a"), words(norm).alias("w"), F.array_distinct(tokens(norm)).alias("t"), embed(norm).alias("v")))
+    for side, to in (("s", "a"), ("c", "b")):
+        own = known.select(F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), *(F.col(x).alias(f"_{to}" + y) for x, y in (("a", ""), ("w", "w"), ("t", "t"), ("v", "v"))))
+        pairs = pairs.join(own, f"{side}_name", "left")
+    return pairs
 
 
 def triage(pairs: DataFrame, with_text: bool = True) -> DataFrame:
     """``pairs`` (``s_name``, ``c_name``) with ``gate``, the features, ``score`` and ``verdict``.
 
-    Vetoed pairs score null and are rejected; the costly features are computed for the others
-    only. ``with_text`` adds the fuzzy ratio and the vectors' cosine.
+    Vetoed pairs score null and are rejected; the costly features get nulls for them. Normal
+    forms and what the gates ask are functions of one name, so they are worked out once for
+    each distinct name and joined to the pairs. ``with_text`` adds the fuzzy ratio and the
+    vectors' cosine.
     """
-    named = pairs.withColumns({"s_norm": normalize(F.col("s_name")), "c_norm": normalize(F.col("c_name"))})
-    gated = prepared(named, "s_norm", "c_norm").withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"))))
+    gated = profiled(pairs).withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"))))
     open_ = F.col("gate").isNull()
     a, b = F.col("_a"), F.col("_b")
     features = {
-        "token": F.when(open_, weighted_overlap(F.col("s_norm"), F.col("c_norm"))),
+        "token": F.when(open_, token_overlap(F.col("_at"), F.col("_bt"))),
         "brand": F.when(open_, brand_score(a["brand"], b["brand"])),
         "pack": F.when(open_, pack_score(a["pack_count"], b["pack_count"])),
         "attr": F.when(open_, attribute_score(a, b)),
     }
     if with_text:
-        features |= {"fuzz": F.when(open_, fuzz("s_norm", "c_norm")), "cosine": F.when(open_, sparse_dot(embed(F.col("s_norm")), embed(F.col("c_norm"))))}
+        asked = lambda c: F.when(open_, F.col(c))  # noqa: E731  the function sees nulls for vetoed pairs
+        features |= {"fuzz": F.when(open_, fuzz(asked("s_norm"), asked("c_norm"))), "cosine": F.when(open_, sparse_dot(F.col("_av"), F.col("_bv")))}
     out = gated.withColumns(features).withColumn("score", score(**{k: F.col(k) for k in features}))
-    return out.withColumn("verdict", F.when(F.col("score").isNull(), "rejected").otherwise(verdict(F.col("score")))).drop("_a", "_b", "_aw", "_bw")
+    return out.withColumn("verdict", F.when(F.col("score").isNull(), "rejected").otherwise(verdict(F.col("score")))).drop(*PROFILE)
 
 
 def top(pairs: DataFrame, by: list[str], order: list[Column], k: int = V.TOP) -> DataFrame:
@@ -79,8 +110,10 @@ def verdict_rank(column: Column, ranks: dict[str, int] = VERDICT_RANK) -> Column
 
 
 def best_cell(cells: DataFrame, by: list[str], position: str) -> DataFrame:
-    """One cell of each group: the best verdict, then confidence, then the first."""
-    return top(cells, by, [verdict_rank(F.col("verdict")).desc(), F.col("confidence").desc(), F.col(position)], 1).drop("rank")
+    """One cell of each group: the best verdict, then confidence, then the first. Aggregated before the shuffle; positions are numbers, and unique in a group."""
+    rest = [c for c in cells.columns if c not in by]
+    first = F.struct(verdict_rank(F.col("verdict")).alias("_rank"), F.col("confidence").alias("_sure"), (-F.col(position)).alias("_at"), F.struct(*rest).alias("_cell"))
+    return cells.groupBy(*by).agg(F.max(first).alias("_best")).select(*by, "_best._cell.*").select(*cells.columns)
 
 
 def structured_match(pairs: DataFrame) -> DataFrame:
@@ -89,9 +122,9 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     Columns, each with ``s_`` and ``c_``: name, description, packaging, price, unit_price,
     pack_size, spec (a composition or null).
     """
-    p = pairs.withColumns({"s_norm": normalize(F.col("s_name")), "c_norm": normalize(F.col("c_name"))})
-    p = prepared(p, "s_norm", "c_norm").withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"), F.col("c_description"))))
-    p = p.drop("_aw", "_bw").withColumns({"_a": rich_attributes(*(F.col(f"s_{c}") for c in ("name", "description", "packaging"))), "_b": rich_attributes(*(F.col(f"c_{c}") for c in ("name", "description", "packaging")))})
+    p = profiled(pairs)
+    p = p.withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"), F.col("c_description"))))
+    p = p.withColumns({"_a": rich_attributes(*(F.col(f"s_{c}") for c in ("name", "description", "packaging"))), "_b": rich_attributes(*(F.col(f"c_{c}") for c in ("name", "description", "packaging")))})
     a, b = F.col("_a"), F.col("_b")
     fields = ("iso_size", "shade", "concentration", "taper", "slot", "viscosity", "material", "dimension", "wire_form", "tip_number")
     known = [a[f].isNotNull() & b[f].isNotNull() for f in fields]
@@ -100,9 +133,12 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     missing = (F.size(codes) > 0) & ~F.exists(codes, lambda c: F.contains(F.lower(F.col("c_name")), c))
     price = lambda s: F.coalesce(F.nullif(F.col(f"{s}_unit_price"), F.lit(0.0)), F.col(f"{s}_price"), F.lit(0.0))
     blank = lambda s: F.concat_ws("", f"{s}_description", f"{s}_packaging") == ""
+    # names with the first 240 characters of their descriptions, where both have one
+    said = lambda s: F.concat_ws(" ", f"{s}_norm", F.substring(f"{s}_description", 1, 240))
+    told = F.when((F.coalesce("s_description", F.lit("")) != "") & (F.coalesce("c_description", F.lit("")) != ""), sparse_dot(embed(said("s")), embed(said("c"))))
     p = p.withColumns({
-        "_compared": sum((k.cast("int") for k in known), F.lit(0)), "_differ": differ, "token": weighted_overlap(F.col("s_norm"), F.col("c_norm")), "fuzz": fuzz("s_norm", "c_norm"), "cosine": sparse_dot(embed(F.col("s_norm")), embed(F.col("c_norm"))),
-        "spec": compare_specs(F.col("s_spec"), F.col("c_spec")), "unit_ratio": F.when((price("s") > 0) & (price("c") > 0), price("c") / price("s")), "thin": blank("s") | blank("c"), "_clash": kinds_clash(F.lower("s_norm"), F.lower("c_norm")),
+        "_compared": sum((k.cast("int") for k in known), F.lit(0)), "_differ": differ, "token": token_overlap(F.col("_at"), F.col("_bt")), "fuzz": fuzz("s_norm", "c_norm"), "cosine": F.greatest(sparse_dot(F.col("_av"), F.col("_bv")), told),
+        "spec": compare_specs(F.col("s_spec"), F.col("c_spec")), "unit_ratio": F.when((price("s") > 0) & (price("c") > 0), price("c") / price("s")), "thin": blank("s") | blank("c"), "_clash": kinds_clash(F.col("s_norm"), F.col("c_norm")),
     })
     near = (F.col("fuzz") >= V.CONFIRM_FUZZ) | (F.col("token") >= V.NEAR_TOKEN)
     inside = in_band(price("c"), price("s"))
@@ -120,7 +156,7 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     packs = F.when((F.col("s_pack_size") != F.col("c_pack_size")) & (F.col("s_pack_size") > 0) & (F.col("c_pack_size") > 0), F.concat(F.col("s_pack_size").cast("string"), F.lit("/pack vs "), F.col("c_pack_size").cast("string"), F.lit("/pack")))
     note = F.when(F.col("spec") == "different-size", F.concat(describe(F.col("s_spec")), F.lit(" vs "), describe(F.col("c_spec")))).otherwise(packs)
     out = p.withColumns({"reason": why, "pack_note": note})
-    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(sure, "confirmed").otherwise("borderline")).drop("_a", "_b", "_compared", "_differ", "_clash", "gate")
+    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(sure, "confirmed").otherwise("borderline")).drop(*PROFILE, "_compared", "_differ", "_clash", "gate")
 
 
 def select_variant(listings: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..tables import checkpointed
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their key; rows of ``new`` without a key are left out. Both have the same columns, ``new`` one row a key."""
@@ -55,12 +55,20 @@ def filled_to(fixed: DataFrame, pool: DataFrame, key: str, size: int) -> DataFra
 
 
 def ancestor(spark, runs: DataFrame) -> DataFrame:
-    """For each run the nearest source that isn't marked ``special``, by levels; cycles end at a depth that no chain exceeds."""
-    step = runs.select("run_id", F.col("source_run_id").alias("at"))
-    known = runs.select(F.col("run_id").alias("at"), "special", F.col("source_run_id").alias("up"))
-    levels = []
-    for _ in range(8):
-        found = step.join(known, "at")
-        levels.append(found.where(~F.col("special")).select("run_id", F.col("at").alias("ancestor")))
-        step = found.where("special").select("run_id", F.col("up").alias("at")).where("at is not null")
-    return reduce(lambda a, b: a.unionByName(b), levels)
+    """For each run (``run_id``, ``source_run_id``, ``special``) the nearest source that isn't special: ``run_id``, ``ancestor``.
+
+    Jumps double in length each round, so a chain of any length is followed in the logarithm of
+    its length. Runs without a source, with an unknown one, or whose special sources lead
+    around in a circle have no row. ``run_id`` is unique.
+    """
+    jump = checkpointed(runs.select("run_id", F.when(F.coalesce("special", F.lit(False)), F.col("source_run_id")).otherwise(F.col("run_id")).alias("to")).where("to is not null"))
+    for _ in range(max(1, jump.count()).bit_length()):
+        longer = jump.join(jump.select(F.col("run_id").alias("to"), F.col("to").alias("next")), "to").select("run_id", F.col("to").alias("was"), F.col("next").alias("to"))
+        longer = checkpointed(longer)
+        moved = longer.where("was <> to").limit(1).count()
+        jump = longer.drop("was")
+        if not moved:
+            break
+    ends = runs.where(~F.coalesce("special", F.lit(False))).select(F.col("run_id").alias("to"))
+    found = runs.select("run_id", F.col("source_run_id").alias("at")).join(jump.select(F.col("run_id").alias("at"), "to"), "at").join(ends, "to")
+    return found.select("run_id", F.col("to").alias("ancestor"))

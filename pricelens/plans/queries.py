@@ -59,16 +59,24 @@ def document_words(spark, sf):
 
 @query()
 def repaired_documents(spark, sf):
-    """Mojibake repair over all texts: how many characters each loses."""
+    """Mojibake repair over all texts: the digest of each."""
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce(N.fix_mojibake(F.col("text")), F.lit("")), 256).alias("sha256"))
 
 
 def _anchors(spark, sf) -> DataFrame:
-    """One search for each brand, type and name that the catalogue has: as many as its vocabulary allows, whatever its rows."""
-    p = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_name").agg(F.min("p_size").alias("size"), F.max("p_retailprice").alias("price"))
+    """One search for each brand, type and name that the catalogue has, as its first row has size and price, with the number of its rows (``members``); :func:`anchor_members` leads back to them."""
+    first = F.min(F.struct("p_partkey", "p_size", "p_retailprice")).alias("first")
+    p = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_name").agg(first, F.count("*").alias("members"))
+    p = p.select("p_brand", "p_type", "p_name", F.col("first.p_size").alias("size"), F.col("first.p_retailprice").alias("price"), "members")
     ident = F.concat_ws("|", "p_brand", "p_type", "p_name")
     name = F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" "), "p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.col("size").cast("string"), F.lit(" mm"))
-    return p.select("p_brand", "p_type", ident.alias("search_id"), name.alias("name"), "price", F.col("p_name").alias("short"))
+    return p.select("p_brand", "p_type", ident.alias("search_id"), name.alias("name"), "price", "members", F.col("p_name").alias("short"))
+
+
+@query("SELECT p_brand || '|' || p_type || '|' || p_name AS search_id, p_partkey FROM part")
+def anchor_members(spark, sf):
+    """The parts that each search stands for."""
+    return table(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_type", "p_name").alias("search_id"), "p_partkey")
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -80,17 +88,17 @@ def _pairs(spark, sf) -> DataFrame:
 
 
 _ANCHORS = f"""{LISTINGS},
-anchor AS (SELECT p_brand, p_type, p_name, p_brand || '|' || p_type || '|' || p_name AS search_id, replace(p_brand, '#', ' ') || ' ' || p_name || ' ' || lower(p_type) || ' ' || sz || ' mm' AS name, price FROM (SELECT p_brand, p_type, p_name, min(p_size) AS sz, max(p_retailprice) AS price FROM part GROUP BY ALL)),
-pair AS (SELECT a.search_id, l.p_partkey AS candidate_id, a.name AS s_name, l.name AS c_name, a.price AS s_price, l.price AS c_price, a.p_name AS s_short, l.p_name AS c_short FROM anchor a JOIN listing l ON a.p_brand = l.p_brand AND a.p_type = l.p_type
+anchor AS (SELECT p_brand, p_type, p_name, p_brand || '|' || p_type || '|' || p_name AS search_id, replace(p_brand, '#', ' ') || ' ' || p_name || ' ' || lower(p_type) || ' ' || sz || ' mm' AS name, price, members FROM (SELECT p_brand, p_type, p_name, arg_min(p_size, p_partkey) AS sz, arg_min(p_retailprice, p_partkey) AS price, count(*) AS members FROM part GROUP BY p_brand, p_type, p_name)),
+pair AS (SELECT a.search_id, a.members, l.p_partkey AS candidate_id, a.name AS s_name, l.name AS c_name, a.price AS s_price, l.price AS c_price, a.p_name AS s_short, l.p_name AS c_short FROM anchor a JOIN listing l ON a.p_brand = l.p_brand AND a.p_type = l.p_type
   WHERE len(list_filter(list_intersect(string_split(a.p_name, ' '), string_split(l.p_name, ' ')), lambda x: NOT list_contains({STOPS}, x))) > 0),
 words AS (SELECT *, list_distinct({TOKENS.format('s_name')}) AS s, list_distinct({TOKENS.format('c_name')}) AS c FROM pair),
 both_ AS (SELECT *, list_filter(s, lambda x: list_contains(c, x)) AS i, list_distinct(list_concat(s, c)) AS u FROM words),
 overlap AS (SELECT *, (len(i) + 9 * len(list_filter(i, lambda x: NOT list_contains({STOPS}, x))))::DOUBLE / (len(u) + 9 * len(list_filter(u, lambda x: NOT list_contains({STOPS}, x)))) AS token FROM both_)"""
 
 
-@query(f"WITH {_ANCHORS} SELECT search_id, candidate_id, floor(token * 1e6 + 0.5) / 1e6 AS token FROM overlap")
+@query(f"WITH {_ANCHORS} SELECT search_id, candidate_id, members, floor(token * 1e6 + 0.5) / 1e6 AS token FROM overlap")
 def weighted_jaccard_pairs(spark, sf):
-    return _pairs(spark, sf).select("s_search_id", "c_candidate_id", (F.floor(S.weighted_overlap(F.col("s_name"), F.col("c_name")) * 1e6 + 0.5) / 1e6).alias("token")).toDF("search_id", "candidate_id", "token")
+    return _pairs(spark, sf).select(F.col("s_search_id").alias("search_id"), F.col("c_candidate_id").alias("candidate_id"), F.col("s_members").alias("members"), (F.floor(S.weighted_overlap(F.col("s_name"), F.col("c_name")) * 1e6 + 0.5) / 1e6).alias("token"))
 
 
 @query(f"WITH {_ANCHORS}, r AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY floor(token * 1e6 + 0.5) DESC, candidate_id) AS rank FROM overlap) SELECT search_id, candidate_id, rank, floor(token * 1e6 + 0.5) / 1e6 AS token FROM r WHERE rank <= 5")
@@ -265,9 +273,7 @@ _CELLS = "cell AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_orde
 def best_cell(spark, sf):
     rows = table(spark, sf, "lineitem")
     cells = rows.select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.col("l_tax").alias("confidence"), F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "N", "possible").otherwise("variant").alias("verdict"))
-    # pre-aggregated: one row a part and task leaves for the shuffle
-    best = cells.groupBy("l_partkey").agg(F.max(F.struct(pairs.verdict_rank(F.col("verdict")).alias("r"), "confidence", (-F.col("position")).alias("p"), (-F.col("l_suppkey")).alias("s"), "verdict")).alias("b"))
-    return best.select("l_partkey", (-F.col("b.p")).alias("position"), "b.verdict", "b.confidence")
+    return pairs.best_cell(cells, ["l_partkey"], "position").select("l_partkey", "position", "verdict", "confidence")
 
 
 @query("WITH s AS (SELECT p_partkey, p_size::DOUBLE AS a, CASE WHEN l_quantity >= 2 THEN l_quantity END AS b, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, p_partkey, CASE WHEN b IS NULL THEN 'unknown' WHEN abs(a - b) / greatest(a, b) <= 0.05 THEN 'exact' WHEN (a >= 10) = (b >= 10) THEN 'same-tier' ELSE 'different-size' END AS match FROM s")
@@ -357,9 +363,9 @@ def event_json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("WITH w AS (SELECT DISTINCT p_brand FROM part WHERE p_type = 'PROMO'), s AS (SELECT DISTINCT s.p_brand, s.p_size, t FROM part s, unnest(string_split(s.p_name, ' ')) u(t) WHERE s.p_type = 'PROMO') SELECT DISTINCT p.p_partkey FROM part p, unnest(string_split(p.p_name, ' ')) u(t) JOIN s ON s.p_brand = p.p_brand AND s.p_size = p.p_size AND s.t = u.t WHERE u.t NOT IN ('small', 'large', 'red', 'blue', 'new')")
+@query("WITH s AS (SELECT DISTINCT s.p_brand, s.p_size, t FROM part s, unnest(string_split(s.p_name, ' ')) u(t) WHERE s.p_type = 'PROMO'), told AS (SELECT * FROM s WHERE t NOT IN ('small', 'large', 'red', 'blue', 'new')), blank AS (SELECT DISTINCT p_brand, p_size FROM s ANTI JOIN told USING (p_brand, p_size)) SELECT DISTINCT p.p_partkey FROM part p, unnest(string_split(p.p_name, ' ')) u(t) JOIN told s ON s.p_brand = p.p_brand AND s.p_size = p.p_size AND s.t = u.t UNION SELECT p_partkey FROM part SEMI JOIN blank USING (p_brand, p_size)")
 def prefilter_semi(spark, sf):
-    """Parts that share a distinguishing word with a promoted part of their brand and size."""
+    """Parts that share a distinguishing word with a promoted part of their brand and size; all of them where the promoted ones have none."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type", F.col("p_name").alias("name"))
     return pairs.prefilter(p.drop("p_type"), p.where("p_type = 'PROMO'").drop("p_type"), ["p_brand", "p_size"]).select("p_partkey")
 

@@ -40,7 +40,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("no column of names")
     text = lambda c: F.trim(F.col(f"`{c}`")) if c else F.lit(None).cast("string")
     out = table.select(text(name).alias("name"), text(sku).alias("sku"), F.lower(text(brand)).alias("brand")).where("name <> ''")
-    return out.withColumns({"brand": F.coalesce(F.nullif("brand", F.lit("")), F.lower(F.split("name", r"\s+")[0])), "normalized": F.lower(normalize(F.col("name"), repair=True))}).withColumn("vector", embed(F.col("normalized")))
+    return out.withColumns({"brand": F.coalesce(F.nullif("brand", F.lit("")), F.lower(F.split("name", r"\s+")[0])), "normalized": F.lower(normalize(F.col("name")))}).withColumn("vector", embed(F.col("normalized")))
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:

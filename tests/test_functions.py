@@ -105,6 +105,10 @@ def test_search_queries(spark):
     got = value(spark, search_queries, "GDC Gracey Curette AFX51A (S5083) Pack of 5")
     assert got[0] == "GDC Gracey curette" or got[0].startswith("GDC Gracey") and len({q.lower() for q in got}) == len(got)
     assert value(spark, search_queries, "") == []
+    assert value(spark, search_queries, "GDC Stainless Steel Explorer Probe 17")[0] == "GDC Probe explorer"
+    assert value(spark, search_queries, "Acme Probe AB-1234 (XY-99)")[:7] == ["Acme AB probe", "Acme probe", "Acme AB", "Acme AB-1234", "AB-1234", "Acme XY-99", "XY-99"]
+    assert value(spark, lambda n, d: search_queries(n, packaging=d), "Acme Zorb", "box of forceps")[0] == "Acme Zorb forceps"
+    assert value(spark, lambda n, m: search_queries(n, maker=m), "12", "Maker Inc") == ["Maker"]
 
 
 def test_registry(spark):
@@ -142,3 +146,38 @@ def test_files(spark, tmp_path):
     assert {r.brand for r in files.read_catalogue(spark, str(tmp_path / "a.csv")).collect()} == {"probe", "tray,"}
     (tmp_path / "s.xml").write_text("<loc>http://a/x-probe_7.html</loc><loc>http://a/c/y.html</loc><loc>http://a/z</loc>")
     assert [tuple(r) for r in files.read_sitemaps(spark, str(tmp_path / "s.xml")).collect()] == [("http://a/x-probe_7.html", "x probe 7")]
+
+
+def test_ancestors_of_any_depth(spark):
+    """A chain of forty special runs leads to the ordinary one at its end; a circle and an unknown source lead nowhere."""
+    rows = [(0, False, None), *((i, True, i - 1) for i in range(1, 41)), (50, True, 51), (51, True, 50), (60, True, 99), (70, False, 40)]
+    runs = spark.createDataFrame(rows, "run_id int, special boolean, source_run_id int")
+    assert {(r.run_id, r.ancestor) for r in registry.ancestor(spark, runs).collect()} == {*((i, 0) for i in range(1, 41)), (70, 0)}
+    assert registry.ancestor(spark, runs.limit(0)).count() == 0
+
+
+def test_searches_without_tokens_keep_all(spark):
+    found = spark.createDataFrame([("a", "Probe"), ("a", "Mirror"), ("b", "Probe"), ("b", "Mirror"), ("c", "Probe")], "g string, name string")
+    asked = spark.createDataFrame([("a", "the new"), ("b", "Acme Probe"), ("b", "the")], "g string, name string")
+    assert sorted(tuple(r) for r in pairs.prefilter(found, asked, ["g"]).collect()) == [("a", "Mirror"), ("a", "Probe"), ("b", "Probe")]
+    assert pairs.prefilter(found.drop("g"), asked.where("g = 'a'").drop("g"), []).count() == 2
+    left, right = asked.withColumn("search_id", F.monotonically_increasing_id()), found.withColumn("candidate_id", F.monotonically_increasing_id())
+    met = sorted((r.s_name, r.c_name) for r in pairs.block(left, right, ["g"]).collect())
+    assert met == [("Acme Probe", "Probe"), ("the", "Mirror"), ("the", "Probe"), ("the new", "Mirror"), ("the new", "Probe")]
+
+
+@pytest.mark.parametrize("name", ["Émail Diamant Paste", "Ünique Brush Soft", "Ören Tray"])
+def test_brands_of_any_alphabet_fit_themselves(spark, name):
+    frame = G.prepared(spark.createDataFrame([(name, name)], "s string, f string"), "s", "f")
+    assert frame.select(G.gate_reason(F.col("s"), F.col("f")).alias("v")).first()["v"] is None
+
+
+@pytest.mark.parametrize("raw, want", [("Acme Tray   big", "Acme Tray big"), ("Retractor â€“ 50mm", "Retractor – 50mm"), ("Müller â€“  x", "Müller â€“ x")])
+def test_normal_form_of_odd_text(spark, raw, want):
+    assert value(spark, N.normalize, raw) == want
+
+
+def test_best_cell_takes_verdict_then_confidence_then_place(spark):
+    rows = [("p", "possible", 0.9, 1, "x"), ("p", "confirmed", 0.5, 2, "y"), ("p", "confirmed", 0.7, 4, "z"), ("p", "confirmed", 0.7, 3, "w"), ("q", "rejected", None, 1, "v")]
+    got = pairs.best_cell(spark.createDataFrame(rows, "k string, verdict string, confidence double, position int, note string"), ["k"], "position")
+    assert {r.k: r.note for r in got.collect()} == {"p": "w", "q": "v"}
