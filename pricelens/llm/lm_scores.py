@@ -1,9 +1,11 @@
 """Stupid-backoff scores of documents under n-gram counts of all other documents.
 
-Documents are dealt into blocks. A block's distinct n-grams with their uses are exploded by
-hash bucket; a bucket holds the count table of its n-grams and joins each block's n-grams to
-it; the counts go back to their block, where they are looked up and summed per document. So
-a frequent n-gram is one row a block, not one a use, before anything is shuffled.
+Documents are dealt into blocks. Length by length, a block's n-grams are exploded into rows
+with their uses in the block; the count table is the sum over all rows of an n-gram,
+partitioned by its hash, and joins back to those rows; what is used outside the block returns
+to it. An n-gram that others use has only parts that others use, so each length explodes only
+n-grams whose two parts have been found elsewhere. At last a block's counts are looked up and
+summed per document. A frequent n-gram is one row a block, not one a use, before any shuffle.
 """
 
 from __future__ import annotations
@@ -12,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..tables import table
 from .arrays import mix, slices, word_hashes
 
 #: Longest n-gram, and the factor of each step to a shorter context.
-ORDER, BACKOFF = 2, 0.4
-#: Bytes of text of a block, and words of the corpus for each hash bucket, about.
-BLOCK_BYTES, BUCKET_WORDS = 12 << 20, 3_000_000
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text of a block, about.
+BLOCK_BYTES = 12 << 20
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +53,12 @@ def _grams(words: np.ndarray, text: np.ndarray, order: int) -> Iterator[tuple[np
         yield gram, whole
 
 
-def _tables(words: np.ndarray, text: np.ndarray, order: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length the distinct n-grams in order of bucket and hash, their uses, and the bounds of the buckets."""
-    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
-        distinct, uses = np.unique(gram[whole], return_counts=True)
-        bucket = distinct % np.uint64(buckets)
-        by = np.argsort(bucket, kind="stable")
-        yield n, distinct[by], uses[by], np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compress
+    for frame in frames:
+        yield frame.drop(columns=["text"]).assign(data=[press(b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in frame["text"]])
 
 
 def _open(frame: pd.DataFrame) -> list[bytes]:
@@ -67,67 +68,75 @@ def _open(frame: pd.DataFrame) -> list[bytes]:
     return [unpack(x) for x in frame["data"]]
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zstandard
+def _rows(block: int, gram: np.ndarray) -> pd.DataFrame:
+    distinct, uses = np.unique(gram, return_counts=True)
+    return pd.DataFrame({"gram": distinct.view(np.int64), "block": np.int64(block), "uses": uses.astype(np.int32)})
 
-    press = zstandard.ZstdCompressor(level=3).compress
-    for frame in frames:
-        yield frame.drop(columns=["text"]).assign(data=[press(b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in frame["text"]])
 
+def _elsewhere(gram: np.ndarray, text: np.ndarray, at: np.ndarray, given: pd.DataFrame) -> np.ndarray:
+    """How often other documents use the n-gram at each place; ``at`` says where there is one, ``given`` has the totals of those used outside the block."""
+    out = np.zeros(len(gram), dtype=np.int64)
+    distinct, place, uses = np.unique(gram[at], return_inverse=True, return_counts=True)
+    if not len(distinct):
+        return out
+    known = given["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    uses[np.searchsorted(distinct, known)] = given["total"].to_numpy(dtype=np.int64)
+    many = uses[place] > 1  # what is used once in all is its own document's
+    pair = text[at][many] * np.int64(len(distinct)) + place[many]
+    _, same, own = np.unique(pair, return_inverse=True, return_counts=True)
+    rest = np.zeros(len(place), dtype=np.int64)
+    rest[many] = uses[place[many]] - own[same]
+    out[at] = rest
+    return out
 
-def _explode(block: pd.DataFrame, order: int, buckets: int) -> pd.DataFrame:
-    import zstandard
 
-    press = zstandard.ZstdCompressor(level=3).compress
+def _first(block: pd.DataFrame) -> pd.DataFrame:
+    """A block's words with their uses."""
     words, text = _words(_open(block))
-    rows = [(int(block["block"].iloc[0]), b, n, grams[at[b] : at[b + 1]].tobytes(), press(uses[at[b] : at[b + 1]].astype(np.uint32).tobytes())) for n, grams, uses, at in _tables(words, text, order, buckets) for b in range(buckets) if at[b] < at[b + 1]]
-    return pd.DataFrame(rows, columns=["block", "bucket", "n", "grams", "uses"])
+    return _rows(block["block"].iloc[0], next(_grams(words, text, 1))[0])
 
 
-def _count(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's count table, joined to the n-grams that the blocks sent."""
-    import zstandard
+def _both(found: np.ndarray) -> np.ndarray:
+    """Where this and the place before are found: both parts of an n-gram."""
+    return found & np.concatenate([[False], found[:-1]])[: len(found)]
 
-    press, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-    out = []
-    for n, own in rows.groupby("n"):
-        grams = [np.frombuffer(x, dtype=np.uint64) for x in own["grams"]]
-        uses = np.concatenate([np.frombuffer(unpack(x), dtype=np.uint32) for x in own["uses"]])
-        _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(place, weights=uses).astype(np.int64)[place]
-        ends = np.cumsum([len(g) for g in grams])
-        out += [(block, bucket, n, press(total[e - len(g) : e].tobytes())) for block, bucket, g, e in zip(own["block"], own["bucket"], grams, ends, strict=True)]
-    return pd.DataFrame(out, columns=["block", "bucket", "n", "totals"])
 
+def _levels(words: np.ndarray, text: np.ndarray, counts: pd.DataFrame, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length how often other documents use the n-gram that ends at each word, and where there is one."""
+    at = np.ones(len(words), dtype=bool)
+    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
+        rest = _elsewhere(gram, text, at & whole, counts[counts["n"] == n])
+        yield rest, whole
+        at = _both(rest > 0)
 
-def _sum(block: pd.DataFrame, counts: pd.DataFrame, order: int, buckets: int, total: int, columns: list[str]) -> pd.DataFrame:
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
+def _next(block: pd.DataFrame, counts: pd.DataFrame, n: int) -> pd.DataFrame:
+    """A block's n-grams of which both parts are used in other documents, with their uses."""
+    words, text = _words(_open(block))
+    *_, (rest, _) = _levels(words, text, counts, n - 1)
+    *_, (gram, whole) = _grams(words, text, n)
+    return _rows(block["block"].iloc[0] if len(block) else 0, gram[whole & _both(rest > 0)])
+
+
+def _sum(block: pd.DataFrame, counts: pd.DataFrame, order: int, total: int, columns: list[str]) -> pd.DataFrame:
     words, text = _words(_open(block))
     sizes = np.bincount(text, minlength=len(block))
-    of = {(n, b): x for n, b, x in zip(counts["n"], counts["bucket"], counts["totals"], strict=True)}
-    others: list[tuple[np.ndarray, np.ndarray]] = []  # for each length: uses in other documents, at each word
-    for (n, distinct, _, at), (gram, whole) in zip(_tables(words, text, order, buckets), _grams(words, text, order), strict=True):
-        totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack(of[n, b]), dtype=np.int64) for b in range(buckets) if at[b] < at[b + 1])])
-        by = np.argsort(distinct)
-        place = by[np.searchsorted(distinct[by], gram[whole])] if len(distinct) else np.zeros(0, np.int64)
-        _, same, own = np.unique(text[whole] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
-        rest = np.zeros(len(words))
-        rest[whole] = totals[place] - own[same]
-        others.append((rest, whole))
-    elsewhere = np.maximum(total - sizes, 1)[text]
-    score = np.log10(np.maximum(others[0][0], 1) / elsewhere)
-    backed = np.zeros(len(words), dtype=bool)
-    for n in range(2, order + 1):
-        rest, whole = others[n - 1]
-        context = np.concatenate([[0.0], others[n - 2][0][:-1]])[: len(words)]
-        seen = whole & (rest > 0)
-        score = np.where(seen, np.log10(np.where(seen, rest, 1) / np.where(seen, context, 1)), np.where(whole, np.log10(BACKOFF) + score, score))
-        backed = np.where(whole, ~seen, backed)
+    score, shorter, backed = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool)
+    for n, (rest, whole) in enumerate(_levels(words, text, counts, order), 1):
+        if n == 1:
+            score = np.log10(np.maximum(rest, 1) / np.maximum(total - sizes, 1)[text])
+        else:
+            context, seen = np.concatenate([[0], shorter[:-1]])[: len(words)], rest > 0
+            score = np.where(seen, np.log10(np.where(seen, rest, 1) / np.where(seen, context, 1)), np.where(whole, np.log10(BACKOFF) + score, score))
+            backed = np.where(whole, ~seen, backed)
+        shorter = rest
     return block[columns].assign(n_words=sizes, n_backed_off=np.bincount(text[backed], minlength=len(block)), log_score=np.bincount(text, weights=score, minlength=len(block)))
 
 
+def _exploder(n: int):
+    return lambda block, counts: _next(block, counts, n)
+
+
 def _size(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for _, texts in slices(frames):
         yield pd.DataFrame({"words": [len(word_hashes(texts)[0])], "bytes": [sum(map(len, texts))]})
@@ -147,18 +156,24 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, key: str = "doc_id") ->
     """
     docs = docs.drop("n_words", "n_backed_off", "log_score")
     size = docs.select("text").mapInPandas(_size, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
-    words, bytes_ = size[0] or 0, size[1] or 0
-    blocks, buckets = max(1, -(-bytes_ // BLOCK_BYTES)), max(1, -(-words * order // BUCKET_WORDS))
+    words, blocks = size[0] or 0, max(1, -(-(size[1] or 0) // BLOCK_BYTES))
     columns = [c for c in docs.columns if c != "text"]
     named = docs.toDF(*(c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)))
     names = [c for c in named.columns if c != "text"]
     dealt = named.withColumn("block", F.pmod(F.xxhash64(F.col(f"_{docs.columns.index(key)}").cast("string"), "text"), F.lit(blocks)))
     fields = [f for f in dealt.schema.fields if f.name != "text"]
     dealt = dealt.mapInPandas(_pack, T.StructType([*fields]).add("data", "binary"))
-    grams = dealt.groupBy("block").applyInPandas(lambda block: _explode(block, order, buckets), "block long, bucket long, n int, grams binary, uses binary")
-    counts = grams.groupBy("bucket").applyInPandas(_count, "block long, bucket long, n int, totals binary")
-    schema = T.StructType([f for f in fields if f.name != "block"]).add("n_words", "long").add("n_backed_off", "long").add("log_score", "double")
-    scored = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(lambda a, b: _sum(a, b, order, buckets, words, names), schema)
+    counts, schema = None, "gram long, block long, uses int"
+    for n in range(1, order + 1):
+        if n == 1:
+            rows = dealt.groupBy("block").applyInPandas(_first, schema)
+        else:
+            rows = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_exploder(n), schema)
+        table_ = rows.withColumn("total", F.sum("uses").over(Window.partitionBy("gram"))).where("total > uses")
+        own = table_.select("block", F.lit(n).alias("n"), "gram", "total")
+        counts = own if counts is None else counts.unionByName(own)
+    result = T.StructType([f for f in fields if f.name != "block"]).add("n_words", "long").add("n_backed_off", "long").add("log_score", "double")
+    scored = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(lambda block, own: _sum(block, own, order, words, names), result)
     return scored.toDF(*columns, "n_words", "n_backed_off", "log_score")
 
 
@@ -169,16 +184,20 @@ def op5_lm_scores(spark, sf_dir):
 
 OP5_SQL = r"""
 WITH word AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-at_ AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word)),
+at_ AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v, CASE WHEN i > 2 THEN w[i - 2] END AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word)),
 total AS (SELECT count(*) AS n FROM at_), own AS (SELECT doc_id, count(*) AS n FROM at_ GROUP BY doc_id),
 one AS (SELECT w, count(*) AS c FROM at_ GROUP BY w), one_own AS (SELECT doc_id, w, count(*) AS c FROM at_ GROUP BY ALL),
 two AS (SELECT v, w, count(*) AS c FROM at_ WHERE v IS NOT NULL GROUP BY ALL), two_own AS (SELECT doc_id, v, w, count(*) AS c FROM at_ WHERE v IS NOT NULL GROUP BY ALL),
+three AS (SELECT u, v, w, count(*) AS c FROM at_ WHERE u IS NOT NULL GROUP BY ALL), three_own AS (SELECT doc_id, u, v, w, count(*) AS c FROM at_ WHERE u IS NOT NULL GROUP BY ALL),
 use_ AS (
-  SELECT a.doc_id, a.v, one.c - one_own.c AS cw, v1.c - v1o.c AS cv, two.c - two_own.c AS cvw, greatest(total.n - own.n, 1) AS n
+  SELECT a.doc_id, a.u, a.v, one.c - one_own.c AS cw, v1.c - v1o.c AS cv, two.c - two_own.c AS cvw, v2.c - v2o.c AS cuv, three.c - three_own.c AS cuvw, greatest(total.n - own.n, 1) AS n
   FROM at_ a CROSS JOIN total JOIN own ON own.doc_id = a.doc_id JOIN one ON one.w = a.w JOIN one_own ON one_own.doc_id = a.doc_id AND one_own.w = a.w
   LEFT JOIN one v1 ON v1.w = a.v LEFT JOIN one_own v1o ON v1o.doc_id = a.doc_id AND v1o.w = a.v
-  LEFT JOIN two ON two.v = a.v AND two.w = a.w LEFT JOIN two_own ON two_own.doc_id = a.doc_id AND two_own.v = a.v AND two_own.w = a.w),
-score AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE v IS NOT NULL AND cvw = 0) AS n_backed_off,
-  sum(CASE WHEN v IS NULL THEN log10(greatest(cw, 1) / n) WHEN cvw > 0 THEN log10(cvw / cv) ELSE log10(0.4) + log10(greatest(cw, 1) / n) END) AS s FROM use_ GROUP BY doc_id)
+  LEFT JOIN two ON two.v = a.v AND two.w = a.w LEFT JOIN two_own ON two_own.doc_id = a.doc_id AND two_own.v = a.v AND two_own.w = a.w
+  LEFT JOIN two v2 ON v2.v = a.u AND v2.w = a.v LEFT JOIN two_own v2o ON v2o.doc_id = a.doc_id AND v2o.v = a.u AND v2o.w = a.v
+  LEFT JOIN three ON three.u = a.u AND three.v = a.v AND three.w = a.w LEFT JOIN three_own ON three_own.doc_id = a.doc_id AND three_own.u = a.u AND three_own.v = a.v AND three_own.w = a.w),
+step AS (SELECT *, CASE WHEN v IS NULL THEN log10(greatest(cw, 1) / n) WHEN cvw > 0 THEN log10(cvw / cv) ELSE log10(0.4) + log10(greatest(cw, 1) / n) END AS s2 FROM use_),
+score AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE CASE WHEN u IS NOT NULL THEN cuvw = 0 ELSE v IS NOT NULL AND cvw = 0 END) AS n_backed_off,
+  sum(CASE WHEN u IS NULL THEN s2 WHEN cuvw > 0 THEN log10(cuvw / cuv) ELSE log10(0.4) + s2 END) AS s FROM step GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backed_off, 0)::BIGINT AS n_backed_off, round(coalesce(s, 0), 4)::DOUBLE AS log_score FROM documents d LEFT JOIN score USING (doc_id)
 """
