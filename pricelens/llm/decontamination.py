@@ -23,6 +23,8 @@ COVER = 0.3
 WEAK_LITERALS, WEAK_COVER = 2, 0.8
 #: Item windows up to this many are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Keys of texts with hits up to this many are broadcast (12 bytes each).
+BROADCAST_TEXTS = 500_000
 #: Words read as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "hrs", "ms", "hz", "khz", "mhz", "w", "kw", "v", "a", "k", "c", "f", "meters", "metres", "kilometers", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent")
 WORD = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
@@ -117,36 +119,41 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<string>")
     by_words = items.withColumn("width", F.least(F.lit(WINDOW), F.size("words"))).select("item_id", "width", F.posexplode(_windows(F.col("words"), F.col("width"))).alias("at", "window"))
     by_words = by_words.join(kinds, "item_id").select("item_id", F.lit(True).alias("exact"), "width", "at", "window", nothing.alias("form"), nothing.alias("tokens"), share)
-    windows = by_template.unionByName(by_words).persist()
+    windows = checkpointed(by_template.unionByName(by_words))
     sizes = windows.groupBy("item_id", "exact").agg(F.count("*").alias("of"))
     widths = sorted((r[0], r[1]) for r in windows.groupBy("width").agg(F.collect_set("exact")).collect())  # WINDOW values at most
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     windows = windows.join(sizes, ["item_id", "exact"]).withColumn("need", F.col("of") * F.col("share")).drop("share", "of")
 
-    tokens = docs.select(*_key(F.col("text")), words(F.col("text")).alias("words"))
-    forms = tokens.withColumn("runs", runs(F.col("words"), plain)).withColumn("forms", template(F.col("runs")))
+    forms = docs.select(*_key(F.col("text")), words(F.col("text")).alias("words")).withColumn("forms", template(runs(F.col("words"), plain)))
     hits = []
     for width, paths in widths:
         none = F.array().cast("array<bigint>")
         own = _windows(F.col("forms"), F.lit(width)) if False in paths else none
         exact = _windows(F.col("words"), F.lit(width)) if True in paths else none
         first = F.greatest(F.size("forms") - width + 1, F.lit(0)) if False in paths else F.lit(0)  # place of the first window of words
-        found = forms.select("_k1", "_k2", "runs", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))
-        found = found.select("_k1", "_k2", "runs", "window", (F.col("place") >= F.col("first")).alias("exact"), F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") - F.col("first")).alias("place"))
+        # only hashes are exploded: a row that had the text's words would make the work grow with the square of its length
+        found = forms.select("_k1", "_k2", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))
+        found = found.select("_k1", "_k2", "window", (F.col("place") >= F.col("first")).alias("exact"), F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") - F.col("first")).alias("place"))
         side = windows.where(F.col("width") == width)
-        hit = found.join(F.broadcast(side) if few else side, ["window", "exact"])
-        hits.append(hit.select("_k1", "_k2", "item_id", "exact", "at", "need", "form", "tokens", (F.col("place") - F.col("at")).alias("shift"), F.when(F.col("exact"), nothing).otherwise(F.slice("runs", F.col("place") + 1, F.lit(width))).alias("own")))
+        hits.append(found.join(F.broadcast(side) if few else side, ["window", "exact"]).select("_k1", "_k2", "item_id", "exact", "at", "need", "width", "form", "tokens", "place"))
     if not hits:
         return docs.sparkSession.createDataFrame([], "_k1 long, _k2 int, n_items long, item_ids string")
     hit = hits[0]
     for more in hits[1:]:
         hit = hit.unionByName(more)
+    # copies of a text meet here before the shuffle; read several times below, the documents twice
+    hit = checkpointed(hit.dropDuplicates(["_k1", "_k2", "item_id", "exact", "place", "at"]))
+    wanted = hit.where("not exact").select("_k1", "_k2").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else wanted
+    texts = docs.select(*_key(F.col("text")), "text").join(wanted, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    texts = texts.select("_k1", "_k2", runs(words(F.col("text")), plain).alias("runs"))
+    templates = hit.where("not exact").join(texts, ["_k1", "_k2"]).withColumn("own", F.slice("runs", F.col("place") + 1, F.col("width"))).drop("runs")
+    hit = templates.unionByName(hit.where("exact").withColumn("own", nothing)).withColumn("shift", F.col("place") - F.col("at"))
     slots = F.filter(F.arrays_zip("form", "tokens", "own"), lambda x: x["form"].isin(NUMBER, NAME, QUANTITY))
     pairs = F.transform(slots, lambda x: F.struct(x["form"].alias("kind"), x["tokens"].alias("item"), x["own"].alias("doc")))
-    # copies of a text meet here before the shuffle
     same = F.forall(pairs, lambda x: x["item"] == x["doc"])
-    hit = hit.select("_k1", "_k2", "item_id", "exact", "shift", "at", "need", pairs.alias("pairs"), same.alias("same")).dropDuplicates(["_k1", "_k2", "item_id", "exact", "shift", "at"])
-    hit = checkpointed(hit)  # read several times below; the documents once
+    hit = checkpointed(hit.select("_k1", "_k2", "item_id", "exact", "shift", "at", "need", pairs.alias("pairs"), same.alias("same")))
     # shifts of an item in a text, in order; a wider step begins an alignment
     by = Window.partitionBy("_k1", "_k2", "item_id", "exact").orderBy("shift")
     step = hit.select("_k1", "_k2", "item_id", "exact", "shift").distinct().withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(by) > NEAR, F.lit(True)).cast("int"))
