@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
 One table holds the filters of all languages: cell ``p`` is a bitmask of the languages that
-set bit ``p``. The AND of the cells that an n-gram hashes to names every language that has
-it. A text's hits per language, corrected for the language's false-positive rate, decide.
+set bit ``p`` (in several words beyond 63 languages). The AND of the cells that an n-gram
+hashes to names every language that has it. A text's hits per language, corrected for the
+language's false-positive rate, decide.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..tables import table
@@ -20,10 +22,12 @@ from .arrays import mix, slices
 #: Cells of the table (8 bytes each), hashes for each n-gram, characters of an n-gram.
 CELLS, HASHES, NGRAM = 1 << 20, 3, 4
 #: The model is fitted on this many documents of each language at most (the least hashes of their keys).
-SAMPLE = 2000
-#: An n-gram belongs to a language with at least this share of its uses per 1, languages weighing alike.
-SHARE = 0.2
-MAX_LANGUAGES = 63
+SAMPLE = 1000
+#: An n-gram is a language's from this many uses in its sample on.
+LEAST_USES = 2
+#: Languages in one word of the bitmask.
+WORD = 63
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +35,7 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Letters are lower-cased; every run of other characters is one space.
     """
-    runs = [" " + " ".join("".join(c if c.isalpha() else " " for c in t.decode("utf-8", "replace").lower()).split()) + " " for t in texts]
+    runs = [" " + " ".join(_LETTERS.findall(t.decode("utf-8", "replace").lower())) + " " for t in texts]
     letters = np.array([len(r) > 2 for r in runs], dtype=bool)
     size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
     code = np.frombuffer("".join(runs).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -61,46 +65,42 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(labelled: DataFrame, key: str = "doc_id") -> dict:
     """Filters learned from ``labelled`` (``key``, ``text``, ``lang``; null languages are left out).
 
-    The sample has up to :data:`SAMPLE` documents a language; an n-gram enters the filter of
-    each language that has at least :data:`SHARE` of its uses, each language's uses being
-    divided by its total. Raises for more than :data:`MAX_LANGUAGES` languages.
+    The sample has up to :data:`SAMPLE` documents a language, fewer than Spark's limit for
+    ranking within a group before the shuffle. An n-gram enters the filter of each language
+    that uses it :data:`LEAST_USES` times or more.
     """
     known = labelled.where(F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(key).cast("string")), key)
     picked = known.select(key, "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).drop("_n")
-    texts = known.join(F.broadcast(picked), [key, "lang"]).select("text", "lang")  # SAMPLE rows a language at most
-    uses = texts.mapInPandas(_count, "lang string, gram long, uses long").groupBy("gram", "lang").agg(F.sum("uses").alias("uses"))
-    totals = {r[0]: r[1] for r in uses.groupBy("lang").agg(F.sum("uses")).collect()}
-    names = sorted(totals)
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; {MAX_LANGUAGES} fit a bitmask")
-    table_ = np.zeros(CELLS, dtype=np.int64)
+    texts = known.join(F.broadcast(picked), [key, "lang"]).select("text", "lang")  # SAMPLE keys a language at most
+    names = [r[0] for r in picked.select("lang").distinct().orderBy("lang").collect()]
+    words = max(1, -(-len(names) // WORD))
+    table_ = np.zeros((words, CELLS), dtype=np.int64)
     if names:
-        rate = F.col("uses") / F.create_map(*(F.lit(x) for pair in totals.items() for x in pair))[F.col("lang")]
-        mask = F.sum(F.when(F.col("rate") >= SHARE * F.col("all"), F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)))[F.col("lang")])).alias("mask")
-        shares = uses.withColumn("rate", rate).withColumn("all", F.sum("rate").over(Window.partitionBy("gram")))
-        masks = shares.groupBy("gram").agg(mask).where("mask is not null")
-        cells = masks.mapInPandas(_positions, "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()  # a row a cell at most
-        table_[cells["cell"].to_numpy()] = cells["mask"].to_numpy()
-    full = [float(np.mean((table_ >> i) & 1)) for i in range(len(names))]
+        uses = texts.mapInPandas(_count, "lang string, gram long, uses long").groupBy("gram", "lang").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= LEAST_USES)
+        place = uses.withColumn("place", F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))[F.col("lang")])
+        bits = place.groupBy("gram", F.floor(F.col("place") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(place % {WORD} as int))")).alias("mask"))
+        cells = bits.mapInPandas(_positions, "word int, cell int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toPandas()  # a row a cell at most
+        table_[cells["word"].to_numpy(), cells["cell"].to_numpy()] = cells["mask"].to_numpy()
+    full = [float(np.mean((table_[i // WORD] >> (i % WORD)) & 1)) for i in range(len(names))]
     return {"languages": names, "cells": table_, "false_rate": [f**HASHES for f in full]}
 
 
 def _positions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         cells = _cells(frame["gram"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"cell": np.concatenate(cells).astype(np.int32), "mask": np.tile(frame["mask"].to_numpy(), HASHES)})
+        yield pd.DataFrame({"word": np.tile(frame["word"].to_numpy(), HASHES), "cell": np.concatenate(cells).astype(np.int32), "mask": np.tile(frame["mask"].to_numpy(), HASHES)})
 
 
 def _predict(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
     names, cells, false_rate = model.value["languages"], model.value["cells"], np.array(model.value["false_rate"])
     for frame, texts in slices(frames):
         grams, text, letters = _grams(texts)
-        mask = np.full(len(grams), -1, dtype=np.int64)
+        mask = np.full((len(cells), len(grams)), -1, dtype=np.int64)
         for at in _cells(grams):
-            mask &= cells[at]
+            mask &= cells[:, at]
         n = np.bincount(text, minlength=len(texts)).astype(float)
-        hits = np.array([np.bincount(text[(mask >> i & 1).astype(bool)], minlength=len(texts)) for i in range(len(names))]).reshape(len(names), len(texts))
+        hits = np.array([np.bincount(text[(mask[i // WORD] >> (i % WORD) & 1).astype(bool)], minlength=len(texts)) for i in range(len(names))]).reshape(len(names), len(texts))
         share = np.clip((hits / np.maximum(n, 1) - false_rate[:, None]) / np.maximum(1 - false_rate[:, None], 1e-9), 0, 1)
         if names:
             best = share.argmax(0)

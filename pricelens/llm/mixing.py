@@ -19,7 +19,7 @@ from ..tables import table
 ROUND = 1000
 #: Sources whose counts may come to the driver; more is an error, not a cut.
 MAX_SOURCES = 100_000
-#: Rows that one sort task ranks at most, about; larger sources are dealt into more buckets.
+#: Rows that one sort task ranks at most, about; larger sources are dealt into more buckets. As many buckets make a run, so that sums over buckets have two levels.
 BUCKET_ROWS = 1_000
 
 
@@ -84,7 +84,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | float = 0.5,
 
     buckets = max(1, -(-max(sizes.values(), default=0) // BUCKET_ROWS))
     keyed = keyed.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    offsets = keyed.groupBy("_s", "_b").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_s").orderBy("_b")) - F.col("count")).drop("count")
+    counts = keyed.groupBy("_s", "_b").count().withColumn("_run", F.floor(F.col("_b") / BUCKET_ROWS))
+    before = lambda *by: F.sum("count").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("count")
+    runs = counts.groupBy("_s", "_run").agg(F.sum("count").alias("count")).select("_s", "_run", before("_s", "_run").alias("_runs_before"))
+    offsets = counts.withColumn("_in_run", before("_s", "_run", "_b")).join(runs, ["_s", "_run"]).select("_s", "_b", (F.col("_runs_before") + F.col("_in_run")).alias("_before"))
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", hashed)))
     index = F.col("_before") + F.col("_rank") - 1
     spark = docs.sparkSession

@@ -19,6 +19,8 @@ from ..tables import table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: A task's trie is started anew beyond this many nodes, which bounds its memory.
 TRIE_NODES = 800_000
+#: Longer pre-tokens are scored in a window of the longest piece and leave no nodes.
+LONG = 1_000
 _PRETOKEN = re.compile(r"\n|▁*[^▁\n]+|▁+")
 
 
@@ -50,6 +52,8 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """The number of tokens of ``word``; scores only the prefixes that are new."""
+        if len(word) > LONG:
+            return self._rolled(word)
         if len(self.score) > self.limit:
             self.clear()
         path, node = [0], 0
@@ -64,6 +68,24 @@ class Trie:
         count = self.terminal[word] = self.tokens[node]
         return count
 
+    def _rolled(self, word: str) -> int:
+        """As :meth:`insert`, with the scores of the last few prefixes only."""
+        keep = max(self.longest.values(), default=1)
+        scores, tokens, piece = [0.0], [0], self.pieces.get
+        for end in range(1, len(word) + 1):
+            best, count = float("-inf"), 0
+            for back in range(min(end, max(1, self.longest.get(word[max(0, end - 2) : end], 1))), 0, -1):
+                score = piece(word[end - back : end])
+                if score is not None and (total := scores[-back] + score) > best:
+                    best, count = total, tokens[-back] + 1
+            if word[end - 1] not in self.pieces and (total := scores[-1] + self.unknown) > best:
+                best, count = total, tokens[-1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+            scores.append(best)
+            tokens.append(count)
+            if len(scores) > 64 * keep:
+                del scores[:-keep], tokens[:-keep]
+        return tokens[-1]
+
     def _forward(self, word: str, end: int, path: list[int]) -> None:
         """Scores the prefix of ``end`` characters; equal scores keep the longest last piece."""
         best, count = float("-inf"), 0

@@ -111,21 +111,22 @@ def _descend(rows: np.ndarray, column: np.ndarray, own: np.ndarray, idle: np.nda
     return v
 
 
-def fit(places: pd.DataFrame, docs: pd.DataFrame, features: np.ndarray) -> Model:
-    """The model of sampled documents (``doc``, ``toxic``, ``sentences``) with features at ``places`` (``doc``, ``sentence``, ``feature`` as a place in ``features``).
+def fit(sample: pd.DataFrame, features: np.ndarray) -> Model:
+    """The model of sampled documents as :func:`_places` packs them.
 
     Both classes weigh the same, so 0.5 is where a document is as likely under the one as under the other.
     """
-    toxic, number = docs["toxic"].to_numpy(dtype=bool), {d: i for i, d in enumerate(docs["doc"])}
+    toxic = sample["toxic"].to_numpy(dtype=bool)
     if toxic.all() or not toxic.any() or not len(features):
         return Model(features[:0], np.zeros(0), -20.0, -20.0)
-    doc = places["doc"].map(number).to_numpy(dtype=np.int64)
-    sentence = np.stack([doc, places["sentence"].to_numpy(dtype=np.int64)], axis=1)
-    known, rows = np.unique(sentence, axis=0, return_inverse=True) if len(sentence) else (sentence, np.zeros(0, np.int64))
-    rows, own, column = rows.reshape(-1), known[:, 0], places["feature"].to_numpy(dtype=np.int64)
-    idle = docs["sentences"].to_numpy(dtype=np.float64) - np.bincount(own, minlength=len(docs))
+    active = sample["active"].to_numpy(dtype=np.int64)
+    before = np.cumsum(active) - active
+    unpack = lambda c: [np.frombuffer(x, dtype=np.int32) for x in sample[c]]
+    rows = np.concatenate([x + n for x, n in zip(unpack("rows"), before.tolist(), strict=True)])
+    column, own = np.concatenate(unpack("columns")), np.repeat(np.arange(len(sample)), active)
+    idle = sample["sentences"].to_numpy(dtype=np.float64) - active
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-    apart = (docs["doc"].to_numpy().astype(np.uint64) >> np.uint64(3)) % np.uint64(4) == 0
+    apart = (sample["doc"].to_numpy().astype(np.uint64) >> np.uint64(3)) % np.uint64(4) == 0
     if len(PENALTIES) > 1 and (toxic & apart).any() and (toxic & ~apart).any() and (~toxic & apart).any():
         tried = []
         for penalty in PENALTIES:
@@ -162,17 +163,17 @@ def _matched(features: np.ndarray, feature: np.ndarray, sentence: np.ndarray) ->
 
 
 def _places(frames: Iterator[pd.DataFrame], features: np.ndarray) -> Iterator[pd.DataFrame]:
-    """The model's features in each sentence of sampled documents; a row with a null sentence gives a document's number of sentences."""
-    names = ["doc", "toxic", "sentence", "feature"]
+    """Sampled documents with their number of ``sentences``, how many of them are ``active`` (have a feature of the model), and the places of features in these, packed as numbers of 32 bits: ``rows`` and ``columns``."""
     for frame, texts in slices(frames):
         feature, sentence, text, _ = _instances(texts)
         column, row = _matched(features, feature, sentence)
-        own = text[row]
-        keep = np.arange(len(own)) - np.searchsorted(own, own) < PLACES
-        column, row, own = column[keep], row[keep], own[keep]
-        doc, toxic = frame["doc"].to_numpy(), frame["toxic"].to_numpy()
-        yield pd.DataFrame({"doc": doc, "toxic": toxic, "sentence": pd.array([None] * len(doc), dtype="Int64"), "feature": np.bincount(text, minlength=len(texts))})[names]
-        yield pd.DataFrame({"doc": doc[own], "toxic": toxic[own], "sentence": pd.array(row, dtype="Int64"), "feature": column})[names]
+        edge = np.searchsorted(text[row], np.arange(len(texts) + 1))
+        packed = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            b = min(b, a + PLACES)
+            found, own = np.unique(row[a:b], return_inverse=True)
+            packed.append((len(found), own.astype(np.int32).tobytes(), column[a:b].astype(np.int32).tobytes()))
+        yield pd.DataFrame(packed, columns=["active", "rows", "columns"]).assign(doc=frame["doc"].to_numpy(), toxic=frame["toxic"].to_numpy(), sentences=np.bincount(text, minlength=len(texts)))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     sample = sample.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
     sizes = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return fit(pd.DataFrame(), pd.DataFrame({"doc": [], "toxic": []}), np.zeros(0, np.uint64))
+        return fit(pd.DataFrame({"toxic": []}), np.zeros(0, np.uint64))
     counts = sample.mapInPandas(_occurrences, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q = F.col("toxic") / sizes[1], F.col("clean") / sizes[0]
     both = (F.col("toxic") + F.col("clean")) / (sizes[0] + sizes[1])
@@ -201,9 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     ratio = 2 * (part(F.col("toxic"), p, both) + part(F.col("clean"), q, both) + rest(F.lit(sizes[1]), p) + rest(F.lit(sizes[0]), q))
     telling = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
     features = np.sort(telling.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    found = sample.mapInPandas(partial(_places, features=features), "doc long, toxic int, sentence long, feature long").toPandas()  # PLACES + 1 rows for each of 2 * SAMPLE documents at most
-    own = found["sentence"].isna()
-    return fit(found[~own], found[own].rename(columns={"feature": "sentences"}).sort_values("doc").reset_index(drop=True), features)
+    packed = sample.mapInPandas(partial(_places, features=features), "doc long, toxic int, sentences long, active int, rows binary, columns binary")
+    return fit(packed.toPandas().sort_values("doc").reset_index(drop=True), features)  # 8 * PLACES bytes for each of 2 * SAMPLE documents at most
 
 
 def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[pd.DataFrame]:
