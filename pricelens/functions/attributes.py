@@ -118,3 +118,8 @@ def pack_size(name: Column, description: Column | None = None, url: Column | Non
 def unit_price(price: Column, pieces: Column) -> Column:
     """Price of a piece, to the cent; without a positive price or more than one piece the price itself."""
     return F.when((price > 0) & (pieces > 1), F.floor(price / pieces * 100 + 0.5) / 100).otherwise(price)
+
+
+def equivalent_price(price: Column, pack: Column, reference: Column) -> Column:
+    """What as much as the reference's pack would cost, to two places; the price as it is where a pack isn't known."""
+    return F.when((pack > 0) & (reference > 0), F.floor(price / pack * reference * 100 + 0.5) / 100).otherwise(price)

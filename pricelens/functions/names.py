@@ -106,6 +106,11 @@ def paren_code(name: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(F.get(F.reverse(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1))), F.lit(0))), r"\s+", " ")), F.lit(""))
 
 
+def looks_like_code(text: Column) -> Column:
+    """Short, with a digit, and neither a measure nor a word for a pack or a grade."""
+    return (F.coalesce(text, F.lit("")) != "") & (F.length(text) <= 24) & text.rlike(r"\d") & ~text.rlike(V.NO_CODE)
+
+
 def merchant_key(text: Column) -> Column:
     """A merchant's name or host without protocol, path, top-level domain and punctuation."""
     host = F.split(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "^https?://", ""), "/")[0]

@@ -37,6 +37,28 @@ def name_from_slug(url: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(slug(url), "[-_]+", " "), r"\s+", " "))
 
 
+def image_url(raw: Column, media: str, prefix: str, old: tuple[str, ...] = ()) -> Column:
+    """A picture's address at the ``media`` host: hosts in ``old`` are replaced by it, its paths and bare ones get the ``prefix`` unless they have it; addresses at other hosts stay, empty ones stay empty."""
+    full = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), "^//", "https://")
+    moved = F.regexp_replace(full, "(?i)^https?://(" + "|".join(re.escape(h) for h in old) + ")(?=/|$)", media) if old else full
+    path = F.regexp_replace(F.when(F.startswith(moved, F.lit(media)), F.substring(moved, F.lit(len(media) + 1), F.length(moved))).otherwise(moved), "^/+", "")
+    placed = F.concat(F.lit(media + "/"), F.when(F.startswith(path, F.lit(prefix)), path).otherwise(F.concat(F.lit(prefix + "/"), path)))
+    foreign = moved.rlike("(?i)^https?://") & ~F.startswith(moved, F.lit(media))
+    return F.when(full == "", "").when(foreign, moved).otherwise(placed)
+
+
+def is_missing_page(html: Column) -> Column:
+    """A page that is served but says there is no product."""
+    return F.coalesce(html.rlike(r"(?i)<title>\s*Product Not Found\s*</title>"), F.lit(False))
+
+
+def sibling_urls(url: Column) -> Column:
+    """The address, and for one that ends in .htm or .html those where a moved product may be, in order."""
+    stem, tail = F.regexp_extract(url, r"(?is)^(.*?)(\.html?)(\?.*)?$", 1), F.regexp_extract(url, r"(?is)^(.*?)(\.html?)(\?.*)?$", 2)
+    rest = F.regexp_extract(url, r"(?is)^(.*?)(\.html?)(\?.*)?$", 3)
+    return F.when(tail != "", F.array(url, *(F.concat(stem, F.lit(s), tail, rest) for s in ("-1", "-2", "-3")))).otherwise(F.array(url))
+
+
 def sitemap_urls(xml: Column) -> Column:
     """Product pages of a sitemap, in order, once each."""
     found = F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))

@@ -1 +1,3 @@
+"""Queries over the given tables."""
 
+from . import queries, record_queries  # noqa: F401  the second adds to the first's table
