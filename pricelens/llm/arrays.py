@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _R = 0x9E3779B97F4A7C15
 _G = np.random.Generator(np.random.PCG64(20240601)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,15 +53,16 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     """Pieces of the frames with about ``limit`` bytes of text at most (one longer text alone), and their UTF-8 bytes; null counts as empty."""
     for frame in frames:
-        texts = [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in frame[column]]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield frame.iloc[begin:i], texts[begin:i]
-                begin, size = i, 0
-            size += len(t) + 1
-        if begin < len(texts):
-            yield frame.iloc[begin:], texts[begin:]
+        begin, texts, size = 0, [], 0
+        for i, t in enumerate(frame[column]):
+            own = b"" if t is None or t != t else t.encode("utf-8", "surrogatepass")
+            if texts and size + len(own) > limit:
+                yield frame.iloc[begin:i], texts
+                begin, texts, size = i, [], 0
+            texts.append(own)
+            size += len(own) + 1
+        if texts:
+            yield frame.iloc[begin:], texts
 
 
 def joined(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -72,10 +72,28 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(F.substring(t, 1, 1).between("0", "9"), F.when(F.contains(t, F.lit(" ")), QUANTITY).otherwise(NUMBER)).when(_capital(t), NAME).otherwise(t))
 
 
-def _windows(form: Column, width: Column) -> Column:
-    """Hashes of all windows of ``width`` words, in order."""
-    n = F.size(form) - width + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(form, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def _windows(form: Column, width: Column | int) -> Column:
+    """Hashes of all windows of ``width`` words, in order.
+
+    Each word is hashed once. Windows of WINDOW words are put together by doubling: pairs of
+    hashes, then pairs of pairs; those of short items word by word.
+    """
+    hashes = F.transform(form, lambda t: F.xxhash64(t))
+    none = F.array().cast("array<bigint>")
+    width = F.lit(width) if isinstance(width, int) else width
+
+    def doubled(one: Column, size: int = 1) -> Column:
+        if size == WINDOW:
+            return F.slice(one, F.lit(1), F.size(one) - WINDOW + 1)  # the last ones have no whole window
+        return let(F.zip_with(one, F.slice(one, F.lit(size + 1), F.size(one)), lambda x, y: F.xxhash64(x, y)), lambda two: doubled(two, size * 2))
+
+    short = lambda one: F.transform(F.sequence(F.lit(1), F.size(one) - width + 1), lambda i: F.xxhash64(F.slice(one, i, width)))
+    return let(hashes, lambda one: F.when(F.size(one) < width, none).when(width == WINDOW, doubled(one)).otherwise(short(one)))
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _key(text: Column) -> tuple[Column, Column]:
@@ -102,8 +120,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items of equal text are one, under the least id. Items of fewer words than a window are
     matched whole. Templates are compared in windows with :data:`LITERALS` words besides
     placeholders (for short items, half of the words), and for items without any in windows
-    with :data:`WEAK_LITERALS`, of which :data:`WEAK_COVER` must agree. Besides, the windows of
-    all items are compared word for word, so an item of mere placeholders is found verbatim.
+    with :data:`WEAK_LITERALS`, of which :data:`WEAK_COVER` must agree. These items' windows are
+    also compared word for word, so an item of mere placeholders is found verbatim.
     An item without words or with a null text matches nothing.
     """
     plain = starters(benchmark)
@@ -117,7 +135,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     share = F.when(F.col("any"), COVER).otherwise(WEAK_COVER).alias("share")
     by_template = windows.join(kinds, "item_id").where(F.when(F.col("any"), F.col("strong")).otherwise(F.col("literals") >= WEAK_LITERALS)).select("item_id", F.lit(False).alias("exact"), "width", "at", "window", "form", "tokens", share)
     nothing = F.array().cast("array<string>")
-    by_words = items.withColumn("width", F.least(F.lit(WINDOW), F.size("words"))).select("item_id", "width", F.posexplode(_windows(F.col("words"), F.col("width"))).alias("at", "window"))
+    by_words = items.join(kinds.where("not any"), "item_id", "left_semi").withColumn("width", F.least(F.lit(WINDOW), F.size("words"))).select("item_id", "width", F.posexplode(_windows(F.col("words"), F.col("width"))).alias("at", "window"))
     by_words = by_words.join(kinds, "item_id").select("item_id", F.lit(True).alias("exact"), "width", "at", "window", nothing.alias("form"), nothing.alias("tokens"), share)
     windows = checkpointed(by_template.unionByName(by_words))
     sizes = windows.groupBy("item_id", "exact").agg(F.count("*").alias("of"))
@@ -129,8 +147,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = []
     for width, paths in widths:
         none = F.array().cast("array<bigint>")
-        own = _windows(F.col("forms"), F.lit(width)) if False in paths else none
-        exact = _windows(F.col("words"), F.lit(width)) if True in paths else none
+        own = _windows(F.col("forms"), width) if False in paths else none
+        exact = _windows(F.col("words"), width) if True in paths else none
         first = F.greatest(F.size("forms") - width + 1, F.lit(0)) if False in paths else F.lit(0)  # place of the first window of words
         # only hashes are exploded: a row that had the text's words would make the work grow with the square of its length
         found = forms.select("_k1", "_k2", first.alias("first"), F.posexplode(F.concat(own, exact)).alias("place", "window"))

@@ -32,7 +32,7 @@ MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 END = 45
 #: Anchors with more places than this are dealt by whole windows.
 HOT = 50_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Longer texts are cut into overlapping pieces for the search of anchors.
 PIECE = 4 << 20
 
@@ -122,8 +122,8 @@ def _opened(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list
     import zstandard
 
     for frame in frames:
-        for begin in range(0, len(frame), 500):
-            piece = frame.iloc[begin : begin + 500]
+        for begin in range(0, len(frame), 200):
+            piece = frame.iloc[begin : begin + 200]
             open_ = zstandard.ZstdDecompressor().decompress
             yield piece, [open_(x) for x in piece["data"]]
 
@@ -200,8 +200,8 @@ def _cover_ranks(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     middle = LENGTH - END
     sample = np.flatnonzero(_IN_COVER[np.arange(len(data)) % MODULUS] & wanted)
     sample = sample[sample + MODULUS <= len(data)]
-    place = np.full(len(data) + middle, len(sample), dtype=np.int64)
-    place[sample] = np.arange(len(sample))
+    place = np.full(len(data) + middle, len(sample), dtype=np.int32)
+    place[sample] = np.arange(len(sample), dtype=np.int32)
     short = _ranks([_word(data, sample + k) for k in (0, 8, 16, MODULUS - 8)])
     far = lambda rank, k: np.append(rank, -1)[place[sample + k]]  # noqa: E731  the sample holds every MODULUS-th position after its own
     rank, size = short, MODULUS
@@ -209,7 +209,7 @@ def _cover_ranks(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         rank, size = _ranks([rank, far(rank, size)]), size * 2
     if size < middle:
         rank = _ranks([rank, far(short, size)])
-    out = np.full(len(data) + MODULUS, -1, dtype=np.int64)
+    out = np.full(len(data) + MODULUS, -1, dtype=np.int32)
     out[sample] = rank
     return out
 
