@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import attributes as A, names as N, pages as P, specs as C
-from ..operators import discovery, merchants, registry, runs
+from ..functions import attributes as A, gates as G, names as N, pages as P, specs as C
+from ..operators import discovery, merchants, pairs, registry, runs
 from ..tables import table
 from .queries import LISTINGS, _POSITIONS, _anchors, listings, pricing_buckets, query
 
@@ -177,3 +177,55 @@ def refreshed_prices(spark, sf):
     last = registry.latest(lines.select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
     pages = last.select(key, F.when(F.col("l_extendedprice") > 20000, F.col("l_extendedprice")).otherwise(0.0).alias("price"))
     return discovery.refreshed(links, pages)[0].select("l_partkey", "l_suppkey", "now")
+
+
+_GATED = "g AS (SELECT l_orderkey, l_linenumber, (['curette', 'pliers', 'mirror', 'liquid', 'powder', 'kit'])[l_suppkey % 6 + 1] AS st, (['plier', 'files', 'gel', 'liquid', 'tips', 'widget'])[p_size % 6 + 1] AS ft, (l_suppkey % 9 + 120) AS sn, (p_size % 9 + 120) AS fn, split_part(p_name, ' ', 1) AS word FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _gated(spark, sf) -> DataFrame:
+    """Order lines as pairs of names whose types and numbers come from the seller and the part."""
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (F.col(at) % len(values) + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kinds = {"st": of(("curette", "pliers", "mirror", "liquid", "powder", "kit"), "l_suppkey"), "ft": of(("plier", "files", "gel", "liquid", "tips", "widget"), "p_size"), "sn": (F.col("l_suppkey") % 9 + 120).cast("string"), "fn": (F.col("p_size") % 9 + 120).cast("string")}
+    return rows.withColumns(kinds).select("l_orderkey", "l_linenumber", *(F.concat_ws(" ", F.lit("Acme"), F.split("p_name", " ")[0], f"{s}t", F.lit("no"), f"{s}n").alias(s) for s in ("s", "f")))
+
+
+@query(f"WITH {_GATED} SELECT l_orderkey, l_linenumber, (st IN ('curette', 'pliers', 'mirror') AND ft IN ('plier', 'files') AND rtrim(st, 's') <> rtrim(ft, 's')) OR (st IN ('liquid', 'powder') AND ft IN ('gel', 'liquid') AND st <> ft) OR (st = 'kit' AND ft = 'tips') AS clash FROM g")
+def gate_types(spark, sf):
+    """Pairs whose product types exclude each other, plurals being the same type."""
+    rows = _gated(spark, sf)
+    return rows.select("l_orderkey", "l_linenumber", G.types_clash(N.words(F.col("s")), N.words(F.col("f"))).alias("clash"))
+
+
+@query(f"WITH {_GATED} SELECT l_orderkey, l_linenumber, CASE WHEN sn <> fn THEN sn || ' vs ' || fn END AS clash FROM g")
+def gate_numbers(spark, sf):
+    """Pairs whose numbers have nothing in common."""
+    return _gated(spark, sf).select("l_orderkey", "l_linenumber", G.number_clash(F.col("s"), F.col("f")).alias("clash"))
+
+
+@query("WITH p AS (SELECT DISTINCT l_suppkey, p_partkey, p_retailprice AS score, p_size % 3 > 0 AS fit, split_part(p_name, ' ', 2) = 'widget' AS shared FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_partkey) AS rank FROM p WHERE fit QUALIFY rank <= 5), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_partkey) AS rank FROM (SELECT * FROM p ANTI JOIN b USING (l_suppkey, p_partkey)) WHERE shared QUALIFY rank <= 2) SELECT l_suppkey, p_partkey, rank, false AS rescued FROM b UNION ALL SELECT l_suppkey, p_partkey, rank, true FROM r")
+def rescue_union(spark, sf):
+    """The five best parts of each supplier that fit, and of the others two that share a specific word."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    offered = rows.select("l_suppkey", "p_partkey", F.col("p_retailprice").alias("score"), F.when(F.col("p_size") % 3 > 0, "possible").otherwise("rejected").alias("verdict"), F.lit("Acme widget").alias("s_name"), F.col("p_name").alias("c_name")).distinct()
+    best = pairs.top_with_rescue(offered, ["l_suppkey"], [F.desc("score"), F.col("p_partkey")], "p_partkey")
+    return best.select("l_suppkey", "p_partkey", F.col("rank").cast("long").alias("rank"), "rescued")
+
+
+@query(r"WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS want, p_retailprice AS listed, list_filter([(p_retailprice, 'alpha', 0), (l_extendedprice, 'beta', 1), (p_size * 10.0, 'Default Title', 2), (p_size - 25.0, 'gamma', 3)], lambda v: v[1] > 0 AND v[2] <> 'Default Title') AS v, (['beta', 'gamma', 'none'])[l_suppkey % 3 + 1] AS said FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN 'Acme ' || said ELSE 'Acme item' END AS name, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN list_filter(v, lambda x: x[2] = said)[1][1] ELSE listed END AS price FROM c")
+def variant_select(spark, sf):
+    """Order lines as listings with several children, one of which the search may name."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    none = C.parse_spec(F.lit(""))
+    child = lambda price, name: F.struct(F.lit(name).alias("name"), price.cast("double").alias("price"), none.alias("spec"))
+    children = F.array(child(F.col("p_retailprice"), "Acme alpha"), child(F.col("l_extendedprice"), "Acme beta"), child(F.col("p_size") * 10, "Default Title"), child(F.col("p_size") - 25, "Acme gamma"))
+    said = F.element_at(F.array(*map(F.lit, ("beta", "gamma", "none"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    listed = rows.select(F.struct("l_orderkey", "l_linenumber").alias("s_id"), F.lit(0).alias("c_id"), F.concat(F.lit("Acme item "), said).alias("s_name"), F.col("l_extendedprice").alias("s_price"), F.lit("Acme item").alias("c_name"), F.col("p_retailprice").alias("c_price"), children.alias("variants"), none.alias("s_spec"), none.alias("c_spec"))
+    return pairs.select_variant(listed).select("s_id.*", F.col("c_name").alias("name"), F.col("c_price").alias("price"))
+
+
+@query()
+def watchlist_fill(spark, sf):
+    """The suppliers of one nation, filled up to fifty by a stable random order."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return registry.filled_to(s.where("s_nationkey = 1").select("s_suppkey"), s.select("s_suppkey"), "s_suppkey", 50)

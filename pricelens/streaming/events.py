@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..tables import checkpointed  # noqa: F401  (sets the shared folder up in local sessions)
+from ..tables import shared_folder
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -16,15 +15,10 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives by the end of the present input, read back as a table from the shared folder."""
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
     else:
