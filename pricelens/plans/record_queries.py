@@ -95,10 +95,10 @@ def confirmed_memory(spark, sf):
     return merchants.remembered(table(spark, sf, "orders").select("o_orderkey"), memory, ["o_orderkey"])
 
 
-@query("SELECT l_partkey, l_suppkey, position FROM (SELECT *, l_orderkey * 10 + l_linenumber AS position FROM lineitem WHERE l_returnflag <> 'R') QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag = 'A' DESC, l_quantity DESC, position) = 1")
+@query("SELECT l_partkey, l_suppkey, position FROM (SELECT *, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS position FROM lineitem WHERE l_returnflag <> 'R') QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag = 'A' DESC, l_quantity DESC, position) = 1")
 def best_verified(spark, sf):
     lines = table(spark, sf, "lineitem").where("l_returnflag <> 'R'")
-    rows = lines.select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.when(F.col("l_returnflag") == "A", "confirmed").otherwise("possible").alias("verdict"), F.col("l_quantity").alias("score"))
+    rows = lines.select("l_partkey", "l_suppkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")).alias("position"), F.when(F.col("l_returnflag") == "A", "confirmed").otherwise("possible").alias("verdict"), F.col("l_quantity").alias("score"))
     return merchants.best_verified(rows, ["l_partkey"]).select("l_partkey", "l_suppkey", "position")
 
 
@@ -212,7 +212,7 @@ def rescue_union(spark, sf):
     return best.select("l_suppkey", "p_partkey", F.col("rank").cast("long").alias("rank"), "rescued")
 
 
-@query(r"WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS want, p_retailprice AS listed, list_filter([(p_retailprice, 'alpha', 0), (l_extendedprice, 'beta', 1), (p_size * 10.0, 'Default Title', 2), (p_size - 25.0, 'gamma', 3)], lambda v: v[1] > 0 AND v[2] <> 'Default Title') AS v, (['beta', 'gamma', 'none'])[l_suppkey % 3 + 1] AS said FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN 'Acme ' || said ELSE 'Acme item' END AS name, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN list_filter(v, lambda x: x[2] = said)[1][1] ELSE listed END AS price FROM c")
+@query(r"WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, p_retailprice AS listed, list_filter([(p_retailprice, 'alpha', 0), (l_extendedprice, 'beta', 1), (p_size * 10.0, 'Default Title', 2), (p_size - 25.0, 'gamma', 3)], lambda v: v[1] > 0 AND v[2] <> 'Default Title') AS v, (['beta', 'gamma', 'none'])[l_suppkey % 3 + 1] AS said FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN 'Acme ' || said ELSE 'Acme item' END AS name, CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda x: x[2] = said)) > 0 THEN list_filter(v, lambda x: x[2] = said)[1][1] ELSE listed END AS price FROM c")
 def variant_select(spark, sf):
     """Order lines as listings with several children, one of which the search may name."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -220,7 +220,7 @@ def variant_select(spark, sf):
     child = lambda price, name: F.struct(F.lit(name).alias("name"), price.cast("double").alias("price"), none.alias("spec"))
     children = F.array(child(F.col("p_retailprice"), "Acme alpha"), child(F.col("l_extendedprice"), "Acme beta"), child(F.col("p_size") * 10, "Default Title"), child(F.col("p_size") - 25, "Acme gamma"))
     said = F.element_at(F.array(*map(F.lit, ("beta", "gamma", "none"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
-    listed = rows.select(F.struct("l_orderkey", "l_linenumber").alias("s_id"), F.lit(0).alias("c_id"), F.concat(F.lit("Acme item "), said).alias("s_name"), F.col("l_extendedprice").alias("s_price"), F.lit("Acme item").alias("c_name"), F.col("p_retailprice").alias("c_price"), children.alias("variants"), none.alias("s_spec"), none.alias("c_spec"))
+    listed = rows.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("s_id"), F.lit(0).alias("c_id"), F.concat(F.lit("Acme item "), said).alias("s_name"), F.col("l_extendedprice").alias("s_price"), F.lit("Acme item").alias("c_name"), F.col("p_retailprice").alias("c_price"), children.alias("variants"), none.alias("s_spec"), none.alias("c_spec"))
     return pairs.select_variant(listed).select("s_id.*", F.col("c_name").alias("name"), F.col("c_price").alias("price"))
 
 
