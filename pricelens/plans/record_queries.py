@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import attributes as A, gates as G, names as N, pages as P, specs as C
 from ..operators import discovery, merchants, pairs, registry, runs
+from ..streaming import events as E
 from ..tables import table
 from .queries import LISTINGS, _POSITIONS, _anchors, listings, pricing_buckets, query
 
@@ -229,3 +230,29 @@ def watchlist_fill(spark, sf):
     """The suppliers of one nation, filled up to fifty by a stable random order."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     return registry.filled_to(s.where("s_nationkey = 1").select("s_suppkey"), s.select("s_suppkey"), "s_suppkey", 50)
+
+
+@query("SELECT event_id, CASE WHEN m > p AND p > 0 THEN floor((m - p) / m * 100 + 0.5)::INTEGER ELSE 0 END AS discount FROM (SELECT event_id, value AS p, (user_id % 100)::DOUBLE AS m FROM events)")
+def discounts(spark, sf):
+    """Events as offers: what their value is below a list price."""
+    return table(spark, sf, "events").select("event_id", P.discount(F.col("value"), (F.col("user_id") % 100).cast("double")).alias("discount"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '/+$', ''), ''), 'page ' || page_id) AS key FROM pages")
+def candidate_keys(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.candidate_key(F.col("url"), F.concat(F.lit("Page "), F.col("page_id").cast("string"))).alias("key"))
+
+
+@query("WITH w AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - x * INTERVAL 6 HOUR AS start FROM events, range(0, 4) r(x)) SELECT start::TIMESTAMP AS start, user_id, count(*) AS n FROM w GROUP BY ALL")
+def stream_sliding(spark, sf):
+    """Complete mode: every window of a day that there is."""
+    return E.finished(E.sliding_counts(E.source(spark, f"{sf}/events.parquet")), "complete")
+
+
+@query("SELECT event_id, floor((value / q - 50.0 / r) * 100 + 0.5) / 100 AS difference FROM (SELECT event_id, value, user_id % 7 + 2 AS q, user_id % 5 + 2 AS r FROM events WHERE value > 0) WHERE q <> r")
+def unit_differences(spark, sf):
+    """Events as offers of packs: the difference of what a piece costs, where the packs differ."""
+    e = table(spark, sf, "events").where("value > 0").withColumns({"q": F.col("user_id") % 7 + 2, "r": F.col("user_id") % 5 + 2})
+    spec = lambda n: C.parse_spec(F.concat(F.col(n).cast("string"), F.lit(" capsules")))
+    none = F.lit(None).cast("double")
+    return e.where("q <> r").select("event_id", C.unit_difference(spec("q"), spec("r"), F.col("value"), F.lit(50.0), none, none).alias("difference"))

@@ -105,3 +105,24 @@ def test_nearest_is_exact_in_blocks(spark, monkeypatch):
             assert [(n, s) for _, n, s in sorted(got[q])] == [(i, -s) for s, i in want]
     assert set(got) == {i for i, _ in known if i % 5 == 0}
     assert vectors.nearest(frame.limit(0), frame, 3).count() == 0 and vectors.nearest(frame.where("vec_id = 0"), frame.limit(0), 3).count() == 0
+
+
+def test_names_of_groups_and_codes_in_parentheses(spark):
+    one = lambda make, x: spark.createDataFrame([(x,)], "x string").select(make(F.col("x")).alias("v")).first()["v"]
+    assert [one(N.base_name, x) for x in ("Acme Bur Set of 12", "Acme Strip 10mm Small", "Acme Root-Pin Premium with Ratchet", "Acme Tip AX12")] == ["Acme Bur", "Acme Strip", "Acme RootPin", "Acme Tip"]
+    assert [one(N.paren_code, x) for x in ("Probe (A) (KGF  9)", "Probe", "Probe ( )", None)] == ["kgf 9", None, None, None]
+
+
+def test_files_of_items_and_samples(spark, tmp_path):
+    from pricelens.sources import files
+
+    rows = [(1, "a", "A"), (1, "a", "A"), (0, "b", "B"), (1, "", "C"), (1, "d", None), (1, "e", "E"), (1, "f", "F")]
+    frame = spark.createDataFrame(rows, "status int, sku string, name string")
+    picked = [r.sku for r in files.sample_products(frame, 2, 7).collect()]
+    assert len(picked) == 2 and set(picked) < {"a", "e", "f"} and picked == [r.sku for r in files.sample_products(frame, 2, 7).collect()]
+    assert len(files.sample_products(frame, 9, 7).collect()) == 3
+    old = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "run_id int, idx int, note string")
+    new = spark.createDataFrame([(1, 1, "z"), (2, 0, "w"), (None, 0, "v")], old.schema)
+    assert sorted(tuple(r) for r in files.save_items(old, new).collect()) == [(1, 0, "x"), (1, 1, "z"), (2, 0, "w")]
+    files.write_results(old, f"{tmp_path}/out")
+    assert sorted(r.note for r in spark.read.json(f"{tmp_path}/out").collect()) == ["x", "y"]
