@@ -154,12 +154,10 @@ def _contexts(frames: Iterator[pd.DataFrame], with_data: bool) -> Iterator[pd.Da
         yield pd.DataFrame(rows, columns=names)
 
 
-def _dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts with the bucket they belong to: their anchor, or for very frequent anchors a row and a bucket for each window."""
+def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts of very frequent anchors, a row and a bucket for each window."""
     for frame in frames:
-        hot = frame["hot"].to_numpy(dtype=bool)
-        yield frame[~hot].assign(bucket=frame["key"][~hot], at=0).drop(columns="hot")
-        for row in frame[hot].to_dict("records"):
+        for row in frame.to_dict("records"):
             at = np.arange(row["n"])
             bucket = spans(running(np.frombuffer(row["data"], dtype=np.uint8)), at, at + LENGTH).view(np.int64)
             yield pd.DataFrame({"key": row["key"], "h1": row["h1"], "h2": row["h2"], "n": 1, "data": [row["data"][i : i + LENGTH] for i in at.tolist()], "places": row["places"], "bucket": bucket, "at": at})
@@ -303,7 +301,7 @@ def _cut(frames: Iterator[pd.DataFrame], want_text: bool) -> Iterator[pd.DataFra
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What repeats in the texts of ``docs`` (``text``, and ``t`` and ``u``, two hashes of it), and the texts by both.
+    """What repeats in the texts of ``docs`` (``text``, and ``t`` and ``u``, two hashes of it), and the texts where it may, by both.
 
     A row (``t``, ``u``, ``firsts``, ``spans``) says that at each of some places of a text the
     spans (``first``, ``n``) are under a repeated window of LENGTH bytes. A text counts once
@@ -315,16 +313,22 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = checkpointed(keys.select("key", (F.col("places") > HOT).alias("hot")))
     # copies of a text meet here; the set holds one text's own runs
     by_text = checkpointed(anchors.join(keys, "key").groupBy("t").agg(F.collect_set(F.struct("key", "first", "n", "hot")).alias("runs")))
-    texts = docs.mapInPandas(_distinct, "t long, u long, data binary").dropDuplicates(["t", "u"])
+    # texts are moved once, by their hash; only those with such anchors are kept, for all later steps
+    texts = docs.mapInPandas(_distinct, "t long, u long, data binary").repartition("t").dropDuplicates(["t", "u"])
+    own, id_ = checkpointed(texts.join(by_text, "t")), ["key", "h1", "h2"]
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own, id_ = texts.join(by_text, "t"), ["key", "h1", "h2"]
     contexts = own.mapInPandas(partial(_contexts, with_data=True), "key long, h1 long, h2 long, hot boolean, n long, data binary, places long")
-    contexts = contexts.groupBy(*id_).agg(F.first("hot").alias("hot"), F.first("n").alias("n"), F.first("data").alias("data"), F.sum("places").alias("places"))
-    dealt = contexts.mapInPandas(_dealt, "key long, h1 long, h2 long, n long, data binary, places long, bucket long, at long")
-    found = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_blocks, "key long, h1 long, h2 long, first long, n long")
+    once = [F.first("n").alias("n"), F.first("data").alias("data"), F.sum("places").alias("places")]
+    # one shuffle deals the contexts by anchor and brings equal ones together
+    cold = contexts.where("not hot").repartition(parts, "key").groupBy(*id_).agg(*once).withColumns({"bucket": F.col("key"), "at": F.lit(0).cast("long")}).sortWithinPartitions("bucket")
+    schema = "key long, h1 long, h2 long, first long, n long"
+    found = cold.mapInPandas(_blocks, schema)
+    if keys.where("hot").limit(1).count():
+        hot = contexts.where("hot").groupBy(*id_).agg(*once).mapInPandas(_windows, "key long, h1 long, h2 long, n long, data binary, places long, bucket long, at long")
+        found = found.unionByName(hot.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_blocks, schema))
     found = found.groupBy(*id_).agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # one context's own
     places = own.mapInPandas(partial(_contexts, with_data=False), "key long, h1 long, h2 long, hot boolean, n long, t long, u long, firsts array<long>")
-    return places.select(*id_, "t", "u", "firsts").join(found, id_).select("t", "u", "firsts", "spans"), texts
+    return places.select(*id_, "t", "u", "firsts").join(found, id_).select("t", "u", "firsts", "spans"), own.drop("runs")
 
 
 def remove_repeats(docs: DataFrame, want_text: bool = True) -> DataFrame:
