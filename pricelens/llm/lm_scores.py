@@ -73,20 +73,23 @@ def _rows(block: int, gram: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"gram": distinct.view(np.int64), "block": np.int64(block), "uses": uses.astype(np.int32)})
 
 
-def _elsewhere(gram: np.ndarray, text: np.ndarray, at: np.ndarray, given: pd.DataFrame) -> np.ndarray:
-    """How often other documents use the n-gram at each place; ``at`` says where there is one, ``given`` has the totals of those used outside the block."""
+def _elsewhere(gram: np.ndarray, text: np.ndarray, whole: np.ndarray, given: pd.DataFrame) -> np.ndarray:
+    """How often other documents use the n-gram at each place that has one; ``given`` has the totals of those used outside the block.
+
+    What was not exploded is used by one document only, so its uses here are its own.
+    """
     out = np.zeros(len(gram), dtype=np.int64)
-    distinct, place, uses = np.unique(gram[at], return_inverse=True, return_counts=True)
+    distinct, place, uses = np.unique(gram[whole], return_inverse=True, return_counts=True)
     if not len(distinct):
         return out
     known = given["gram"].to_numpy(dtype=np.int64).view(np.uint64)
     uses[np.searchsorted(distinct, known)] = given["total"].to_numpy(dtype=np.int64)
     many = uses[place] > 1  # what is used once in all is its own document's
-    pair = text[at][many] * np.int64(len(distinct)) + place[many]
+    pair = text[whole][many] * np.int64(len(distinct)) + place[many]
     _, same, own = np.unique(pair, return_inverse=True, return_counts=True)
     rest = np.zeros(len(place), dtype=np.int64)
     rest[many] = uses[place[many]] - own[same]
-    out[at] = rest
+    out[whole] = rest
     return out
 
 
@@ -96,33 +99,21 @@ def _first(block: pd.DataFrame) -> pd.DataFrame:
     return _rows(block["block"].iloc[0], next(_grams(words, text, 1))[0])
 
 
-def _both(found: np.ndarray) -> np.ndarray:
-    """Where this and the place before are found: both parts of an n-gram."""
-    return found & np.concatenate([[False], found[:-1]])[: len(found)]
-
-
-def _levels(words: np.ndarray, text: np.ndarray, counts: pd.DataFrame, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length how often other documents use the n-gram that ends at each word, and where there is one."""
-    at = np.ones(len(words), dtype=bool)
-    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
-        rest = _elsewhere(gram, text, at & whole, counts[counts["n"] == n])
-        yield rest, whole
-        at = _both(rest > 0)
-
-
 def _next(block: pd.DataFrame, counts: pd.DataFrame, n: int) -> pd.DataFrame:
-    """A block's n-grams of which both parts are used in other documents, with their uses."""
+    """A block's n-grams of which both parts are used in other documents, with their uses; ``counts`` are those of the parts."""
     words, text = _words(_open(block))
-    *_, (rest, _) = _levels(words, text, counts, n - 1)
-    *_, (gram, whole) = _grams(words, text, n)
-    return _rows(block["block"].iloc[0] if len(block) else 0, gram[whole & _both(rest > 0)])
+    *_, (part, before), (gram, whole) = _grams(words, text, n)
+    found = _elsewhere(part, text, before, counts) > 0
+    both = found & np.concatenate([[False], found[:-1]])[: len(found)]
+    return _rows(block["block"].iloc[0] if len(block) else 0, gram[whole & both])
 
 
 def _sum(block: pd.DataFrame, counts: pd.DataFrame, order: int, total: int, columns: list[str]) -> pd.DataFrame:
     words, text = _words(_open(block))
     sizes = np.bincount(text, minlength=len(block))
     score, shorter, backed = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool)
-    for n, (rest, whole) in enumerate(_levels(words, text, counts, order), 1):
+    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
+        rest = _elsewhere(gram, text, whole, counts[counts["n"] == n])
         if n == 1:
             score = np.log10(np.maximum(rest, 1) / np.maximum(total - sizes, 1)[text])
         else:
@@ -163,12 +154,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, key: str = "doc_id") ->
     dealt = named.withColumn("block", F.pmod(F.xxhash64(F.col(f"_{docs.columns.index(key)}").cast("string"), "text"), F.lit(blocks)))
     fields = [f for f in dealt.schema.fields if f.name != "text"]
     dealt = dealt.mapInPandas(_pack, T.StructType([*fields]).add("data", "binary"))
-    counts, schema = None, "gram long, block long, uses int"
+    counts, own, schema = None, None, "gram long, block long, uses int"
     for n in range(1, order + 1):
         if n == 1:
             rows = dealt.groupBy("block").applyInPandas(_first, schema)
         else:
-            rows = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_exploder(n), schema)
+            rows = dealt.groupBy("block").cogroup(own.drop("n").groupBy("block")).applyInPandas(_exploder(n), schema)
         table_ = rows.withColumn("total", F.sum("uses").over(Window.partitionBy("gram"))).where("total > uses")
         own = table_.select("block", F.lit(n).alias("n"), "gram", "total")
         counts = own if counts is None else counts.unionByName(own)
