@@ -161,17 +161,37 @@ def _loaded(text: str):
     return None
 
 
-def _product(html: str | None) -> dict | None:
+def _blocks(html: str | None):
     for block in re.findall(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", html or ""):
-        for node in _nodes(_loaded(block)):
+        yield _loaded(block)
+
+
+def _variants(node) -> list[dict]:
+    kin = []
+    for v in _listed(_get(node, "hasVariant")):
+        p, m, _, s = _offer(_get(v, "offers"))
+        if _get(v, "name") and p > 0:
+            kin.append({"name": unescape(str(_get(v, "name"))), "sku": None if _get(v, "sku") is None else str(_get(v, "sku")), "price": p, "mrp": m, "in_stock": s})
+    return kin
+
+
+def structured_variants(html: str | None) -> list[dict]:
+    """Variants of the first node of a page's JSON-LD that has any, whatever its type."""
+    for block in _blocks(html):
+        for node in _nodes(block):
+            if kin := _variants(node):
+                return kin
+    return []
+
+
+def described_product(html: str | None) -> dict | None:
+    """The first named Product of a page's JSON-LD."""
+    for block in _blocks(html):
+        for node in _nodes(block):
             if any(str(k).rsplit("/", 1)[-1] == "Product" for k in _listed(node.get("@type"))) and _get(node, "name"):
                 price, mrp, money, stock = _offer(_get(node, "offers"))
                 label = _get(node, "brand")
-                kin = []
-                for v in _listed(_get(node, "hasVariant")):
-                    p, _, _, s = _offer(_get(v, "offers"))
-                    if _get(v, "name") and p > 0:
-                        kin.append({"name": unescape(str(_get(v, "name"))), "sku": None if _get(v, "sku") is None else str(_get(v, "sku")), "price": p, "in_stock": s})
+                kin = [{k: v[k] for k in ("name", "sku", "price", "in_stock")} for v in _variants(node)]
                 text = lambda k: None if _get(node, k) is None else unescape(str(_get(node, k)))  # noqa: B023, E731
                 return {"name": text("name"), "description": text("description"), "sku": text("sku"), "brand": str(_get(label, "name") or "") if isinstance(label, dict) else label and str(label), "price": price, "mrp": mrp, "currency": money, "in_stock": stock, "image": _image(_get(node, "image")), "variants": kin}
     return None
@@ -181,4 +201,4 @@ def _product(html: str | None) -> dict | None:
 def structured_product(html: pd.Series) -> pd.DataFrame:
     """The product that a page's JSON-LD describes; a row of nulls without one."""
     names = ["name", "description", "sku", "brand", "price", "mrp", "currency", "in_stock", "image", "variants"]
-    return pd.DataFrame([_product(h) or dict.fromkeys(names) for h in html], columns=names)
+    return pd.DataFrame([described_product(h) or dict.fromkeys(names) for h in html], columns=names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocabulary as V
-from ..functions.attributes import attributes, rich_attributes, strong_codes
+from ..functions.attributes import attributes, rich_attributes, strong_codes, unit_price
 from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash
 from ..functions.names import distinguishing, normalize, specific, tokens, words
 from ..functions.similarity import attribute_score, brand_score, embed, fuzz, pack_score, score, sparse_dot, token_overlap, verdict
@@ -162,6 +162,10 @@ def structured_match(pairs: DataFrame) -> DataFrame:
 def select_variant(listings: DataFrame) -> DataFrame:
     """Each listing as the child among its ``variants`` (name, price, spec) that the search means.
 
+    The child's price and composition take the listing's place, and of ``mrp``, ``pack_size``,
+    ``unit_price`` and ``image`` those that children and listing both have, where the child
+    states them; without a unit price of its own the child's is its price over its pack.
+
     Children of another formulation are passed over; the rest go by composition, shared
     tokens that the search adds to the listing's name, fuzzy ratio, nearness of the price, and
     place. A listing with fewer than two real children, or nothing to choose by, stays. The
@@ -181,7 +185,12 @@ def select_variant(listings: DataFrame) -> DataFrame:
     said = sized(F.col("s_spec")) | F.exists("_real", lambda v: sized(v["spec"]))
     pick = pick.withColumn("_pins", pins).where(F.coalesce(said, F.lit(False)) | F.col("_pins")).select("_id", "v", "_pins")
     out = base.join(pick, "_id", "left")
-    return out.withColumns({"c_price": F.coalesce("v.price", "c_price"), "c_name": F.when(F.col("_pins"), F.col("v.name")).otherwise(F.col("c_name")), "c_spec": F.coalesce("v.spec", "c_spec"), "pinned": F.coalesce("_pins", F.lit(False))}).drop("_own", "_real", "_id", "v", "_pins")
+    kin = listings.schema["variants"].dataType.elementType.fieldNames()
+    more = {f"c_{f}": F.coalesce(F.col(f"v.{f}"), F.col(f"c_{f}")) for f in ("mrp", "pack_size", "image") if f in kin and f"c_{f}" in listings.columns}
+    if "c_unit_price" in listings.columns:
+        own = F.when(F.col("v.pack_size") > 1, unit_price(F.col("v.price"), F.col("v.pack_size"))).otherwise(F.col("v.price")) if "pack_size" in kin else F.col("v.price")
+        more["c_unit_price"] = F.coalesce(*([F.col("v.unit_price")] if "unit_price" in kin else []), own, "c_unit_price")
+    return out.withColumns(more | {"c_price": F.coalesce("v.price", "c_price"), "c_name": F.when(F.col("_pins"), F.col("v.name")).otherwise(F.col("c_name")), "c_spec": F.coalesce("v.spec", "c_spec"), "pinned": F.coalesce("_pins", F.lit(False))}).drop("_own", "_real", "_id", "v", "_pins")
 
 
 def judged(pairs: DataFrame, by: list[str], position: str, budget: int = V.JUDGE_BUDGET) -> DataFrame:
