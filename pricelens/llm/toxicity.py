@@ -19,19 +19,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..tables import table
 from .arrays import joined, mix, running, slices, spans
 
-#: The model is fitted on this many labelled documents of each class at most (the least hashes of their keys), none of more characters than this.
-SAMPLE, SAMPLE_CHARS = 4000, 100_000
+#: The model is fitted on this many labelled documents of each class at most (the least hashes of their keys), and on whole documents with this many feature places in all (again by hash; the first of a class always).
+SAMPLE, SAMPLE_PLACES = 4000, 4_000_000
 #: Bytes of the beginnings of words that are features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: The model has this many features at most, those with the greatest likelihood ratio between the classes, each in this many documents at least and with this ratio at least.
-FEATURES, LEAST_DOCS, LEAST_RATIO = 4096, 4, 20.0
-#: A sampled document brings this many feature places to the fit at most.
-PLACES = 2000
+#: The model has this many features at most, those with the greatest likelihood ratio between the classes, each in this many documents at least and with a ratio that grows with the smaller class of the sample, from the first to the second value.
+FEATURES, LEAST_DOCS, LEAST_RATIO, FULL_RATIO, FULL_DOCS = 4096, 3, 6.0, 12.0, 400
 #: Penalties tried; the one with the best likelihood of the sample's fourth that a first fit leaves out is taken.
 PENALTIES, STEPS, RATE = (3e-5, 3e-4, 3e-3), 150, 0.1
 _BREAK = np.ones(256, dtype=bool)
@@ -170,28 +168,29 @@ def _places(frames: Iterator[pd.DataFrame], features: np.ndarray) -> Iterator[pd
         edge = np.searchsorted(text[row], np.arange(len(texts) + 1))
         packed = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            b = min(b, a + PLACES)
             found, own = np.unique(row[a:b], return_inverse=True)
             packed.append((len(found), own.astype(np.int32).tobytes(), column[a:b].astype(np.int32).tobytes()))
-        yield pd.DataFrame(packed, columns=["active", "rows", "columns"]).assign(doc=frame["doc"].to_numpy(), toxic=frame["toxic"].to_numpy(), sentences=np.bincount(text, minlength=len(texts)))
+        yield pd.DataFrame(packed, columns=["active", "rows", "columns"]).assign(doc=frame["doc"].to_numpy(), toxic=frame["toxic"].to_numpy(), sentences=np.bincount(text, minlength=len(texts)), places=np.diff(edge))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """The model learned from the texts of ``docs`` (``key``, ``text``) whose key ``labels`` (``key``, ``toxic``) marks 0 or 1.
 
     Null keys and labels are left out; a key with both labels counts as toxic, equal texts of
-    a key and class count once, empty ones not. Up to :data:`SAMPLE` documents of each class
-    are read. Without labels of either class nothing is learned and every score stays near 0.
+    a key and class count once, empty and null ones not. Up to :data:`SAMPLE` documents of each
+    class are read, whole ones of any length. Without labels of either class nothing is
+    learned and every score stays near 0.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
+    there = docs.where(F.length("text") > 0).select(key).join(marks, key).distinct()
     order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
-    picked = marks.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(marks.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    texts = docs.select(key, "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked), key)  # 2 * SAMPLE keys
+    picked = there.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(there.where("toxic = 0").orderBy(*order).limit(SAMPLE))
+    texts = docs.where(F.length("text") > 0).select(key, "text").join(F.broadcast(picked), key)  # 2 * SAMPLE keys
     named = texts.select(F.xxhash64(F.col(key).cast("string"), "text").alias("doc"), "toxic", "text").dropDuplicates(["doc"])
     sample = named.where("toxic = 1").orderBy("doc").limit(SAMPLE).union(named.where("toxic = 0").orderBy("doc").limit(SAMPLE))  # a key may have many rows
     sample = sample.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
-    sizes = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
+    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return fit(pd.DataFrame({"toxic": []}), np.zeros(0, np.uint64))
     counts = sample.mapInPandas(_occurrences, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -200,10 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     part = lambda k, r, base: F.when(k > 0, k * F.log(r / base)).otherwise(0.0)
     rest = lambda n, r: (n * (1 - r)) * F.when(r < 1, F.log((1 - r) / F.greatest(1 - both, F.lit(1e-9)))).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), p, both) + part(F.col("clean"), q, both) + rest(F.lit(sizes[1]), p) + rest(F.lit(sizes[0]), q))
-    telling = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    least = LEAST_RATIO + (FULL_RATIO - LEAST_RATIO) * min(1.0, min(sizes.values()) / FULL_DOCS)
+    telling = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", ratio.alias("ratio")).where(F.col("ratio") >= least)
     features = np.sort(telling.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    packed = sample.mapInPandas(partial(_places, features=features), "doc long, toxic int, sentences long, active int, rows binary, columns binary")
-    return fit(packed.toPandas().sort_values("doc").reset_index(drop=True), features)  # 8 * PLACES bytes for each of 2 * SAMPLE documents at most
+    packed = sample.mapInPandas(partial(_places, features=features), "doc long, toxic int, sentences long, active int, rows binary, columns binary, places long")
+    turn = Window.partitionBy("toxic").orderBy("doc")  # SAMPLE rows a class
+    packed = packed.withColumns({"_sum": F.sum("places").over(turn), "_n": F.row_number().over(turn)}).where((F.col("_sum") <= SAMPLE_PLACES) | (F.col("_n") == 1))
+    return fit(packed.toPandas().sort_values("doc").reset_index(drop=True), features)  # 8 bytes a place
 
 
 def _score(frames: Iterator[pd.DataFrame], model, keep_text: bool) -> Iterator[pd.DataFrame]:

@@ -223,3 +223,53 @@ def test_pipeline_stage_by_stage(spark, sf):
     holds = {k for k, r in got.items() if any(i in re.sub(r"\s+", " ", r.text or "") for i in items)}
     remaining = {r.doc_id for r in left.collect()}
     assert holds.isdisjoint(remaining) and remaining <= set(got)
+
+
+def word_value(data):
+    return mixed(sum(POINTS[b] * pow(0x9E3779B97F4A7C15, i, M) for i, b in enumerate(data)) % M)
+
+
+def brute_toxicity(text, model):
+    """Sentence by sentence: 1 - (1 - leak) * prod(1 - P(sentence)), words and their beginnings as features."""
+    import math
+
+    known = dict(zip(model.features.tolist(), model.weights.tolist()))
+    clean, seen, offending, worst = 1.0, 0, 0, (-math.inf, None)
+    for sentence in re.split(rb"[\n\r.!?]", (text or "").lower().encode()):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+        if not words:
+            continue
+        found = {word_value(w) for w in words} | {mixed(word_value(w[:k]), k) for w in words for k in toxicity.BEGINNINGS if len(w) > k}
+        z = model.constant + sum(known.get(f, 0.0) for f in found)
+        clean *= 1 - 1 / (1 + math.exp(-z))
+        seen, offending, worst = seen + 1, offending + (z >= 0), max(worst, (z, sentence), key=lambda x: x[0])
+    leak = 1 / (1 + math.exp(-model.leak)) if seen else 0.0
+    return 1 - clean * (1 - leak), seen, offending, worst[1]
+
+
+def test_toxicity_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "... !\n?"), (10**6 + 3, "Word. Word! other"), (10**6 + 4, "ÜBER straße " * 400)]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    pick = random.Random(4)
+    vocabulary = sorted({w for r in docs.collect() for w in re.findall(r"[a-z]{3,}", (r["text"] or "").lower())})
+    words = [w.encode() for w in pick.sample(vocabulary, 150)]
+    features = sorted({word_value(w) for w in words} | {mixed(word_value(w[:4]), 4) for w in words if len(w) > 4})
+    model = toxicity.Model(arrays.np.array(features, dtype=arrays.np.uint64), arrays.np.array([pick.uniform(-2, 3) for _ in features]), -4.0, -3.0)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        p, seen, offending, _ = brute_toxicity(r["text"], model)
+        g = got[r["doc_id"]]
+        assert abs(g["score"] - p) < 1e-9 and (g["n_sentences"], g["n_offending"]) == (seen, offending)
+
+
+def test_toxicity_learns_from_whole_long_documents(spark):
+    pick = random.Random(8)
+    rows = [(i, prose(i, 40) + (". " + " ".join(pick.choice(["vilest", "rotten", "scum"]) for _ in range(3)) if i % 3 == 0 else "")) for i in range(150)]
+    long = [(1000 + i, ". ".join(prose(5000 + i * 9 + j, 300) for j in range(60)) + (". vilest rotten scum" if i % 2 else "")) for i in range(6)]
+    texts = spark.createDataFrame(rows + long, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("scum" in t or "vilest" in t or "rotten" in t)) for i, t in rows + long] + [(10**7 + i, 1) for i in range(50)], "doc_id long, toxic int")
+    model = toxicity.train(texts, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(texts, model).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert all((s >= 0.5) == (truth[i] == 1) for i, s in got.items())
