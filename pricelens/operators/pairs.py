@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocabulary as V
 from ..functions.attributes import attributes, rich_attributes, strong_codes, unit_price
-from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash
+from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash, text_traits, traits
 from ..functions.names import distinguishing, normalize, specific, tokens, words
 from ..functions.similarity import attribute_score, brand_score, embed, fuzz, pack_score, score, sparse_dot, token_overlap, verdict
 from ..functions.specs import compare_specs, describe, sized
@@ -44,20 +44,35 @@ def prefilter(candidates: DataFrame, searches: DataFrame, on: list[str]) -> Data
 
 
 #: Columns of :func:`profiled` besides the normal forms.
-PROFILE = ("_a", "_b", "_aw", "_bw", "_at", "_bt", "_av", "_bv")
+PROFILE = ("_a", "_b", "_aw", "_bw", "_ag", "_bg", "_at", "_bt", "_av", "_bv")
 
 
 def profiled(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (``s_name``, ``c_name``) with both names' normal form, attributes, words, tokens and vector, worked out once for each distinct name; null names have nulls."""
+    """``pairs`` (``s_name``, ``c_name``) with both names' normal form, attributes, words, what the gates ask, tokens and vector, worked out once for each distinct name; null names have nulls."""
     names = pairs.select(F.explode(F.array("s_name", "c_name")).alias("name")).where("name is not null").distinct()
     norm = F.col("norm")
-    known = checkpointed(names.withColumn("norm", normalize(F.col("name"))).select("name", "norm", attributes(norm).alias("a"), words(norm).alias("w"), F.array_distinct(tokens(norm)).alias("t"), embed(norm).alias("v")))
+    known = names.withColumn("norm", normalize(F.col("name"))).select("name", "norm", attributes(norm).alias("a"), words(norm).alias("w"), F.array_distinct(tokens(norm)).alias("t"), embed(norm).alias("v"))
+    known = checkpointed(known.select("*", traits(norm, F.col("a.brand")).alias("g")))
     for side, to in (("s", "a"), ("c", "b")):
-        own = known.select(F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), *(F.col(x).alias(f"_{to}" + y) for x, y in (("a", ""), ("w", "w"), ("t", "t"), ("v", "v"))))
+        own = known.select(F.col("name").alias(f"{side}_name"), F.col("norm").alias(f"{side}_norm"), *(F.col(x).alias(f"_{to}" + y) for x, y in (("a", ""), ("w", "w"), ("g", "g"), ("t", "t"), ("v", "v"))))
         pairs = pairs.join(own, f"{side}_name", "left")
     return pairs
 
 
+def _rich(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``_ra`` and ``_rb``, the rich attributes of both records, the vector of each name with its description (``_sv``, ``_cv``), and the text traits of the candidate's description (``_told``): once for each distinct record."""
+    fields = ("name", "description", "packaging")
+    records = pairs.select(F.explode(F.array(*(F.struct(*(F.col(f"{side}_{f}").alias(f) for f in fields), F.col(f"{side}_norm").alias("norm")) for side in ("s", "c")))).alias("r")).select("r.*").distinct()
+    head = F.substring("description", 1, 240)
+    described = F.coalesce("description", F.lit("")) != ""
+    known = checkpointed(records.select(*fields, rich_attributes(*map(F.col, fields)).alias("rich"), F.when(described, embed(F.concat_ws(" ", "norm", head))).alias("vector"), F.when(described, text_traits(head)).alias("told")).withColumn("_key", F.xxhash64(*fields)))
+    for side, names in (("s", {"rich": "_ra", "vector": "_sv"}), ("c", {"rich": "_rb", "vector": "_cv", "told": "_told"})):
+        own = known.select("_key", *(F.col(f).alias(f"_k{f}") for f in fields), *(F.col(f).alias(n) for f, n in names.items()))
+        same = [F.col(f"_k{f}").eqNullSafe(F.col(f"{side}_{f}")) for f in fields]
+        pairs = pairs.withColumn("_skey", F.xxhash64(*(f"{side}_{f}" for f in fields))).join(own, (F.col("_skey") == F.col("_key")) & same[0] & same[1] & same[2], "left").drop("_key", "_skey", *(f"_k{f}" for f in fields))
+    return pairs
+
+
 def triage(pairs: DataFrame, with_text: bool = True) -> DataFrame:
     """``pairs`` (``s_name``, ``c_name``) with ``gate``, the features, ``score`` and ``verdict``.
 
@@ -122,9 +137,9 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     Columns, each with ``s_`` and ``c_``: name, description, packaging, price, unit_price,
     pack_size, spec (a composition or null).
     """
-    p = profiled(pairs)
-    p = p.withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"), F.col("c_description"))))
-    p = p.withColumns({"_a": rich_attributes(*(F.col(f"s_{c}") for c in ("name", "description", "packaging"))), "_b": rich_attributes(*(F.col(f"c_{c}") for c in ("name", "description", "packaging")))})
+    p = _rich(profiled(pairs))
+    p = p.withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"), F.col("_told"))))
+    p = p.drop("_a", "_b").withColumnsRenamed({"_ra": "_a", "_rb": "_b"})
     a, b = F.col("_a"), F.col("_b")
     fields = ("iso_size", "shade", "concentration", "taper", "slot", "viscosity", "material", "dimension", "wire_form", "tip_number")
     known = [a[f].isNotNull() & b[f].isNotNull() for f in fields]
@@ -134,8 +149,7 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     price = lambda s: F.coalesce(F.nullif(F.col(f"{s}_unit_price"), F.lit(0.0)), F.col(f"{s}_price"), F.lit(0.0))
     blank = lambda s: F.concat_ws("", f"{s}_description", f"{s}_packaging") == ""
     # names with the first 240 characters of their descriptions, where both have one
-    said = lambda s: F.concat_ws(" ", f"{s}_norm", F.substring(f"{s}_description", 1, 240))
-    told = F.when((F.coalesce("s_description", F.lit("")) != "") & (F.coalesce("c_description", F.lit("")) != ""), sparse_dot(embed(said("s")), embed(said("c"))))
+    told = sparse_dot(F.col("_sv"), F.col("_cv"))
     p = p.withColumns({
         "_compared": sum((k.cast("int") for k in known), F.lit(0)), "_differ": differ, "token": token_overlap(F.col("_at"), F.col("_bt")), "fuzz": fuzz("s_norm", "c_norm"), "cosine": F.greatest(sparse_dot(F.col("_av"), F.col("_bv")), told),
         "spec": compare_specs(F.col("s_spec"), F.col("c_spec")), "unit_ratio": F.when((price("s") > 0) & (price("c") > 0), price("c") / price("s")), "thin": blank("s") | blank("c"), "_clash": kinds_clash(F.col("s_norm"), F.col("c_norm")),
@@ -156,7 +170,7 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     packs = F.when((F.col("s_pack_size") != F.col("c_pack_size")) & (F.col("s_pack_size") > 0) & (F.col("c_pack_size") > 0), F.concat(F.col("s_pack_size").cast("string"), F.lit("/pack vs "), F.col("c_pack_size").cast("string"), F.lit("/pack")))
     note = F.when(F.col("spec") == "different-size", F.concat(describe(F.col("s_spec")), F.lit(" vs "), describe(F.col("c_spec")))).otherwise(packs)
     out = p.withColumns({"reason": why, "pack_note": note})
-    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(sure, "confirmed").otherwise("borderline")).drop(*PROFILE, "_compared", "_differ", "_clash", "gate")
+    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(sure, "confirmed").otherwise("borderline")).drop(*PROFILE, "_sv", "_cv", "_told", "_compared", "_differ", "_clash", "gate")
 
 
 def select_variant(listings: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def gate_types(spark, sf):
 @query(f"WITH {_GATED} SELECT l_orderkey, l_linenumber, CASE WHEN sn <> fn THEN sn || ' vs ' || fn END AS clash FROM g")
 def gate_numbers(spark, sf):
     """Pairs whose numbers have nothing in common."""
-    return _gated(spark, sf).select("l_orderkey", "l_linenumber", G.number_clash(F.col("s"), F.col("f")).alias("clash"))
+    return _gated(spark, sf).select("l_orderkey", "l_linenumber", G.number_clash(*(F.array_sort(A.serials(F.col(c))) for c in ("s", "f"))).alias("clash"))
 
 
 @query("WITH p AS (SELECT DISTINCT l_suppkey, p_partkey, p_retailprice AS score, p_size % 3 > 0 AS fit, split_part(p_name, ' ', 2) = 'widget' AS shared FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_partkey) AS rank FROM p WHERE fit QUALIFY rank <= 5), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_partkey) AS rank FROM (SELECT * FROM p ANTI JOIN b USING (l_suppkey, p_partkey)) WHERE shared QUALIFY rank <= 2) SELECT l_suppkey, p_partkey, rank, false AS rescued FROM b UNION ALL SELECT l_suppkey, p_partkey, rank, true FROM r")
