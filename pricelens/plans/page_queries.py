@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import children as K, page_records as R
+from ..functions import children as K, page_records as R, shops as H
 from ..tables import table
 from .queries import LISTINGS, listings, query
 
@@ -115,3 +115,30 @@ def page_records(spark, sf):
     """What the given pages state: names, and no price that isn't marked as one."""
     r = F.col("record")
     return R.page_records(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", r["status"].alias("status"), r["name"].alias("name"), r["host"].alias("host"))
+
+
+@query(f"""WITH {_GOODS}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY id)::INTEGER - 1 AS position FROM goods), k AS (SELECT *, ['catalogue', 'store', 'next'][page_id % 3 + 1] AS kind FROM n)
+SELECT page_id, kind, position, CASE WHEN kind = 'store' THEN name || ' & "é"' ELSE name END AS name, CASE WHEN kind = 'catalogue' THEN 'https://own/k' || id WHEN kind = 'store' THEN 'https://store/p/' || id ELSE 'https://next/s' || id END AS url,
+  CASE WHEN kind = 'store' THEN floor(floor(price * 100 + 0.5) / 100 + 0.5) ELSE price END AS price, CASE WHEN kind = 'store' THEN floor(floor(price * 200 + 0.5) / 100 + 0.5) WHEN kind = 'catalogue' AND id % 2 = 0 THEN price ELSE price * 2 END AS mrp, CASE WHEN kind = 'catalogue' THEN CASE WHEN id % 3 = 0 THEN 13 WHEN id % 2 = 0 THEN 0 ELSE 50 END WHEN kind = 'next' THEN 50
+    ELSE floor((floor(floor(price * 200 + 0.5) / 100 + 0.5) - floor(floor(price * 100 + 0.5) / 100 + 0.5)) / floor(floor(price * 200 + 0.5) / 100 + 0.5) * 100 + 0.5) END::INTEGER AS discount, id % 2 = 1 AS in_stock, CASE WHEN kind = 'catalogue' AND id % 5 = 0 THEN 'box, 2 tips' WHEN kind = 'store' THEN '' ELSE brand END AS packaging, pieces::INTEGER AS pack_size, CASE WHEN kind = 'catalogue' AND id % 4 = 0 THEN 15.0 END AS powder_g
+FROM k WHERE NOT (kind = 'store' AND id % 7 = 0)""")
+def shop_hits(spark, sf):
+    """Hits of three shops' answers: minor units and another currency in a store's, a list of contents and children's names in the catalogue's, a page's script."""
+    g = _goods(spark, sf).withColumn("kind", F.get(F.array(*map(F.lit, ("catalogue", "store", "next"))), (F.col("page_id") % 3).cast("int")))
+    say = lambda **fields: F.to_json(F.struct(*(c.alias(f) for f, c in fields.items())))
+    i, price, stock = F.col("id").cast("string"), F.col("price"), F.col("id") % 2
+    cents = lambda c: F.floor(c * 100 + 0.5).cast("string")
+    odd = F.when(stock == 1, price * 2)
+    catalogue = say(name=F.concat(F.lit(" "), "name"), url_key=F.concat(F.lit("k"), i), price=F.struct(F.struct(price.alias("default"), odd.alias("default_original_formated")).alias("INR")), discount_percentage=F.when(F.col("id") % 3 == 0, 12.6), in_stock=stock, packaging_contents=F.when(F.col("id") % 5 == 0, F.array(F.lit("box"), F.lit(""), F.lit("2 tips"))), manufacturer=F.col("brand"), child_names=F.when(F.col("id") % 4 == 0, "A Extra (30 g powder) , A big (15 g powder), A small (5 g powder)"))
+    store = say(name=F.concat("name", F.lit(" &amp; &quot;&#233;&quot;")), permalink=F.concat(F.lit("https://store/p/"), i), prices=F.struct(F.lit("").alias("sale_price"), cents(price).alias("price"), cents(price * 2).alias("regular_price"), F.when(F.col("id") % 7 == 0, "USD").otherwise("inr").alias("currency_code"), F.lit(2).alias("currency_minor_unit")), stock_status=F.when(stock == 1, "instock").otherwise("outofstock"))
+    next_ = say(title=F.col("name"), slug=F.concat(F.lit("s"), i), special_price_final=F.lit(0), regular_price_final=price, mrp_final=price * 2, in_stock_skus=F.when(stock == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")), brand=F.struct(F.col("brand").alias("name")), generic_name=F.struct(F.lit("thing").alias("name")))
+    row = F.when(F.col("kind") == "catalogue", catalogue).when(F.col("kind") == "store", store).otherwise(next_)
+    pages = _rows_of(g, row, ",").withColumn("kind", F.get(F.array(*map(F.lit, ("catalogue", "store", "next"))), (F.col("page_id") % 3).cast("int")))
+    listed = F.concat(F.lit("["), F.col("rows"), F.lit("]"))
+    body = F.when(F.col("kind") == "catalogue", F.concat(F.lit('{"hits":{"products":'), listed, F.lit("}}"))).when(F.col("kind") == "store", listed).otherwise(F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"results":'), listed, F.lit("}}}</script>")))
+    answers = pages.select("page_id", "kind", body.alias("body"))
+    out = None
+    for kind, base in (("catalogue", "https://own/"), ("store", ""), ("next", "https://next/")):
+        found = H.shop_hits(spark, answers.where(F.col("kind") == kind), kind, base)
+        out = found if out is None else out.unionByName(found)
+    return out.select("page_id", "kind", F.col("position").cast("int").alias("position"), "name", "url", "price", "mrp", "discount", "in_stock", "packaging", "pack_size", F.col("spec.powder_g").alias("powder_g"))

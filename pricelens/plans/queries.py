@@ -63,20 +63,24 @@ def repaired_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce(N.fix_mojibake(F.col("text")), F.lit("")), 256).alias("sha256"))
 
 
+def _search_id():
+    return F.concat_ws("|", "p_brand", "p_type", "p_name", F.col("p_size").cast("string"), F.floor(F.col("p_retailprice") * 100 + 0.5).cast("string"))
+
+
 def _anchors(spark, sf) -> DataFrame:
-    """One search for each brand, type and name that the catalogue has, as its first row has size and price, with the number of its rows (``members``); :func:`anchor_members` leads back to them."""
-    first = F.min(F.struct("p_partkey", "p_size", "p_retailprice")).alias("first")
-    p = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_name").agg(first, F.count("*").alias("members"))
-    p = p.select("p_brand", "p_type", "p_name", F.col("first.p_size").alias("size"), F.col("first.p_retailprice").alias("price"), "members")
-    ident = F.concat_ws("|", "p_brand", "p_type", "p_name")
-    name = F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" "), "p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.col("size").cast("string"), F.lit(" mm"))
-    return p.select("p_brand", "p_type", ident.alias("search_id"), name.alias("name"), "price", "members", F.col("p_name").alias("short"))
+    """One search for each brand, type, name, size and price that the catalogue has, with the number of its equal rows (``members``); :func:`anchor_members` leads back to them."""
+    p = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_name", "p_size", "p_retailprice").agg(F.count("*").alias("members"))
+    name = F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" "), "p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" mm"))
+    return p.select("p_brand", "p_type", _search_id().alias("search_id"), name.alias("name"), F.col("p_retailprice").alias("price"), "members", F.col("p_name").alias("short"))
+
+
+_ID = "p_brand || '|' || p_type || '|' || p_name || '|' || p_size || '|' || floor(p_retailprice * 100 + 0.5)::BIGINT"
 
 
-@query("SELECT p_brand || '|' || p_type || '|' || p_name AS search_id, p_partkey FROM part")
+@query(f"SELECT {_ID} AS search_id, p_partkey FROM part")
 def anchor_members(spark, sf):
     """The parts that each search stands for."""
-    return table(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_type", "p_name").alias("search_id"), "p_partkey")
+    return table(spark, sf, "part").select(_search_id().alias("search_id"), "p_partkey")
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -88,7 +92,7 @@ def _pairs(spark, sf) -> DataFrame:
 
 
 _ANCHORS = f"""{LISTINGS},
-anchor AS (SELECT p_brand, p_type, p_name, p_brand || '|' || p_type || '|' || p_name AS search_id, replace(p_brand, '#', ' ') || ' ' || p_name || ' ' || lower(p_type) || ' ' || sz || ' mm' AS name, price, members FROM (SELECT p_brand, p_type, p_name, arg_min(p_size, p_partkey) AS sz, arg_min(p_retailprice, p_partkey) AS price, count(*) AS members FROM part GROUP BY p_brand, p_type, p_name)),
+anchor AS (SELECT p_brand, p_type, p_name, {_ID} AS search_id, replace(p_brand, '#', ' ') || ' ' || p_name || ' ' || lower(p_type) || ' ' || p_size || ' mm' AS name, p_retailprice AS price, count(*) AS members FROM part GROUP BY ALL),
 pair AS (SELECT a.search_id, a.members, l.p_partkey AS candidate_id, a.name AS s_name, l.name AS c_name, a.price AS s_price, l.price AS c_price, a.p_name AS s_short, l.p_name AS c_short FROM anchor a JOIN listing l ON a.p_brand = l.p_brand AND a.p_type = l.p_type
   WHERE len(list_filter(list_intersect(string_split(a.p_name, ' '), string_split(l.p_name, ' ')), lambda x: NOT list_contains({STOPS}, x))) > 0),
 words AS (SELECT *, list_distinct({TOKENS.format('s_name')}) AS s, list_distinct({TOKENS.format('c_name')}) AS c FROM pair),
@@ -113,6 +117,20 @@ def gate_contrast(spark, sf):
     return _pairs(spark, sf).select(F.col("s_search_id").alias("search_id"), F.col("c_candidate_id").alias("candidate_id"), G.contrast(s, c).alias("contrast"), ((F.size(shades[0]) > 0) & (F.size(shades[1]) > 0) & ~F.arrays_overlap(*shades)).alias("colours_differ"))
 
 
+_NORM = r"regexp_replace({}, '\s*[-—–|(]?\s*[Pp]ack\s*of\s*\d+\s*\)?\s*$', '')"
+_SIZES, _SHADES = "('small', 'medium', 'large')", "('red', 'blue')"
+
+
+@query(f"""WITH {_ANCHORS}, w AS (SELECT search_id, candidate_id, {", ".join(f"list_distinct({TOKENS.format(_NORM.format(f'{x}_name'))}) AS {x}" for x in "sc")} FROM pair),
+f AS (SELECT *, list_filter(s, lambda x: list_contains(c, x)) AS i, list_distinct(list_concat(s, c)) AS u, {", ".join(f"list_sort(list_filter({x}, lambda t: t IN {words})) AS {x}{to}" for x in "sc" for words, to in ((_SIZES, "z"), (_SHADES, "h")))} FROM w),
+g AS (SELECT *, CASE WHEN len(sz) > 0 AND len(cz) > 0 AND len(list_intersect(sz, cz)) = 0 THEN 'variant mismatch: ' || array_to_string(sz, '/') || ' vs ' || array_to_string(cz, '/') WHEN len(sh) > 0 AND len(ch) > 0 AND len(list_intersect(sh, ch)) = 0 THEN 'colour mismatch: ' || array_to_string(sh, '/') || ' vs ' || array_to_string(ch, '/') END AS gate FROM f)
+SELECT search_id, candidate_id, gate, CASE WHEN gate IS NULL THEN floor((len(i) + 9 * len(list_filter(i, lambda x: NOT list_contains({STOPS}, x))))::DOUBLE / (len(u) + 9 * len(list_filter(u, lambda x: NOT list_contains({STOPS}, x)))) * 1e6 + 0.5) / 1e6 END AS token, CASE WHEN gate IS NULL THEN 1.0::DOUBLE END AS brand, CASE WHEN gate IS NULL THEN 1.0::DOUBLE END AS pack, CASE WHEN gate IS NULL THEN 1.0::DOUBLE END AS attr FROM g""")
+def pair_features(spark, sf):
+    """The vetoes and all parts of the score but the texts' own. Of the given vocabulary sizes and colours veto; brands, packs and attributes agree in every block."""
+    done = pairs.triage(_pairs(spark, sf), with_text=False)
+    return done.select(F.col("s_search_id").alias("search_id"), F.col("c_candidate_id").alias("candidate_id"), "gate", (F.floor(F.col("token") * 1e6 + 0.5) / 1e6).alias("token"), "brand", "pack", "attr")
+
+
 @query()
 def match_rank(spark, sf):
     """Gates, features, score, verdict and the best five candidates of each search, with two rescued."""
