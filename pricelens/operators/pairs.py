@@ -10,7 +10,7 @@ from ..functions.gates import brands_conflict, gate_reason, in_band, kinds_clash
 from ..functions.names import distinguishing, normalize, specific, tokens, words
 from ..functions.similarity import attribute_score, brand_score, embed, fuzz, pack_score, score, sparse_dot, token_overlap, verdict
 from ..functions.specs import compare_specs, describe, sized
-from ..tables import checkpointed
+from ..tables import checkpointed, parts
 
 
 def block(searches: DataFrame, candidates: DataFrame, on: list[str] = [], name: str = "name", key: str = "search_id", other: str = "candidate_id") -> DataFrame:  # noqa: B006
@@ -28,7 +28,8 @@ def block(searches: DataFrame, candidates: DataFrame, on: list[str] = [], name:
     met = wanted.select(*on, s_key, F.explode("_tokens").alias("_token")).join(offered, [*on, "_token"]).select(s_key, c_key)
     if on:
         met = met.unionByName(wanted.where(F.coalesce(F.size("_tokens"), F.lit(0)) <= 0).join(right.select(*on, c_key), on).select(s_key, c_key))
-    return met.distinct().join(left.dropDuplicates([s_key]), s_key).join(right.drop(*on).dropDuplicates([c_key]), c_key)
+    met = met.repartition(parts(met), s_key, c_key).distinct()  # the pairs' features cost more than their bytes
+    return met.join(left.dropDuplicates([s_key]), s_key).join(right.drop(*on).dropDuplicates([c_key]), c_key)
 
 
 def prefilter(candidates: DataFrame, searches: DataFrame, on: list[str]) -> DataFrame:
@@ -48,8 +49,13 @@ PROFILE = ("_a", "_b", "_aw", "_bw", "_ag", "_bg", "_at", "_bt", "_av", "_bv")
 
 
 def profiled(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (``s_name``, ``c_name``) with both names' normal form, attributes, words, what the gates ask, tokens and vector, worked out once for each distinct name; null names have nulls."""
+    """``pairs`` (``s_name``, ``c_name``), written once, with both names' normal form, attributes, words, what the gates ask, tokens and vector, worked out once for each distinct name; null names have nulls."""
+    return _named(checkpointed(pairs))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
     names = pairs.select(F.explode(F.array("s_name", "c_name")).alias("name")).where("name is not null").distinct()
+    names = names.repartition(parts(names))
     norm = F.col("norm")
     known = names.withColumn("norm", normalize(F.col("name"))).select("name", "norm", attributes(norm).alias("a"), words(norm).alias("w"), F.array_distinct(tokens(norm)).alias("t"), embed(norm).alias("v"))
     known = checkpointed(known.select("*", traits(norm, F.col("a.brand")).alias("g")))
@@ -59,10 +65,11 @@ def profiled(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def _rich(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``_ra`` and ``_rb``, the rich attributes of both records, the vector of each name with its description (``_sv``, ``_cv``), and the text traits of the candidate's description (``_told``): once for each distinct record."""
+def _rich(pairs: DataFrame, written: DataFrame) -> DataFrame:
+    """``pairs`` (made of the rows ``written``) with ``_ra`` and ``_rb``, the rich attributes of both records, the vector of each name with its description (``_sv``, ``_cv``), and the text traits of the candidate's description (``_told``): once for each distinct record."""
     fields = ("name", "description", "packaging")
-    records = pairs.select(F.explode(F.array(*(F.struct(*(F.col(f"{side}_{f}").alias(f) for f in fields), F.col(f"{side}_norm").alias("norm")) for side in ("s", "c")))).alias("r")).select("r.*").distinct()
+    records = written.select(F.explode(F.array(*(F.struct(*(F.col(f"{side}_{f}").alias(f) for f in fields)) for side in ("s", "c")))).alias("r")).select("r.*").distinct()
+    records = records.repartition(parts(records)).withColumn("norm", normalize(F.col("name")))
     head = F.substring("description", 1, 240)
     described = F.coalesce("description", F.lit("")) != ""
     known = checkpointed(records.select(*fields, rich_attributes(*map(F.col, fields)).alias("rich"), F.when(described, embed(F.concat_ws(" ", "norm", head))).alias("vector"), F.when(described, text_traits(head)).alias("told")).withColumn("_key", F.xxhash64(*fields)))
@@ -137,7 +144,8 @@ def structured_match(pairs: DataFrame) -> DataFrame:
     Columns, each with ``s_`` and ``c_``: name, description, packaging, price, unit_price,
     pack_size, spec (a composition or null).
     """
-    p = _rich(profiled(pairs))
+    written = checkpointed(pairs)
+    p = _rich(_named(written), written)
     p = p.withColumn("gate", F.when((F.col("s_norm") == "") | (F.col("c_norm") == ""), "empty name").otherwise(gate_reason(F.col("s_norm"), F.col("c_norm"), F.col("_told"))))
     p = p.drop("_a", "_b").withColumnsRenamed({"_ra": "_a", "_rb": "_b"})
     a, b = F.col("_a"), F.col("_b")

@@ -27,3 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def parts(df: DataFrame) -> int:
+    """How many tasks work that is heavy for its bytes is dealt to: the shuffle partitions, which adaptive execution would else merge by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
