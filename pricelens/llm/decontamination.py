@@ -203,20 +203,46 @@ def op4_decontamination(spark, sf_dir):
     return joined.select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.col("n_items").isNotNull().alias("contaminated"))
 
 
-_UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
-#: Tables ``leaks(doc_id, n_items, item_ids)`` for the documents in ``{docs}``.
-LEAKS_SQL = rf"""
-item AS (SELECT min(item_id) AS item_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|\p{{{{L}}}}+') AS w FROM benchmark WHERE text IS NOT NULL GROUP BY text),
-doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*|\p{{{{L}}}}+') AS w FROM {{docs}}),
-item_form AS (SELECT item_id, w, least(8, len(w)) AS width, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i][1] BETWEEN '0' AND '9' THEN '<num>' WHEN w[i][1] <> lower(w[i][1]) AND w[i][1] = upper(w[i][1]) THEN '<name>' WHEN i > 1 AND w[i] IN ({_UNITS_SQL}) AND w[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>' ELSE w[i] END) AS f FROM item WHERE len(w) > 0),
-doc_form AS (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i][1] BETWEEN '0' AND '9' THEN '<num>' WHEN w[i][1] <> lower(w[i][1]) AND w[i][1] = upper(w[i][1]) THEN '<name>' WHEN i > 1 AND w[i] IN ({_UNITS_SQL}) AND w[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>' ELSE w[i] END) AS f FROM doc),
-item_window AS (SELECT item_id, width, i, f[i : i + width - 1] AS f, w[i : i + width - 1] AS w FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM item_form)),
-item_use AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM item_window WHERE len(list_filter(f, lambda t: t NOT IN ('<num>', '<name>', '<unit>'))) >= least(4, ceil(width / 2))),
-doc_window AS (SELECT doc_id, width, i, f[i : i + width - 1] AS f, w[i : i + width - 1] AS w FROM (SELECT d.*, v.width, unnest(range(1, len(d.w) - v.width + 2)) AS i FROM doc_form d, (SELECT DISTINCT width FROM item_use) v)),
-hit AS (SELECT d.doc_id, m.item_id, d.i - m.i AS shift, m.i, m.n, m.f, m.w AS mw, d.w AS dw FROM doc_window d JOIN item_use m ON d.width = m.width AND d.f = m.f),
-slot AS (SELECT DISTINCT doc_id, item_id, shift, f[k] AS kind, mw[k] AS mv, dw[k] AS dv FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM hit) WHERE f[k] IN ('<num>', '<name>', '<unit>')),
-clash AS (SELECT DISTINCT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift, kind, mv FROM slot GROUP BY ALL HAVING count(*) > 1)),
-leak AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, shift, max(n) AS n, count(DISTINCT i) AS c FROM hit GROUP BY ALL) h ANTI JOIN clash USING (doc_id, item_id, shift) WHERE c >= n * 0.3),
-leaks AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM leak GROUP BY doc_id)
-"""
-OP4_SQL = f"WITH {LEAKS_SQL.format(docs='documents')} SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, n_items IS NOT NULL AS contaminated FROM documents d LEFT JOIN leaks USING (doc_id)"
+def _op4_sql() -> str:
+    """The operator's rules as one statement: starters, runs, windows of both kinds, alignments of neighbouring shifts, agreement by the most frequent value."""
+    capital = lambda t: f"({t}[1] <> lower({t}[1]) AND {t}[1] = upper({t}[1]))"
+    said = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+    run = rf"\p{{Lu}}\p{{L}}*(?: \p{{Lu}}\p{{L}}*)*|[0-9][0-9.,]*(?: (?:{'|'.join(UNITS)})(?: |$))|[0-9][0-9.,]*|\p{{L}}+"
+    lowered = "array_to_string(list_transform(w, lambda t: CASE WHEN list_contains(known, t) THEN lower(t) ELSE t END), ' ')"
+    tokens = f"list_transform(regexp_extract_all({lowered}, '{run}'), lambda t: trim(t))"
+    form = f"list_transform(r, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN CASE WHEN contains(t, ' ') THEN '{QUANTITY}' ELSE '{NUMBER}' END WHEN {capital('t')} THEN '{NAME}' ELSE t END)"
+    slots = f"('{NUMBER}', '{NAME}', '{QUANTITY}')"
+    cut = lambda of: f"SELECT *, unnest(range(0, greatest(len({of}) - width + 1, 0))) AS pos"
+    line = "text, item_id, exact, line"
+    return rf"""WITH mark AS (SELECT unnest(regexp_extract_all('. ' || coalesce(text, ''), '(?:[.!?:]\P{{L}}*)?\p{{L}}+')) AS m FROM benchmark),
+spoken AS (SELECT regexp_extract(m, '\p{{L}}+') AS word, regexp_matches(m, '^\P{{L}}') AS begins FROM mark),
+counted AS (SELECT lower(word[1]) || word[2:] AS l, {capital("word")} AS cap, begins FROM spoken),
+plain AS (SELECT upper(l[1]) || l[2:] AS word FROM counted GROUP BY l HAVING bool_or(cap AND begins) AND count(*) FILTER (WHERE NOT cap) > count(*) FILTER (WHERE cap AND NOT begins)),
+words_ AS (SELECT coalesce(list(word), []::VARCHAR[]) AS known FROM plain),
+item0 AS (SELECT item_id, w, {tokens} AS r FROM (SELECT min(item_id) AS item_id, {said} AS w FROM benchmark GROUP BY text), words_),
+item AS (SELECT item_id, w, r, {form} AS f, least({WINDOW}, len(r)) AS width FROM item0 WHERE len(r) > 0 AND item_id IS NOT NULL),
+window0 AS (SELECT item_id, width, pos, f[pos + 1 : pos + width] AS f, r[pos + 1 : pos + width] AS r FROM ({cut("f")} FROM item)),
+window1 AS (SELECT *, len(list_filter(f, lambda t: t NOT IN {slots})) AS literals FROM window0),
+window2 AS (SELECT *, literals >= least({LITERALS}, ceil(width / 2)) AS strong, bool_or(literals >= least({LITERALS}, ceil(width / 2))) OVER (PARTITION BY item_id) AS any_ FROM window1),
+used AS (SELECT item_id, false AS exact, width, pos, f AS key, f, r, any_ FROM window2 WHERE CASE WHEN any_ THEN strong ELSE literals >= {WEAK_LITERALS} END
+  UNION ALL SELECT item_id, true, width, pos, w[pos + 1 : pos + width], [], [], false FROM ({cut("w")} FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS width FROM item WHERE item_id IN (SELECT item_id FROM window2 WHERE NOT any_)))),
+needed AS (SELECT *, count(*) OVER (PARTITION BY item_id, exact) * CASE WHEN any_ THEN {COVER}::DOUBLE ELSE {WEAK_COVER}::DOUBLE END AS need FROM used),
+doc0 AS (SELECT text, w, {tokens} AS r FROM (SELECT text, {said} AS w FROM documents WHERE text IS NOT NULL GROUP BY text), words_),
+doc AS (SELECT text, w, r, {form} AS f FROM doc0),
+place AS (SELECT text, false AS exact, width, pos, f[pos + 1 : pos + width] AS key, r[pos + 1 : pos + width] AS own FROM ({cut("f")} FROM doc, (SELECT DISTINCT width FROM needed WHERE NOT exact))
+  UNION ALL SELECT text, true, width, pos, w[pos + 1 : pos + width], [] FROM ({cut("w")} FROM doc, (SELECT DISTINCT width FROM needed WHERE exact))),
+hit0 AS (SELECT p.text, n.item_id, n.exact, p.pos - n.pos AS shift, n.pos, n.need, list_filter(list_transform(range(1, len(n.f) + 1), lambda k: {{kind: n.f[k], item: n.r[k], doc: p.own[k]}}), lambda x: x.kind IN {slots}) AS pairs FROM place p JOIN needed n ON p.exact = n.exact AND p.width = n.width AND p.key = n.key),
+hit1 AS (SELECT *, len(list_filter(pairs, lambda x: x.item <> x.doc)) = 0 AS same FROM hit0),
+step AS (SELECT text, item_id, exact, shift, CASE WHEN shift - lag(shift) OVER s > {NEAR} OR lag(shift) OVER s IS NULL THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT text, item_id, exact, shift FROM hit1) WINDOW s AS (PARTITION BY text, item_id, exact ORDER BY shift)),
+lined AS (SELECT *, sum(new) OVER (PARTITION BY text, item_id, exact ORDER BY shift) AS line FROM step),
+hit AS (SELECT h.*, l.line FROM hit1 h JOIN lined l USING (text, item_id, exact, shift)),
+slot AS (SELECT {line}, shift, pos, x.kind AS kind, x.item AS item, x.doc AS doc FROM (SELECT {line}, shift, pos, unnest(pairs) AS x FROM hit)),
+chosen AS (SELECT {line}, kind, item, doc AS value FROM (SELECT {line}, kind, item, doc, count(*) AS n FROM slot GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {line}, kind, item ORDER BY n DESC, doc) = 1),
+off AS (SELECT DISTINCT {line}, shift, pos FROM slot JOIN chosen USING ({line}, kind, item) WHERE doc <> value),
+kept AS (SELECT * FROM hit WHERE same UNION ALL SELECT * FROM (SELECT * FROM hit WHERE NOT same) ANTI JOIN off USING ({line}, shift, pos)),
+leak AS (SELECT DISTINCT text, item_id FROM (SELECT {line}, count(DISTINCT pos) AS n, max(need) AS need FROM kept GROUP BY {line}) WHERE n >= need),
+leaks AS (SELECT text, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM leak GROUP BY text)
+SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, n_items IS NOT NULL AS contaminated FROM documents d LEFT JOIN leaks USING (text)"""
+
+
+OP4_SQL = _op4_sql()
