@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..tables import checkpointed, parts
+
 
 def with_runs(items: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
     """Items with their run's columns; items of unknown runs, and runs without items, are left out."""
@@ -53,7 +55,20 @@ def sets_by_key(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def drill_down(positions: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Price positions with their ``place`` in their bucket: overpriced by cut, cheapest by headroom, monopolies by price, the greatest first, equal ones by product; parity by product alone."""
+    """Price positions with their ``place`` in their bucket: overpriced by cut, cheapest by headroom, monopolies by price, the greatest first, equal ones by product; parity by product alone.
+
+    Buckets are few and large, so rows are dealt by range and ranked range by range; what
+    stands in the ranges before is added. The dealt rows are written once, since both read them.
+    """
     most = F.when(F.col("bucket") == "overpriced", F.col("cut")).when(F.col("bucket") == "cheapest", F.col("headroom")).when(F.col("bucket") == "monopoly", F.col("own"))
-    order = Window.partitionBy(*by, "bucket").orderBy(F.desc_nulls_last("_most"), "product")
-    return positions.withColumn("_most", most).withColumn("place", F.row_number().over(order)).drop("_most")
+    order = [F.desc_nulls_last("_most"), F.col("product")]
+    dealt = positions.withColumn("_most", most).repartitionByRange(parts(positions), *by, "bucket", *order)
+    dealt = checkpointed(dealt.withColumn("_range", F.spark_partition_id()))
+    group = [*by, "bucket"]
+    sizes = dealt.groupBy(*group, "_range").count()
+    before = sizes.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_range").alias("_r"), (F.sum("count").over(Window.partitionBy(*group).orderBy("_range")) - F.col("count")).alias("_before"))
+    ranked = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return ranked.join(before, same).select(*positions.columns, (F.col("_before") + F.col("_place")).alias("place"))

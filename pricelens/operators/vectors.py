@@ -32,9 +32,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
     """The ``k`` most similar other vectors of each query: ``query_id``, ``neighbour_id``, ``similarity``, ``rank``.
 
     The stated queries meet all rows in blocks, exactly: queries are packed :data:`BLOCK` a row,
-    all vectors :data:`CHUNK` a row, a chunk is sent to every block (an equi-join on the block's
-    number), and one matrix product gives the best ``k`` of the two. So no pair is a row, and a
-    query moves about ``k`` rows a chunk. Similarity is rounded, and equal ones go by id; null
+    all vectors :data:`CHUNK` a row, a block of the fewer queries is sent to every chunk (an
+    equi-join on the chunk's number; a chunk moves once), and one matrix product gives the best
+    ``k`` of the two. So no pair is a row, and a query moves about ``k`` rows a chunk. Similarity is rounded, and equal ones go by id; null
     keys and vectors are left out. All vectors are of one length.
     """
     def packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
@@ -42,10 +42,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
         named = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).dropna()
         return named.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias(name)), parts
 
-    blocks, n = packed(queries, BLOCK, "queries")
-    chunks, _ = packed(vectors, CHUNK, "vectors")
-    sent = chunks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), "vectors")
-    best = blocks.join(sent, "part").select("queries", "vectors").mapInPandas(partial(_best, k=k, digits=digits), "query_id long, neighbour_id long, similarity double")
+    blocks, _ = packed(queries, BLOCK, "queries")
+    chunks, n = packed(vectors, CHUNK, "vectors")
+    sent = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), "queries")
+    best = chunks.join(sent, "part").select("queries", "vectors").mapInPandas(partial(_best, k=k, digits=digits), "query_id long, neighbour_id long, similarity double")
     return top(best, ["query_id"], [F.desc("similarity"), F.col("neighbour_id")], k)
 
 

@@ -6,8 +6,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(frame):
+    """Rows as sorted texts; whole numbers look alike, since a column with nulls turns them into floats."""
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(str(list(r)) for r in frame.where(frame.notna(), None).values.tolist())
+    plain = lambda x: int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted(str([plain(x) for x in r]) for r in frame.where(frame.notna(), None).values.tolist())
 
 
 def by_sql(sql, sf):

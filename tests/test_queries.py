@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, sf, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["repaired_documents", "listing_attributes", "page_products", "fuzz_token_set", "listing_queries"])
+@pytest.mark.parametrize("name", ["repaired_documents", "listing_attributes", "page_products", "fuzz_token_set", "listing_queries", "match_rank", "structured_verdicts", "discover_cells", "watchlist_fill"])
 def test_query_covers_its_table(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0
 
