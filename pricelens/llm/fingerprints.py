@@ -175,4 +175,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark, sf_dir):
+    """The fingerprint of every document and of its edited text. Other columns are not read."""
     return compare_edited(table(spark, sf_dir, "documents"))

@@ -125,6 +125,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir):
+    """The language of every document, learned from three in four; a null ``doc_id`` is learned from by no model and not held out. Other columns are not read."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = train(docs.where(~held_out).select("doc_id", "text", "lang"))

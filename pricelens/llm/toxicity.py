@@ -235,6 +235,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
 
 
 def op9_toxicity(spark, sf_dir):
+    """The toxicity of every document, learned from the labels of four in five; a null ``doc_id`` is learned from by no model and not held out. Other columns are not read."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = train(docs, labels.where(~held_out))
