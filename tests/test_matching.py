@@ -138,3 +138,20 @@ def test_traits_of_descriptions(spark):
     frame = spark.createDataFrame(rows, "s_name string, c_name string, c_description string, want string").withColumns({f"{a}_{b}": F.lit(v) for a in "sc" for b, v in (("packaging", ""), ("price", 5.0), ("unit_price", 5.0), ("pack_size", 1))} | {"s_description": F.lit("d")}).withColumns({"s_spec": parse_spec(F.lit("")), "c_spec": parse_spec(F.lit(""))})
     for r in pairs.structured_match(frame).collect():
         assert (r.reason or "").startswith(r.want or "") and ((r.reason or "").startswith("brand mismatch") == (r.want is not None))
+
+
+def test_compare_searches_for_what_the_name_asks(spark):
+    """A resolved product that carries the name's code is the search; one of another code gives way to the name, without an own price."""
+    asked = spark.createDataFrame([(1, "Acme Suture Reel DL-300"), (2, "Acme Suture Reel DL-400")], "id int, name string")
+    fields = "id int, step string, url string, name string, price double, mrp double, pack_size int, unit_price double, image string, in_stock boolean, sku string, description string, packaging string"
+    found = spark.createDataFrame([(i, "listing", "own", "Acme Suture Reel DL-300", 2297.0, None, 50, 45.94, None, True, "s", "fine reel", "box") for i in (1, 2)], fields).withColumn("spec", parse_spec(F.lit("")))
+    kin_ = F.expr("CAST(array() AS array<struct<name:string,price:double,spec:struct<powder_g:double,liquid_g:double,liquid_ml:double,capsules:double,pieces:double,is_extra:boolean,size_tier:string,kit_tier:string,torque:string>>>)")
+    rich = lambda frame: frame.withColumns({"description": F.lit("fine reel"), "packaging": F.lit("box"), "unit_price": F.col("price") / F.col("pack_size"), "spec": parse_spec(F.lit("")), "variants": kin_})
+    cards = rich(spark.createDataFrame([("x", "u3", 0, "Acme Suture Reel DL-300", 2236.0, 10), ("x", "u4", 1, "Acme Suture Reel DL-400", 2500.0, 50)], "seller string, url string, position int, name string, price double, pack_size int"))
+    pages = cards.drop("seller", "position").withColumn("canonical", F.col("url"))
+    killed = spark.createDataFrame([], "search_id int, url string")
+    judged = spark.createDataFrame([], "search_id int, url string, same_product boolean, same_variant boolean, sure double")
+    got = {r.search_id: r for r in anchors.compare(asked, found, cards, pages, killed, judged).collect()}
+    assert (got[1].anchored, got[1].url, got[1].price_difference, got[1].pack_note) == (True, "u3", 61.0, "50/pack vs 10/pack")
+    assert got[1].unit_difference == pytest.approx(45.94 - 223.6, abs=0.006)
+    assert (got[2].anchored, got[2].url, got[2].own_price, got[2].price_difference) == (False, "u4", None, None)
