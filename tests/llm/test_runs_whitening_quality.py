@@ -184,6 +184,19 @@ def test_quality_pairs_and_quantile():
     assert rows[1][at("repeated_lines")] == 0.5 and rows[1][at("upper")] == 0.25 and rows[2][at("digits")] == 2 / 7 and rows[2][at("!")] == 1 / 7
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 2)
+    monkeypatch.setattr(quality, "BLOCK", 700, raising=False)
+    rows = [(i, f"{prose(i, 3 + i % 9)} {'!' * (i % 5)}{i}", int(i % 50 > 0)) for i in range(4600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    values = quality.features([text.encode() for _, text, _ in rows])
+    assert (model.steps == np.quantile(values, quality.LEVELS, axis=0, method="lower").T).all()
+    few = docs.select(F.xxhash64("doc_id").alias("doc"), "quality", "text").where("quality = 1 or pmod(doc, 40) = 0")
+    few = few.mapInPandas(quality._measured, "doc long, quality int, values binary")
+    assert 0 < few.where("quality = 0").count() < 20 and np.isfinite(quality.fit_pairs(few).threshold)
+
+
 def test_whitening_where_deviations_leave_64_bits(spark):
     rows = [(i, [float(i % 3 * 3e7), float(i)]) for i in range(300)]
     got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
