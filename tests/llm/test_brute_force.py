@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,23 @@ def test_toxicity_of_repeated_keys_and_long_texts(spark):
     assert long["worst_sentence"] == "vile creep" and long["n_sentences"] == 4000
 
 
+def test_token_counts_of_new_words_in_any_order(monkeypatch):
+    loaded = token_counts.load_vocabulary(token_counts.VOCABULARY)
+    words = [f"▁{a}{b}{c}" for a in ("the", "Straße", "x9", "ing") for b in ("ing", "", "ß", "\U0001f600") for c in ("", "s", "ation", "x" * 1_200)]
+    trie = token_counts.Trie(*loaded)
+    want = {word: token_counts.Trie(*loaded).insert(word) for word in words}
+    for order in (words, sorted(words), sorted(words, reverse=True)):
+        assert [trie.insert(word) for word in order] == [want[word] for word in order]
+        trie.clear()
+    list(map(trie.insert, words))
+    assert len({step & 0xFFFFF for step in trie.child}) > len(trie.child) // 2  # else every step of a walk collides with many
+    texts = [" ".join(word[1:] for word in words[i::3]) for i in range(3)] + [None, ""]
+    for few in (1, 10**6):
+        monkeypatch.setattr(token_counts, "WAITING", few)
+        got = next(token_counts._count(iter([pd.DataFrame({"text": texts})]), token_counts.VOCABULARY, "text"))
+        assert got["n_tokens"].tolist() == [sum(want[word] for word in words[i::3]) for i in range(3)] + [0, 0]
+
+
 def test_token_counts_of_long_words():
     pieces, unknown = token_counts.load_vocabulary(token_counts.VOCABULARY)
     trie = token_counts.Trie(pieces, unknown)
