@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..tables import table
+from ..tables import checkpointed, table
 from .arrays import joined, mix, running, slices, spans
 
 #: The model is fitted on this many labelled documents of each class at most (the least hashes of their keys), and on whole documents with this many feature places in all (again by hash; the first of a class always).
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     texts = docs.where(F.length("text") > 0).select(key, "text").join(F.broadcast(picked), key)  # 2 * SAMPLE keys
     named = texts.select(F.xxhash64(F.col(key).cast("string"), "text").alias("doc"), "toxic", "text").dropDuplicates(["doc"])
     sample = named.where("toxic = 1").orderBy("doc").limit(SAMPLE).union(named.where("toxic = 0").orderBy("doc").limit(SAMPLE))  # a key may have many rows
-    sample = sample.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
+    sample = checkpointed(sample.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc"))  # chosen once, read three times
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return fit(pd.DataFrame({"toxic": []}), np.zeros(0, np.uint64))

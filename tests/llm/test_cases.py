@@ -326,6 +326,19 @@ def test_toxicity_held_out(spark):
     assert len(held) > 40 and ((held["toxic"] == held["predicted"]).mean() > 0.88) and not ((held["predicted"] == 1) & (held["toxic"] == 0)).any()
 
 
+def test_toxicity_chooses_its_sample_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    texts = spark.createDataFrame([(i, f"{prose(i, 20)} {'vile ' * (i % 2)}") for i in range(60)], "doc_id long, text string")
+    toxicity.train(texts.mapInPandas(counted, texts.schema), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert read.value <= 60 * 3  # before: 360
+
+
 def test_token_counts(spark, docs, none):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
