@@ -1,28 +1,29 @@
 """Stupid-backoff scores of documents under n-gram counts of all other documents.
 
-Documents are dealt into blocks. Length by length, a block's n-grams are exploded into rows
-with their uses in the block; the count table is the sum over all rows of an n-gram,
-partitioned by its hash, and joins back to those rows; what is used outside the block returns
-to it. An n-gram that others use has only parts that others use, so each length explodes only
-n-grams whose two parts have been found elsewhere. At last a block's counts are looked up and
-summed per document. A frequent n-gram is one row a block, not one a use, before any shuffle.
+Documents are dealt into blocks. Length by length, a block's distinct n-grams with their uses
+in the block are dealt into slots, ranges of their hashes; the count table is the sum over all
+blocks of a slot, and what is used outside a block returns to it, in the order it was sent. An
+n-gram that others use has only parts that others use, so each length sends only n-grams whose
+two parts have been found elsewhere. At last a block's counts are looked up and summed per
+document. A frequent n-gram is sent once a block, not once a use. What a block has for a slot is
+one row of packed numbers: a row for each n-gram takes twice the bytes there, and more back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..tables import table
 from .arrays import mix, slices, word_hashes
 
 #: Longest n-gram, and the factor of each step to a shorter context.
 ORDER, BACKOFF = 3, 0.4
-#: Bytes of text of a block, about.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text of a block, and words of the corpus for each slot, about.
+BLOCK_BYTES, SLOT_WORDS = 12 << 20, 1 << 22
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,52 +69,99 @@ def _open(frame: pd.DataFrame) -> list[bytes]:
     return [unpack(x) for x in frame["data"]]
 
 
-def _rows(block: int, gram: np.ndarray) -> pd.DataFrame:
-    distinct, uses = np.unique(gram, return_counts=True)
-    return pd.DataFrame({"gram": distinct.view(np.int64), "block": np.int64(block), "uses": uses.astype(np.int32)})
+def _press(arrays: list[np.ndarray]) -> list[bytes]:
+    """Whole numbers by planes of their bytes, so that high bytes, which are mostly 0, take no room."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compress
+    return [press(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)) for x in arrays]
+
+
+def _unpress(packed: Iterable[bytes]) -> list[np.ndarray]:
+    import zstandard
 
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.ascontiguousarray(np.frombuffer(unpack(x), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in packed]
 
-def _elsewhere(gram: np.ndarray, text: np.ndarray, whole: np.ndarray, given: pd.DataFrame) -> np.ndarray:
-    """How often other documents use the n-gram at each place that has one; ``given`` has the totals of those used outside the block.
 
-    What was not exploded is used by one document only, so its uses here are its own.
+def _rows(block: int, gram: np.ndarray, slots: int) -> pd.DataFrame:
+    """A row for each slot: the block's distinct n-grams by hash, as differences, and their uses."""
+    distinct, uses = np.unique(gram, return_counts=True)
+    slot = (distinct >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
+    begin = np.flatnonzero(np.diff(slot, prepend=np.uint64(slots)))
+    steps = np.diff(distinct, prepend=np.uint64(0))
+    steps[begin] = distinct[begin]
+    return pd.DataFrame({"slot": slot[begin].astype(np.int64), "block": np.int64(block), "grams": _press(np.split(steps, begin)[1:]), "uses": _press(np.split(uses, begin)[1:])})
+
+
+def _count(rows: pd.DataFrame) -> pd.DataFrame:
+    """A slot's count table, joined to what the blocks sent: how often each n-gram is used outside its block."""
+    steps, uses = _unpress(rows["grams"]), np.concatenate(_unpress(rows["uses"])).astype(np.int64)
+    sizes = np.array([len(x) for x in steps])
+    ends, sums = np.cumsum(sizes), np.cumsum(np.concatenate(steps))  # sums wrap around, and back when one is taken from another
+    gram = sums - np.repeat(np.append(np.uint64(0), sums[ends[:-1] - 1]), sizes)
+    by = np.argsort(gram)
+    other = np.ones(len(by), dtype=bool)
+    other[1:] = gram[by[1:]] != gram[by[:-1]]
+    outside = -uses
+    outside[by] += np.add.reduceat(uses[by], np.flatnonzero(other))[np.cumsum(other) - 1]
+    return pd.DataFrame({"block": rows["block"], "slot": rows["slot"], "outside": _press(np.split(outside, ends[:-1]))})
+
+
+def _runs(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of runs, and the run of each place; ``begins`` says where one begins."""
+    return np.diff(np.append(np.flatnonzero(begins), len(begins))), np.cumsum(begins) - 1
+
+
+def _elsewhere(gram: np.ndarray, text: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """How often other documents use each n-gram; ``outside`` has the uses outside the block of the distinct ones by hash."""
+    by = np.argsort(gram, kind="stable")  # so an n-gram's uses in one text stay together
+    other = np.ones(len(by), dtype=bool)
+    other[1:] = gram[by[1:]] != gram[by[:-1]]
+    uses, which = _runs(other)
+    other[1:] |= text[by[1:]] != text[by[:-1]]
+    own, same = _runs(other)
+    rest = np.empty(len(by), dtype=np.int64)
+    rest[by] = (uses + outside)[which] - own[same]
+    return rest
+
+
+def _both(rest: np.ndarray) -> np.ndarray:
+    """Where others use the n-gram here and the one before, the two parts of a longer one."""
+    found = rest > 0
+    return found & np.concatenate([[False], found[:-1]])[: len(found)]
+
+
+def _levels(words: np.ndarray, text: np.ndarray, counts: pd.DataFrame, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length how often other documents use the n-gram that ends at each word, and whether there is one.
+
+    What was not sent has a part that is used in one document only, and so is used there only.
     """
-    out = np.zeros(len(gram), dtype=np.int64)
-    distinct, place, uses = np.unique(gram[whole], return_inverse=True, return_counts=True)
-    if not len(distinct):
-        return out
-    known = given["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    uses[np.searchsorted(distinct, known)] = given["total"].to_numpy(dtype=np.int64)
-    many = uses[place] > 1  # what is used once in all is its own document's
-    pair = text[whole][many] * np.int64(len(distinct)) + place[many]
-    _, same, own = np.unique(pair, return_inverse=True, return_counts=True)
-    rest = np.zeros(len(place), dtype=np.int64)
-    rest[many] = uses[place[many]] - own[same]
-    out[whole] = rest
-    return out
-
-
-def _first(block: pd.DataFrame) -> pd.DataFrame:
-    """A block's words with their uses."""
-    words, text = _words(_open(block))
-    return _rows(block["block"].iloc[0], next(_grams(words, text, 1))[0])
+    sent = np.ones(len(words), dtype=bool)
+    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
+        sent &= whole
+        packed = counts.loc[counts["n"] == n].sort_values("slot")["outside"]
+        rest = np.zeros(len(words), dtype=np.int64)
+        rest[sent] = _elsewhere(gram[sent], text[sent], np.concatenate([np.zeros(0, np.int64), *_unpress(packed)]).astype(np.int64))
+        yield rest, whole
+        sent = _both(rest)
 
 
-def _next(block: pd.DataFrame, counts: pd.DataFrame, n: int) -> pd.DataFrame:
-    """A block's n-grams of which both parts are used in other documents, with their uses; ``counts`` are those of the parts."""
+def _explode(block: pd.DataFrame, counts: pd.DataFrame | None, n: int, slots: int) -> pd.DataFrame:
+    """A block's n-grams of which both parts are used in other documents, with their uses; ``counts`` are those of all shorter ones."""
     words, text = _words(_open(block))
-    *_, (part, before), (gram, whole) = _grams(words, text, n)
-    found = _elsewhere(part, text, before, counts) > 0
-    both = found & np.concatenate([[False], found[:-1]])[: len(found)]
-    return _rows(block["block"].iloc[0] if len(block) else 0, gram[whole & both])
+    *_, (gram, sent) = _grams(words, text, n)
+    if n > 1:
+        *_, (part, _) = _levels(words, text, counts, n - 1)
+        sent = sent & _both(part)
+    return _rows(block["block"].iloc[0] if len(block) else 0, gram[sent], slots)
 
 
 def _sum(block: pd.DataFrame, counts: pd.DataFrame, order: int, total: int, columns: list[str]) -> pd.DataFrame:
     words, text = _words(_open(block))
     sizes = np.bincount(text, minlength=len(block))
     score, shorter, backed = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool)
-    for n, (gram, whole) in enumerate(_grams(words, text, order), 1):
-        rest = _elsewhere(gram, text, whole, counts[counts["n"] == n])
+    for n, (rest, whole) in enumerate(_levels(words, text, counts, order), 1):
         if n == 1:
             score = np.log10(np.maximum(rest, 1) / np.maximum(total - sizes, 1)[text])
         else:
@@ -124,8 +172,8 @@ def _sum(block: pd.DataFrame, counts: pd.DataFrame, order: int, total: int, colu
     return block[columns].assign(n_words=sizes, n_backed_off=np.bincount(text[backed], minlength=len(block)), log_score=np.bincount(text, weights=score, minlength=len(block)))
 
 
-def _exploder(n: int):
-    return lambda block, counts: _next(block, counts, n)
+def _exploder(n: int, slots: int):
+    return (lambda block: _explode(block, None, n, slots)) if n == 1 else (lambda block, counts: _explode(block, counts, n, slots))
 
 
 def _size(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,14 +202,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, key: str = "doc_id") ->
     dealt = named.withColumn("block", F.pmod(F.xxhash64(F.col(f"_{docs.columns.index(key)}").cast("string"), "text"), F.lit(blocks)))
     fields = [f for f in dealt.schema.fields if f.name != "text"]
     dealt = dealt.mapInPandas(_pack, T.StructType([*fields]).add("data", "binary"))
-    counts, own, schema = None, None, "gram long, block long, uses int"
+    counts, slots, schema = None, max(1, -(-words // SLOT_WORDS)), "slot long, block long, grams binary, uses binary"
     for n in range(1, order + 1):
-        if n == 1:
-            rows = dealt.groupBy("block").applyInPandas(_first, schema)
-        else:
-            rows = dealt.groupBy("block").cogroup(own.drop("n").groupBy("block")).applyInPandas(_exploder(n), schema)
-        table_ = rows.withColumn("total", F.sum("uses").over(Window.partitionBy("gram"))).where("total > uses")
-        own = table_.select("block", F.lit(n).alias("n"), "gram", "total")
+        sender = dealt.groupBy("block") if n == 1 else dealt.groupBy("block").cogroup(counts.groupBy("block"))
+        rows = sender.applyInPandas(_exploder(n, slots), schema)
+        own = rows.groupBy("slot").applyInPandas(_count, "block long, slot long, outside binary").withColumn("n", F.lit(n))
         counts = own if counts is None else counts.unionByName(own)
     result = T.StructType([f for f in fields if f.name != "block"]).add("n_words", "long").add("n_backed_off", "long").add("log_score", "double")
     scored = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(lambda block, own: _sum(block, own, order, words, names), result)

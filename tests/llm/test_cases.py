@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +219,58 @@ def test_lm_scores(spark, docs, none):
     assert list(got[got["doc_id"].isin([1, 2, 3])]["n_words"]) == [0, 0, 0]
 
 
+def brute_scores(texts, order):
+    """``n_words``, ``n_backed_off`` and ``log_score`` of each text, from its definition."""
+    docs = [(t or "").lower().split() for t in texts]
+    own = [Counter(tuple(d[i : i + n]) for n in range(1, order + 1) for i in range(len(d) - n + 1)) for d in docs]
+    all_, words = sum(own, Counter()), sum(map(len, docs))
+
+    def score(d, gram):
+        rest = all_[gram] - own[d][gram]
+        if len(gram) == 1:
+            return math.log10(max(rest, 1) / max(words - len(docs[d]), 1)), False
+        context = gram[:-1]
+        return (math.log10(rest / (all_[context] - own[d][context])), False) if rest else (math.log10(lm_scores.BACKOFF) + score(d, gram[1:])[0], True)
+
+    at = [[score(d, tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))] for d, w in enumerate(docs)]
+    return [(len(x), sum(b for _, b in x), sum(v for v, _ in x)) for x in at]
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_scores_of_many_blocks_and_slots_equal_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scores, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(lm_scores, "SLOT_WORDS", 300, raising=False)
+    texts = [prose(i % 9, 5 + 7 * i) for i in range(20)] + [None, "", " \n", "one", "One one", prose(3, 40), prose(3, 40), "alone " * 50, "common " * 400, "common common", "a b " * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_scores.backoff_scores(rows, order=order).toPandas().set_index("doc_id").sort_index()
+    n_words, n_backed_off, log_score = zip(*brute_scores(texts, order))
+    assert (list(got["n_words"]), list(got["n_backed_off"])) == (list(n_words), list(n_backed_off))
+    assert list(got["log_score"]) == pytest.approx(list(log_score), abs=1e-6)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    out = {}
+    while files.hasNext():
+        file = files.next()
+        if file.getName().startswith("shuffle_"):
+            out[file.getPath()] = file.length()
+    return out
+
+
+def test_lm_scores_shuffle_less_than_four_times_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "BLOCK_BYTES", 1 << 19)
+    monkeypatch.setattr(lm_scores, "SLOT_WORDS", 1 << 16, raising=False)
+    pick = random.Random(5)
+    vocabulary = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 6))) for _ in range(600)]
+    texts = [" ".join(pick.choices(vocabulary, k=400)) for _ in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffle_files(spark)
+    assert len(lm_scores.backoff_scores(rows).toPandas()) == 1000
+    written = sum(size for path, size in shuffle_files(spark).items() if path not in before)
+    assert 0 < written < 4 * sum(map(len, texts))
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = {}
