@@ -35,7 +35,7 @@ def expected(spark, folder, name):
     return one.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumn("candidate_id", F.col("candidate_id") + F.col("i") * APART).drop("i").toPandas()
 
 
-@pytest.mark.parametrize("name", ["structured_verdicts", "match_rank", "pair_features", "topk_per_search", "gate_contrast", "fuzz_token_set"])
+@pytest.mark.parametrize("name", ["structured_verdicts", "match_rank", "pair_features", "topk_per_search", "gate_contrast", "fuzz_token_set", "weighted_jaccard_pairs"])
 def test_pairs_worked_on_do_not_grow_with_copies(spark, copied, name, monkeypatch):
     made, block = [], pairs.block
     theirs = expected(spark, copied, name)
