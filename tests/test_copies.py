@@ -44,3 +44,12 @@ def test_pairs_worked_on_do_not_grow_with_copies(spark, copied, name, monkeypatc
     plans.QUERIES[name](spark, f"{copied}/one")
     assert len(ours) > 0 and rows(ours) == rows(theirs)
     assert made[0].count() == made[1].count() > 0
+
+
+def test_search_queries_are_made_once_a_name(spark, copied, monkeypatch):
+    made, written = [], plans.checkpointed
+    monkeypatch.setattr(plans, "checkpointed", lambda df: made.append(written(df)) or made[-1])
+    many = plans.QUERIES["listing_queries"](spark, f"{copied}/many")
+    one = plans.QUERIES["listing_queries"](spark, f"{copied}/one").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    assert rows(many.toPandas()) == rows(one.withColumn("p_partkey", F.col("p_partkey") + F.col("i") * APART).drop("i").toPandas())
+    assert made[0].count() == made[1].count() == plans.listings(spark, f"{copied}/one").select("name").distinct().count()
