@@ -53,3 +53,18 @@ def test_search_queries_are_made_once_a_name(spark, copied, monkeypatch):
     one = plans.QUERIES["listing_queries"](spark, f"{copied}/one").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     assert rows(many.toPandas()) == rows(one.withColumn("p_partkey", F.col("p_partkey") + F.col("i") * APART).drop("i").toPandas())
     assert made[0].count() == made[1].count() == plans.listings(spark, f"{copied}/one").select("name").distinct().count()
+
+
+def test_children_are_chosen_row_by_row_with_names_compared_once(spark, monkeypatch):
+    from pricelens.functions.specs import parse_spec
+
+    made, written = [], pairs.checkpointed
+    monkeypatch.setattr(pairs, "checkpointed", lambda df: made.append(written(df)) or made[-1])
+    kin = [[("Acme beta", 5.0 + i), ("Acme gamma", 7.0), ("Default Title", 1.0)] for i in range(20)]
+    rows_ = [(1, i % 2, f"Acme item {'beta' if i % 4 < 2 else 'gamma'}", 6.0, "Acme item", 9.0, k) for i, k in enumerate(kin)]
+    frame = spark.createDataFrame(rows_, "s_id int, c_id int, s_name string, s_price double, c_name string, c_price double, kin array<struct<name:string,price:double>>")
+    none = parse_spec(F.lit(""))
+    frame = frame.withColumns({"s_spec": none, "c_spec": none, "variants": F.transform("kin", lambda v: F.struct(v["name"].alias("name"), v["price"].alias("price"), none.alias("spec")))})
+    got = sorted((r.c_name, r.c_price, r.pinned) for r in pairs.select_variant(frame).collect())
+    assert got == sorted(("Acme beta", 5.0 + i, True) if i % 4 < 2 else ("Acme gamma", 7.0, True) for i in range(20))
+    assert made[0].count() == 2
